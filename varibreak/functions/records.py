@@ -53,3 +53,15 @@ def variant_id(sample: Column, chrom: Column, index: Column, alt: Column, ident:
 
 def common_prefix(names: list[str]) -> str:
     return os.path.commonprefix(list(names))
+
+
+def contig_digest(tiles):
+    """``chrom, digest``: MD5 over the MD5s of a contig's regular tiles.
+
+    A contig is never put together in one place; its digest depends on the tile
+    size and is therefore comparable only between runs that use the same one.
+    """
+    per_tile = tiles.select("chrom", F.struct("tile", F.md5("seq").alias("d")).alias("t"))
+    return per_tile.groupBy("chrom").agg(
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["d"]), "")).alias("digest")
+    )

@@ -298,8 +298,8 @@ def next_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], left_po
     r = right.select(*keys, F.col(right_pos).alias("_p")).distinct().withColumn("_r", F.col("_p"))
     l = left.select(*keys, F.col(left_pos).alias("_p")).distinct().withColumn("_kind", F.lit(0))
     both = l.unionByName(r.withColumn("_kind", F.lit(1)), allowMissingColumns=True).withColumn("_tile", tile_of(F.col("_p"), tile))
-    along = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(1, Window.unboundedFollowing)
+    along = Window.partitionBy(*keys).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
     later = both.groupBy(*keys, "_tile").agg(F.min("_r").alias("_m")).select(*keys, "_tile", F.min("_m").over(along).alias("_later"))
-    order = Window.partitionBy(*keys, "_tile").orderBy("_p", "_kind").rowsBetween(0, Window.unboundedFollowing)
+    order = Window.partitionBy(*keys, "_tile").orderBy(F.desc("_p"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_in", F.min("_r").over(order)).filter("_kind = 0").join(later, [*keys, "_tile"])
     return left.join(found.select(*keys, F.col("_p").alias(left_pos), F.coalesce("_in", "_later").alias(name)), [*keys, left_pos], "left")

@@ -107,3 +107,15 @@ def insertion_reads(aln: DataFrame, keys: list[str]) -> DataFrame:
 
 def insertion_counts(aln: DataFrame, keys: list[str]) -> DataFrame:
     return insertion_reads(aln, keys).groupBy(*keys, "position").agg(F.count("*").alias("nreads"))
+
+
+def indel_calls(aln: DataFrame, keys: list[str], min_reads: int) -> DataFrame:
+    """Small deletions and insertions written in the CIGARs of enough reads (semantics chosen here)."""
+    part = lambda found, kind: aln.select(*keys, "pos", F.explode(found).alias("_x")).select(
+        *keys, (F.col("pos") + F.col("_x.offset")).alias("start"),
+        (F.col("pos") + F.col("_x.offset") + (F.col("_x.length") - 1 if kind == "DEL" else F.lit(0))).alias("end"),
+        F.lit(kind).alias("svtype"), F.col("_x.length").alias("length"),
+    )
+    both = part(deletions(F.col("cigar")), "DEL").unionByName(part(insertions(F.col("cigar")), "INS"))
+    counted = both.groupBy(*keys, "start", "end", "svtype", "length").agg(F.count("*").alias("nreads"))
+    return counted.filter(F.col("nreads") >= min_reads).select(*keys, "start", "end", "svtype", F.lit("cigar").alias("method"), "nreads")

@@ -294,9 +294,10 @@ def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], left_pos:
     places = left.select(*keys, F.col(left_pos).alias("_p")).distinct().withColumn("_tile", tile_of(F.col("_p"), tile))
     both = spread.withColumn("_kind", F.lit(0)).unionByName(places.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     order = Window.partitionBy(*keys, "_tile").orderBy("_p", "_kind")
-    # a left place keeps the last hit not after it, or with a lower bound the first hit not before that bound
+    # the hit to the right is the last one met when walking back: running frames cost one pass, trailing ones do not
     both = both.withColumn("_before", F.last("_hit", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("_after", F.first("_hit", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*keys, "_tile").orderBy(F.desc("_p"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_after", F.last("_hit", ignorenulls=True).over(back))
     gap = lambda h: F.col(f"{h}._rp") - F.col("_p")
     fits = lambda h: F.when((gap(h) >= low) & (gap(h) <= band), F.col(h))
     near = both.filter("_kind = 1").withColumn("_x", fits("_before")).withColumn("_y", fits("_after"))
@@ -319,17 +320,15 @@ def distance_to(points: DataFrame, regions: DataFrame, keys: list[str], pos: str
         asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True
     )
     # nearest interval of earlier and later tiles: one row per tile along the chromosome
-    along = Window.partitionBy(*keys).orderBy("_tile")
+    earlier = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)
     per_tile = both.groupBy(*keys, "_tile").agg(F.max("_en").alias("_me"), F.min("_st").alias("_ms")).select(
-        *keys, "_tile",
-        F.max("_me").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev"),
-        F.min("_ms").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        *keys, "_tile", F.max("_me").over(earlier).alias("_prev"), F.min("_ms").over(later).alias("_next")
     )
-    order = Window.partitionBy(*keys, "_tile").orderBy("_p", "_kind")
+    forth = Window.partitionBy(*keys, "_tile").orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "_tile").orderBy(F.desc("_p"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     inner = both.select(
-        *keys, "_tile", "_p", "_kind",
-        F.max("_en").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_e"),
-        F.min("_st").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("_s"),
+        *keys, "_tile", "_p", "_kind", F.max("_en").over(forth).alias("_e"), F.min("_st").over(back).alias("_s")
     ).filter("_kind = 1")
     joined = inner.join(per_tile, [*keys, "_tile"])
     before, after = F.greatest("_e", "_prev"), F.least("_s", "_next")

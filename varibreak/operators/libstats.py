@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import flags
+from ..session import cut_lineage
 from .quantiles import grouped_quantiles
 
 MAX_HISTOGRAM = 1_000_000
@@ -44,7 +45,7 @@ def read_stats(aln: DataFrame, keys: list[str]) -> DataFrame:
         (F.count_if(F.regexp_like("cigar", F.lit("[0-9]+S$"))) / (n_plus + 1)).alias("q_left"),
         (F.count_if(F.regexp_like("cigar", F.lit("^[0-9]+S"))) / (n_minus + 1)).alias("q_right"),
     )
-    sizes = reads.groupBy(*keys, size.alias("size")).agg(F.count("*").alias("n"))
+    sizes = cut_lineage(reads.groupBy(*keys, size.alias("size")).agg(F.count("*").alias("n")))
     return base.join(median_and_mad(sizes, keys, "size", "n"), keys)
 
 
@@ -122,7 +123,8 @@ def _counted_quantile(values: np.ndarray, counts: np.ndarray, p: float) -> float
 
 
 def _positive_counts(aln: DataFrame, keys: list[str]) -> DataFrame:
-    return aln.filter(flags.usable(F.col("flag")) & (F.col("isize") > 0)).groupBy(*keys, F.col("isize").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    reads = aln.filter(flags.usable(F.col("flag")) & (F.col("isize") > 0))
+    return cut_lineage(reads.groupBy(*keys, F.col("isize").cast("double").alias("v")).agg(F.count("*").alias("n")))
 
 
 def find_modes(counts: DataFrame, keys: list[str], method: int = 2) -> DataFrame:
@@ -139,7 +141,7 @@ def find_modes(counts: DataFrame, keys: list[str], method: int = 2) -> DataFrame
             F.sum("n").alias("_c"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("_mean"),
             F.sum(F.col("v") * F.col("v") * F.col("n")).alias("_sq"),
         )
-        sd = F.sqrt((F.col("_sq") - F.col("_c") * F.col("_mean") * F.col("_mean")) / (F.col("_c") - 1))
+        sd = F.sqrt(F.try_divide(F.col("_sq") - F.col("_c") * F.col("_mean") * F.col("_mean"), F.col("_c") - 1))
         limit = weighted_quantiles(table, keys, "v", "n", {"_m": 0.5}).join(spread, keys)
         table = _below(table, keys, limit.withColumn("_top", F.col("_m") + 6.0 * sd))
     finder = density_modes if method == 2 else histogram_modes
@@ -171,21 +173,21 @@ def library_parameters(aln: DataFrame, keys: list[str], method: int = 2) -> Data
     sides of the target (semantics chosen here).
     """
     counts = _positive_counts(aln, keys)
-    modes = find_modes(counts, keys, method)
+    modes = cut_lineage(find_modes(counts, keys, method))
     best = modes.groupBy(*keys).agg(F.max("height").alias("_best"))
     tall = modes.join(best, keys).filter("height >= _best * 0.2")
-    target = tall.groupBy(*keys).agg(F.max("mode").alias("is"), F.max_by("height", "mode").alias("_h"))
+    target = cut_lineage(tall.groupBy(*keys).agg(F.max("mode").alias("is"), F.max_by("height", "mode").alias("_h")))
     left_mode = modes.join(target, keys).groupBy(*keys).agg(F.max(F.when(F.col("mode") < F.col("is"), F.col("height"))).alias("_left"))
     base = counts.join(target, keys)
     v, n, t = F.col("v"), F.col("n"), F.col("is")
     near = v < t * 10
     total, s1, s2 = (F.sum(F.when(near, x)) for x in (n, v * n, v * v * n))
-    top = base.groupBy(*keys).agg((F.first("is") + 10.0 * F.sqrt((s2 - s1 * s1 / total) / (total - 1))).alias("_max"))
+    top = base.groupBy(*keys).agg((F.first("is") + 10.0 * F.sqrt(F.try_divide(s2 - s1 * s1 / total, total - 1))).alias("_max"))
     base = base.join(top, keys)
     off = (v - t) * (v - t) * n
     right, left = (v > t) & (v < F.col("_max")), v < t
-    rms = lambda side: F.sqrt(F.sum(F.when(side, off)) / F.sum(F.when(side, n)))
-    sides = base.groupBy(*keys).agg(rms(right).alias("sdR"), rms(left).alias("sdL"))
+    rms = lambda side: F.sqrt(F.try_divide(F.sum(F.when(side, off)), F.sum(F.when(side, n))))
+    sides = cut_lineage(base.groupBy(*keys).agg(rms(right).alias("sdR"), rms(left).alias("sdL")))
     low = base.join(sides, keys).groupBy(*keys).agg(
         F.coalesce(F.sum(F.when(left & (v < F.greatest(F.lit(100.0), t - 2.0 * F.col("sdL"))), n)), F.lit(0)).alias("_low"),
         F.sum(F.when(left, n)).alias("_nleft"),
@@ -203,7 +205,7 @@ def null_insert_distribution(pairs: DataFrame, keys: list[str], upper: float | N
     they lie strictly between -100 and ``delta`` (default five medians).
     """
     sized = pairs.select(*keys, (F.col("m_start") - F.col("p_start")).cast("double").alias("v"))
-    counts = sized.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    counts = cut_lineage(sized.groupBy(*keys, "v").agg(F.count("*").alias("n")))
     known = counts.filter("v IS NOT NULL")
     limits = weighted_quantiles(known, keys, "v", "n", {"_med": 0.5}).select(
         *keys, (F.lit(float(upper)) if upper is not None else F.col("_med") * 10.0).alias("_upper")
@@ -215,7 +217,7 @@ def null_insert_distribution(pairs: DataFrame, keys: list[str], upper: float | N
     joined = counts.join(limits, keys)
     s0, s1, s2 = (F.sum(F.when(kept, x)) for x in (n, clamped * n, clamped * clamped * n))
     return joined.groupBy(*keys).agg(
-        (s1 / s0).alias("mu"), F.sqrt((s2 - s1 * s1 / s0) / (s0 - 1)).alias("sigma"),
+        F.try_divide(s1, s0).alias("mu"), F.sqrt(F.try_divide(s2 - F.try_divide(s1 * s1, s0), s0 - 1)).alias("sigma"),
         (1.0 - F.coalesce(F.sum(F.when((v < F.col("delta")) & (v > 0), n)), F.lit(0)) / total).alias("p"),
         (F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)) / total).alias("p_na"),
         F.first("delta").alias("delta"),

@@ -136,3 +136,12 @@ def remap_clusters(clusters: DataFrame, tiles: DataFrame, size: int, max_matches
         F.when(F.col("rc"), left).otherwise(~left).alias("goRight2"), "cid", "mcid", "rc",
     )
 
+
+
+def repeated_words(tiles: DataFrame, size: int, word: int) -> DataFrame:
+    """Words occurring more than once per chromosome with their count and outer places; tiles overlap by ``word - 1``."""
+    own = F.sequence(F.lit(1), F.least(F.lit(size), F.length("seq") - (word - 1)))
+    words = tiles.filter(F.length("seq") >= word).select("chrom", "start", "seq", F.explode(own).alias("_i")).select(
+        "chrom", F.col("seq").substr(F.col("_i"), F.lit(word)).alias("kmer"), (F.col("start") + F.col("_i") - 1).alias("at")
+    )
+    return words.groupBy("chrom", "kmer").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at")).filter("n > 1")

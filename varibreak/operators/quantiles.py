@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 MAX_BUCKETS = 4096
 
 
@@ -18,6 +20,8 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, probs: dict
         return grouped_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probs, weight).drop("_all")
     counted = df.select(*keys, value.cast("double").alias("_v"), (F.lit(1) if weight is None else weight).alias("_w"))
     counts = counted.filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
+    # read several times below; the input itself is read once
+    counts = cut_lineage(counts)
     span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     joined = counts.join(span, keys).withColumn(
         "_bucket",

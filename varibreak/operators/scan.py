@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..constants import SCORE_SCALE
 from ..functions.density import hanging_table, mixture_term, scaled, shifted_ratio, unscaled
 from .intervals import interval_runs, islands
 from .mates import pair_class
@@ -89,13 +90,13 @@ def deletion_scan(pairs: DataFrame, keys: list[str], w: int, step: int, rates: l
     both = il.unionByName(cov, allowMissingColumns=True).fillna(0, subset=list(terms))
     runs = window_sums(both, keys, {"reads": F.col("reads"), **{n: F.col(n) for n in terms}})
     per_rate = F.array(*[
-        F.struct(F.lit(float(r)).alias("r"), (F.col("reads") * F.lit(math.log(1.0 - r))).alias("cov_term"), unscaled(F.col(f"il_{i}")).alias("il_term"))
+        F.struct(F.lit(float(r)).alias("r"), (F.col("reads") * round(math.log(1.0 - r) * SCORE_SCALE)).alias("cov"), F.col(f"il_{i}").alias("il"))
         for i, r in enumerate(rates)
     ])
     wide = to_windows(runs.withColumn("_x", per_rate), keys, ["_x"], step, origin)
     return wide.select(*keys, "t", F.explode("_x").alias("x")).select(
-        *keys, "t", F.col("x.r").alias("r"), F.col("x.cov_term").alias("cov_term"), F.col("x.il_term").alias("il_term"),
-        (F.col("x.cov_term") + F.col("x.il_term")).alias("z"),
+        *keys, "t", F.col("x.r").alias("r"), unscaled(F.col("x.cov")).alias("cov_term"), unscaled(F.col("x.il")).alias("il_term"),
+        unscaled(F.col("x.cov") + F.col("x.il")).alias("z"),
     )
 
 
@@ -125,7 +126,8 @@ def _combine(parts: list[DataFrame], keys: list[str], names: list[str]) -> DataF
     for part, name in zip(parts, names):
         piece = part.select(*keys, "t", F.col("score").alias(name))
         rows = piece if rows is None else rows.unionByName(piece, allowMissingColumns=True)
-    return rows.groupBy(*keys, "t").agg(*[unscaled(F.coalesce(F.sum(n), F.lit(0))).alias(n) for n in names])
+    sums = {n: F.coalesce(F.sum(n), F.lit(0)) for n in names}
+    return rows.groupBy(*keys, "t").agg(*[unscaled(c).alias(n) for n, c in sums.items()], unscaled(sum(sums.values(), F.lit(0))).alias("z"))
 
 
 def deletion_hanging_scan(pairs: DataFrame, keys: list[str], w: int, step: int, r: float, p: float, read_length: int, delta: int,
@@ -144,7 +146,7 @@ def deletion_hanging_scan(pairs: DataFrame, keys: list[str], w: int, step: int,
     args = (w, step, delta, r, p, mu, sigma, origin)
     minus = hanging_scores(classed.filter("cls IN ('minus', 'both')"), keys, "p_start", True, *args)
     plus = hanging_scores(classed.filter("cls IN ('plus', 'both')"), keys, "m_start", False, *args)
-    return _combine([minus, plus, il], keys, ["hang_minus", "hang_plus", "il_term"])
+    return _combine([minus, plus, il], keys, ["hang_minus", "hang_plus", "il_term"]).drop("z")
 
 
 def insertion_scan(pairs: DataFrame, keys: list[str], w: int, step: int, r: float, p: float, read_length: int, max_insert: int,
@@ -159,8 +161,7 @@ def insertion_scan(pairs: DataFrame, keys: list[str], w: int, step: int, r: floa
     args = (0, step, max_insert, r, p, mu, sigma, origin)
     minus = hanging_scores(classed.filter("cls IN ('minus', 'both')"), keys, "p_start", True, *args)
     plus = hanging_scores(classed.filter("cls IN ('plus', 'both')"), keys, "m_start", False, *args)
-    total = _combine([minus, plus, il], keys, ["hang_minus", "hang_plus", "il_term"])
-    return total.withColumn("z", F.col("hang_minus") + F.col("hang_plus") + F.col("il_term"))
+    return _combine([minus, plus, il], keys, ["hang_minus", "hang_plus", "il_term"])
 
 
 def call_peaks(track: DataFrame, keys: list[str], score: str, threshold: Column, step: int, min_gap: int = 1,

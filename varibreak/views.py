@@ -174,6 +174,69 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed regions, one per order: ``id, sample, chrom, start, end, svtype, method, score``."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id",
+        "IF(o_custkey % 3 = 0, 'control', 'case') AS sample",
+        "concat('chr', CAST(o_orderkey % 5 + 1 AS STRING)) AS chrom",
+        "32 * (o_orderkey div 5) + 1 + o_custkey % 32 AS start",
+        "32 * (o_orderkey div 5) + 6 + o_custkey % 32 + o_custkey % 40 AS end",
+        "element_at(array('DEL', 'DUP', 'INS', 'INV'), CAST(o_custkey % 4 + 1 AS INT)) AS svtype",
+        "element_at(array('sclip', 'cigar', 'seqcbs', 'bigd', 'disc', 'lcd', 'ldx', 'hax', 'cvg'),"
+        " CAST(o_custkey % 9 + 1 AS INT)) AS method",
+        "CAST(o_custkey % 100 AS DOUBLE) AS score",
+    )
+
+
+def breakends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discordant pairs as breakend rows, ends in read order."""
+    return aln(spark, sf_dir).filter("isize = 0 OR abs(isize) >= 1000").selectExpr(
+        "chrom AS chr1", "pos AS pos1", "strand = '-' AS goRight1", "mchrom AS chr2", "mpos AS pos2",
+        "(flag & 64) <> 0 AS goRight2", "rid AS cid", "concat(rid, '/m') AS mcid",
+    )
+
+
+def anchors(spark: SparkSession, sf_dir: str, sample: str | None = None) -> DataFrame:
+    """Discordant pairs as anchors: both reads' strands, chromosomes and extents."""
+    reads = aln(spark, sf_dir).filter("isize = 0 OR abs(isize) >= 1000")
+    if sample:
+        reads = reads.filter(F.col("sample") == sample)
+    return reads.selectExpr(
+        "strand = '+' AS lfwd", "chrom AS lchr", "pos AS lst", "pos + 99 AS led",
+        "(flag & 32) = 0 AS rfwd", "mchrom AS rchr", "mpos AS rst", "mpos + 99 AS red",
+    )
+
+
+def regions_sql() -> str:
+    return """
+regions AS (
+  SELECT o_orderkey AS id, CASE WHEN o_custkey % 3 = 0 THEN 'control' ELSE 'case' END AS sample,
+    'chr' || CAST(o_orderkey % 5 + 1 AS VARCHAR) AS chrom,
+    32 * (o_orderkey // 5) + 1 + o_custkey % 32 AS start,
+    32 * (o_orderkey // 5) + 6 + o_custkey % 32 + o_custkey % 40 AS "end",
+    (['DEL', 'DUP', 'INS', 'INV'])[o_custkey % 4 + 1] AS svtype,
+    (['sclip', 'cigar', 'seqcbs', 'bigd', 'disc', 'lcd', 'ldx', 'hax', 'cvg'])[o_custkey % 9 + 1] AS method,
+    CAST(o_custkey % 100 AS DOUBLE) AS score
+  FROM orders)"""
+
+
+def breakends_sql() -> str:
+    return """
+bnd AS (
+  SELECT chrom AS chr1, pos AS pos1, strand = '-' AS "goRight1", mchrom AS chr2, mpos AS pos2,
+    (flag & 64) <> 0 AS "goRight2", rid AS cid, rid || '/m' AS mcid
+  FROM aln WHERE isize = 0 OR abs(isize) >= 1000)"""
+
+
+def anchors_sql() -> str:
+    return """
+anchors AS (
+  SELECT sample, strand = '+' AS lfwd, chrom AS lchr, pos AS lst, pos + 99 AS led,
+    (flag & 32) = 0 AS rfwd, mchrom AS rchr, mpos AS rst, mpos + 99 AS red
+  FROM aln WHERE isize = 0 OR abs(isize) >= 1000)"""
+
+
 def _tile_sql(key: str, first: int, last: int) -> str:
     one = "translate(md5(CAST({} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
     return "concat(" + ", ".join(one.format(f"{key} + {5 * i}") for i in range(first, last + 1)) + ")"
