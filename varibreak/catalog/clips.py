@@ -118,12 +118,11 @@ def case_clusters(spark, d):
 @query("aln01_genome_matches", "aln genome", CLUSTERS_SQL + """,
 pat AS (SELECT side || ':' || chrom || ':' || CAST(position AS VARCHAR) AS pid, consensus AS pattern FROM clusters WHERE sample = 'case' AND length(consensus) > 30),
 g1 AS (SELECT chrom, tile, start, seq || coalesce(lead(seq) OVER w, '') || coalesce(lead(seq, 2) OVER w, '') || coalesce(lead(seq, 3) OVER w, '') AS seq FROM genome WINDOW w AS (PARTITION BY chrom ORDER BY tile)),
-km AS (SELECT chrom, start + i - 1 AS at, substr(seq, i, 15) AS kmer, substr(seq, i, 64) AS ahead FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),
-back AS (SELECT chrom, at, kmer, ahead FROM km),
-c1 AS (SELECT pid, pattern, chrom, at AS ms, ahead FROM pat JOIN km ON kmer = substr(pattern, 1, 15)),
-c2 AS (SELECT pid, pattern, k.chrom, k.at - length(pattern) // 2 AS ms FROM pat JOIN km k ON k.kmer = substr(pattern, length(pattern) // 2 + 1, 15)),
+km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 15) AS kmer, substr(seq, i, 64) AS ahead FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),
+c1 AS (SELECT pid, pattern, chrom, loc AS ms FROM pat JOIN km ON kmer = substr(pattern, 1, 15)),
+c2 AS (SELECT pid, pattern, k.chrom, k.loc - length(pattern) // 2 AS ms FROM pat JOIN km k ON k.kmer = substr(pattern, CAST(length(pattern) // 2 + 1 AS BIGINT), 15)),
 c AS (SELECT pid, pattern, chrom, ms FROM c1 UNION SELECT pid, pattern, chrom, ms FROM c2),
-v AS (SELECT c.pid, c.pattern, c.chrom, c.ms, substr(k.ahead, 1, length(pattern)) AS ref FROM c JOIN km k ON k.chrom = c.chrom AND k.at = c.ms)
+v AS (SELECT c.pid, c.pattern, c.chrom, c.ms, substr(k.ahead, 1, length(pattern)) AS ref FROM c JOIN km k ON k.chrom = c.chrom AND k.loc = c.ms)
 SELECT pid, chrom, ms AS mstart, ms + length(pattern) - 1 AS mend FROM v WHERE length(ref) = length(pattern) AND hamming(ref, pattern) <= 1""")
 def genome_matches(spark, d):
     pats = case_clusters(spark, d).filter(F.length("consensus") > C.MIN_CONSENSUS_LENGTH).select(
@@ -156,9 +155,9 @@ def remapped_breakends(spark, d):
 
 @query("aln06_self_similarity", "genome", """
 g1 AS (SELECT chrom, start, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY tile), '') AS seq FROM genome),
-km AS (SELECT chrom, start + i - 1 AS at, substr(seq, i, 12) AS kmer FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),
+km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 12) AS kmer FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),
 k2 AS (SELECT * FROM km WHERE length(kmer) = 12)
-SELECT chrom, kmer, count(*) AS n, min(at) AS first_at, max(at) AS last_at FROM k2 GROUP BY chrom, kmer HAVING count(*) > 1""")
+SELECT chrom, kmer, count(*) AS n, min(loc) AS first_at, max(loc) AS last_at FROM k2 GROUP BY chrom, kmer HAVING count(*) > 1""")
 def self_similarity(spark, d):
     """Repeated 12-mers of each chromosome: the points of a self-similarity plot, grouped by word."""
     return match.repeated_words(match.reference_tiles(views.genome_tiles(spark, d), TILE, 11), TILE, 12)

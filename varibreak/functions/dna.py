@@ -23,4 +23,13 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def within_one_mismatch(a: Column, b: Column) -> Column:
-    return (F.length(a) == F.length(b)) & ((a == b) | (hamming(a, b) <= 1))
+    """Equal length and at most one mismatch.
+
+    One half must then agree exactly; that cheap test comes first and the column
+    count runs only on what passes it.
+    """
+    length = F.length(b)
+    half = F.floor(length / 2).cast("int")
+    first = F.substr(a, F.lit(1), half) == F.substr(b, F.lit(1), half)
+    second = F.substr(a, half + 1, length) == F.substr(b, half + 1, length)
+    return (F.length(a) == length) & (first | second) & (hamming(a, b) <= 1)

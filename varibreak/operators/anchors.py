@@ -95,8 +95,8 @@ def _first_earlier(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def sweep_clusters(line: DataFrame, cell: int = CELL) -> DataFrame:
-    """Cluster of every distinct anchor: ``lst, led, rst, red, root`` (root = key of the opening anchor).
+def first_partners(line: DataFrame, cell: int = CELL) -> DataFrame:
+    """``node, parent`` for every anchor with an earlier overlapping partner.
 
     Anchors are spread over the square cells of the plane they touch; two that
     overlap share a cell, so the smallest partner over all cells is the parent.
@@ -106,12 +106,15 @@ def sweep_clusters(line: DataFrame, cell: int = CELL) -> DataFrame:
     tiles = lambda s, e: F.sequence(tile_of(F.col(s), cell), tile_of(F.col(e), cell))
     spread = nodes.withColumn("_x", F.explode(tiles("lst", "led"))).withColumn("_y", F.explode(tiles("rst", "red")))
     schema = ", ".join(f"{c} long" for c in KEY + ["p_" + c for c in KEY])
-    found = spread.groupBy("_x", "_y").applyInPandas(lambda pdf: _first_earlier(pdf), schema)
-    own = F.struct(*KEY)
+    found = spread.groupBy("_x", "_y").applyInPandas(_first_earlier, schema)
     parent = F.struct(*[F.col("p_" + c).alias(c) for c in KEY])
-    links = found.groupBy(own.alias("node")).agg(F.min(parent).alias("parent"))
-    all_nodes = nodes.select(own.alias("node"))
-    forest = all_nodes.join(links, "node", "left").select("node", F.coalesce("parent", "node").alias("parent"))
+    return found.groupBy(F.struct(*KEY).alias("node")).agg(F.min(parent).alias("parent"))
+
+
+def sweep_clusters(line: DataFrame, cell: int = CELL) -> DataFrame:
+    """Cluster of every distinct anchor: ``lst, led, rst, red, root`` (root = key of the opening anchor)."""
+    nodes = line.select(F.struct(*KEY).alias("node")).distinct()
+    forest = nodes.join(first_partners(line, cell), "node", "left").select("node", F.coalesce("parent", "node").alias("parent"))
     return find_roots(forest, "node", "parent").select("node.*", "root")
 
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
 from .intervals import TILE, count_overlaps, distance_to, island_of_points, islands, nearest_within, tile_of
 from .quantiles import grouped_quantiles
 
@@ -205,7 +206,7 @@ def classify(bnd: DataFrame, distance: int, case: DataFrame | None, control: Dat
     # later pairs overwrite only what they set themselves, so every field takes its last set value
     fields = ["EventType", "Partner", "EventStart", "EventEnd", "DonorStart", "DonorEnd", "FoldChange"]
     last = said.groupBy("row").agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f in fields])
-    out = bnd.join(last, "row", "left")
+    out = cut_lineage(bnd.join(last, "row", "left"))
     single = out.filter("EventType IS NULL AND chr1 = chr2").select(F.col("chr1").alias("chrom"), F.col("pos1").alias("st"), F.col("pos2").alias("ed"))
     small = F.col("pos2") - F.col("pos1")
     if case is not None:
@@ -243,8 +244,6 @@ def number_rows(bnd: DataFrame) -> DataFrame:
 
 def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Dense global row numbers by ``order``: a distributed sort plus partition offsets."""
-    from ..session import cut_lineage
-
     # the sorted table is pinned so that both uses below see the same partitions
     placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_mono", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mono"), 33)
@@ -303,3 +302,14 @@ def next_at_or_after(left: DataFrame, right: DataFrame, keys: list[str], left_po
     order = Window.partitionBy(*keys, "_tile").orderBy(F.desc("_p"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_in", F.min("_r").over(order)).filter("_kind = 0").join(later, [*keys, "_tile"])
     return left.join(found.select(*keys, F.col("_p").alias(left_pos), F.coalesce("_in", "_later").alias(name)), [*keys, left_pos], "left")
+
+
+def single_events(bnd: DataFrame) -> DataFrame:
+    """Type each breakend by itself: DEL or TANDEM.DUP under 10 kb by orientation, INTERCHROMOSOMAL across chromosomes."""
+    short = F.col("pos2") - F.col("pos1") < C.MIN_FOLD_LENGTH
+    event = (
+        F.when(F.col("chr1") != F.col("chr2"), "INTERCHROMOSOMAL")
+        .when(~F.col("goRight1") & F.col("goRight2") & short, "DEL")
+        .when(F.col("goRight1") & ~F.col("goRight2") & short, "TANDEM.DUP")
+    )
+    return bnd.select(*COLUMNS, event.alias("event"))

@@ -113,3 +113,13 @@ def bin_thresholds(windows: DataFrame, bins: DataFrame, keys: list[str], width:
 def override_thresholds(windows: DataFrame, table: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """As :func:`bin_thresholds` for an interval table ``chrom, start, end, <names>`` of disjoint rows."""
     return island_of_points(windows, table, keys, "t", {n: F.col(n) for n in names})
+
+
+def call_big_deletions(pairs: DataFrame, keys: list[str], min_pairs: int, max_size: int) -> DataFrame:
+    """Deletions from chains of overlapping over-long pairs (semantics chosen here).
+
+    ``pairs`` spans the inner distance; the call is the part all pairs share.
+    """
+    found = islands(pairs, keys, "start", "end", 0, {"_lo": ("max", F.col("start")), "_hi": ("min", F.col("end")), "support": ("sum", F.lit(1))})
+    kept = found.filter((F.col("support") >= min_pairs) & (F.col("_lo") < F.col("_hi")) & (F.col("_hi") - F.col("_lo") <= max_size))
+    return kept.select(*keys, F.col("_lo").alias("start"), F.col("_hi").alias("end"), "support", F.lit("DEL").alias("svtype"), F.lit("bigd").alias("method"))

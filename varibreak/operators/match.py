@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from ..functions.dna import reverse_complement, within_one_mismatch
 from .intervals import nearest_within, tile_of
 
@@ -114,7 +115,8 @@ def remap_clusters(clusters: DataFrame, tiles: DataFrame, size: int, max_matches
         )).alias("_o"),
     ).select(F.struct("cid", "_o.rc").alias("pid"), F.col("chrom").alias("home_chrom"), F.col("side").alias("home_side"),
              F.col("position").alias("home_pos"), "_o.pattern")
-    places = keep_rare(find_matches(wanted.select("pid", "pattern"), tiles, size), max_matches)
+    # genome-wide matches are counted, placed and looked up: written once
+    places = keep_rare(cut_lineage(find_matches(wanted.select("pid", "pattern"), tiles, size)), max_matches)
     placed = places.join(wanted.drop("pattern"), "pid")
     rc = F.col("pid.rc")
     opposite = F.when(F.col("home_side") == "L", F.lit("R")).otherwise(F.lit("L"))
@@ -124,7 +126,7 @@ def remap_clusters(clusters: DataFrame, tiles: DataFrame, size: int, max_matches
     targets = clusters.withColumn("cid", cid)
     near = nearest_within(placed, targets, ["chrom", "side"], "target", "position", max_distance - 1,
                           {"mcid": F.col("cid"), "mconsensus": F.col("consensus")}).filter("dist IS NOT NULL")
-    back = near.select(
+    back = cut_lineage(near).select(
         F.col("pid.cid").alias("cid"), rc.alias("rc"), F.col("home_chrom").alias("chrom"), "home_pos", "home_side",
         F.col("chrom").alias("chr2"), F.col("target").alias("pos2"), "mcid", "dist",
         F.when(rc, reverse_complement(F.col("mconsensus"))).otherwise(F.col("mconsensus")).alias("_dest"),
