@@ -139,9 +139,13 @@ def write_bed(calls: DataFrame, path: str, columns: list[str]) -> None:
     calls.select(*columns).orderBy(*columns[:2]).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
+def type_folder(svtype: Column) -> Column:
+    return F.when(svtype.isin("DEL", "DUP", "INS", "INV"), F.lower(svtype)).otherwise("oth")
+
+
 def write_typed_bed(variants: DataFrame, path: str) -> None:
     """One gzip TSV folder per variant type."""
-    (variants.withColumn("kind", F.when(F.col("svtype").isin("DEL", "DUP", "INS", "INV"), F.lower("svtype")).otherwise("oth"))
+    (variants.withColumn("kind", type_folder(F.col("svtype")))
      .write.mode("overwrite").partitionBy("kind").option("sep", "\t").option("compression", "gzip").csv(path))
 
 
