@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import BASES, MAX_CLUSTER_MISMATCH, MIN_BASES_PER_CLUSTER, MIN_COLUMN_OBSERVATIONS, MIN_READS_PER_CLUSTER
 from ..functions import flags
+from ..session import cut_lineage
 from ..functions.cigar import deletions, has_clip, insertions, soft_clip
 
 
@@ -65,8 +66,9 @@ def clip_clusters(aln: DataFrame, keys: list[str], min_reads: int = MIN_READS_PE
     of any mismatch rate.
     """
     at = [*keys, "side", "position"]
-    # equal clips collapse on the map side before anything is shuffled
-    distinct = clipped_reads(aln, keys).groupBy(*at, "clip").agg(F.count("*").alias("n"), F.sum("nbases").alias("bases"))
+    # equal clips collapse on the map side before anything is shuffled; the result is read
+    # twice below and is far smaller than the reads, so the reads are scanned once
+    distinct = cut_lineage(clipped_reads(aln, keys).groupBy(*at, "clip").agg(F.count("*").alias("n"), F.sum("nbases").alias("bases")))
     support = distinct.groupBy(*at).agg(F.sum("n").alias("nreads"), F.sum("bases").alias("nbases")).filter(
         (F.col("nreads") >= min_reads) & (F.col("nbases") >= min_bases)
     )

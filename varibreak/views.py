@@ -118,19 +118,22 @@ def aln(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("100M"))
     )
     qc, dk, hk = F.col("qc"), F.col("dk"), F.col("hk")
-    inverted = F.col("kind") == 2
-    ahead = F.substring(_tiles(dk, 0, 1), 1, 64).substr(F.lit(1), qc)
-    behind = F.expr("right(b2, qc)")
-    base = base.withColumn("b2", _tiles(dk, -2, -1))
-    clip_r = F.when(inverted, _revcomp(behind)).otherwise(ahead)
-    clip_l = F.when(inverted, _revcomp(ahead)).otherwise(behind)
-    noisy = lambda s: F.when(F.expr("pk % 29 = 0"), F.concat(s.substr(1, 4), F.lit("N"), s.substr(F.lit(6), F.lit(64)))).otherwise(s)
-    base = base.withColumn("h2", _tiles(hk, -4, -1)).withColumn("pos", pos)
+    clipped, inverted, on_right = F.col("side").isNotNull(), F.col("kind") == 2, F.col("side") == "R"
+    # each bulky string is its own column, computed once and only for the reads that need it
+    other = F.when(on_right == inverted, F.expr("right(raw, qc)")).otherwise(F.expr("left(raw, qc)"))
+    base = (
+        base.withColumn("raw", F.when(clipped & (on_right == inverted), _tiles(dk, -2, -1)).when(clipped, _tiles(dk, 0, 1)))
+        .withColumn("clip", other)
+        .withColumn("clip", F.when(inverted, _revcomp(F.col("clip"))).otherwise(F.col("clip")))
+        .withColumn("clip", F.when(F.expr("pk % 29 = 0"), F.expr("concat(left(clip, 4), 'N', substring(clip, 6))")).otherwise(F.col("clip")))
+        .withColumn("pos", pos)
+    )
     seq = (
-        F.when(F.col("side") == "R", F.concat(F.expr("right(h2, 100 - qc)"), noisy(clip_r)))
-        .when(F.col("side") == "L", F.concat(noisy(clip_l), _tiles(hk, 0, 2).substr(F.lit(1), 100 - qc)))
-        .otherwise(_tiles(F.col("k"), 0, 4).substr(F.col("pos") - 32 * F.col("t"), F.lit(READ_LENGTH)))
+        F.when(on_right, F.concat(F.expr("right(home, 100 - qc)"), "clip"))
+        .when(clipped, F.concat("clip", F.expr("left(home, 100 - qc)")))
+        .otherwise(F.col("home").substr(F.col("pos") - 32 * F.col("t"), F.lit(READ_LENGTH)))
     )
+    base = base.withColumn("home", F.when(on_right, _tiles(hk, -4, -1)).when(clipped, _tiles(hk, 0, 2)).otherwise(_tiles(F.col("k"), 0, 4)))
     chrom = lambda c: F.concat(F.lit("chr"), F.expr(f"CAST({c} + 1 AS STRING)"))
     base = base.withColumn(
         "cls",
