@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def build_session(app_name: str = "varibreak", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; ``conf`` keys use ``__`` for dots."""
@@ -23,7 +27,9 @@ def build_session(app_name: str = "varibreak", master: str | None = None, **conf
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -49,5 +55,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per context, so that jobs run from any folder."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="varibreak-package-"), "varibreak"), "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
