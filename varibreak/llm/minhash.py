@@ -3,7 +3,8 @@
 Every five-word shingle is hashed once.  The leading bits of the hash choose a bin and the smallest hash of a
 bin stands for it.  An empty bin borrows from the bin its own probe sequence meets first; when four probes meet
 only empty bins, as in short texts, the fifth takes the first occupied bin at or behind its place (in a circle).
-So filling always ends and depends on the set of occupied bins alone.  Four low-order bits of each bin are packed
+So filling always ends and depends on the set of occupied bins alone.  A lent hash is mixed with the number of the
+bin that borrows it: the low bits of one hash must not agree by chance in many bins at once.  Four low-order bits of each bin are packed
 into longs.  Everything is made of built-in column functions.
 
 Defined cases: NULL is the empty text; a text of fewer than five words is one shingle; a text without words is
@@ -64,7 +65,8 @@ def with_fingerprint(df: DataFrame, text: Column, out: str, bin_bits: int = BIN_
         for row in table:
             seen = F.get(F.col(behind), F.get(row, j))
             met.append(F.when(place(seen) == F.get(row, j), seen))
-        return F.when(place(x) == j, x).otherwise(F.coalesce(*met, F.get(F.col(behind), F.get(final, j))))
+        lent = F.coalesce(*met, F.get(F.col(behind), F.get(final, j)))
+        return F.when(place(x) == j, x).otherwise(F.xxhash64(lent, j))
 
     df = df.withColumn(filled, F.when(F.size(behind) == bins, F.transform(F.col(behind), fill))).drop(behind)
     low = (1 << LOW_BITS) - 1
