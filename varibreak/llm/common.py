@@ -34,31 +34,44 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def next_in_descending_order(rows: DataFrame, key: str, payload: str, following: str, bits: int = 6) -> DataFrame:
+def _next_lower(ids: DataFrame, span: tuple[int, int], bits: int = 10) -> DataFrame:
+    """``b, nb``: the next smaller of the distinct longs ``b``; the smallest is followed by the largest.
+
+    Each level orders runs of at most ``2 ** bits`` numbers and hands one number per run to the next.
+    """
+    low, high = span
+    alone = high - low < 1 << bits
+    up = F.lit(0).cast("long") if alone else F.shiftright("b", bits)
+    run = Window.partitionBy("up").orderBy(F.col("b").desc())
+    inside = ids.select("b", up.alias("up")).withColumn("nb", F.lead("b").over(run))
+    heads = cut_lineage(ids.groupBy(up.alias("up")).agg(F.max("b").alias("head")))
+    if alone:
+        following = heads.select("up", "head")
+    else:
+        above = _next_lower(heads.select(F.col("up").alias("b")), (low >> bits, high >> bits), bits)
+        following = above.join(heads.withColumnRenamed("up", "nb"), "nb").select(F.col("b").alias("up"), "head")
+    return cut_lineage(inside.join(following, "up").select("b", F.coalesce("nb", "head").alias("nb")))
+
+
+def next_in_descending_order(rows: DataFrame, key: str, payload: str, following: str, bits: int = 6, span=None) -> DataFrame:
     """Add ``following``: the ``payload`` of the next row by descending ``key``; after the last row, that of the first.
 
-    ``key`` is a long without NULLs.  Rows are dealt to buckets of ``2 ** bits`` keys, and only the first row of
-    each bucket goes on to the next level, so no task sorts more than a few buckets.  Rows with equal keys follow
-    each other by ``payload``.
+    ``rows`` has the two columns ``key``, a long without NULLs, and ``payload``.  Rows are dealt to buckets of
+    ``2 ** bits`` keys and ordered inside them; the last row of a bucket is followed by the first row of the next
+    bucket, which is found from the bucket numbers alone.  Rows and first rows come from one shuffle.  Rows with
+    equal keys follow each other by ``payload``.  ``span`` is the least and largest key, looked up when not given.
     """
-    shift, up = f"_{key}_up", f"_{key}_first"
-    low, high = rows.agg(F.min(key), F.max(key)).first()
-    bucket = F.shiftright(F.col(key), bits)
-    window = Window.partitionBy(shift).orderBy(F.col(key).desc(), F.col(payload).asc_nulls_first())
-    inside = rows.withColumn(shift, bucket)
-    if low is None or low >> bits == high >> bits:
-        first = F.first(payload).over(window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        last = F.lead(F.lit(True)).over(window).isNull()
-        return inside.withColumn(following, F.when(last, first).otherwise(F.lead(payload).over(window))).drop(shift)
-    # the first row of a bucket: largest key, then smallest payload
-    heads = rows.groupBy(bucket.alias(shift)).agg(F.max(F.struct(F.col(key))).alias("_k")).select(shift, F.col("_k")[key].alias(key))
-    heads = rows.withColumn(shift, bucket).join(heads, [shift, key], "left_semi").groupBy(shift).agg(F.min(F.struct(payload)).alias("_p"))
-    heads = heads.select(F.col(shift).alias(key), F.col("_p")[payload].alias(payload))
-    above = next_in_descending_order(heads, key, payload, up, bits).select(F.col(key).alias(shift), up)
-    last = F.lead(F.lit(True)).over(window).isNull()
-    inside = inside.withColumn("_last", last).withColumn(following, F.lead(payload).over(window))
-    ends = inside.filter("_last").drop(following).join(above.withColumnRenamed(up, following), shift)
-    return inside.filter("NOT _last").unionByName(ends).drop("_last", shift)
+    low, high = span or rows.agg(F.min(key), F.max(key)).first()
+    if low is None:
+        return rows.withColumn(following, F.col(payload))
+    bucket = F.shiftright(F.col(key), bits).alias("b")
+    after = _next_lower(cut_lineage(rows.select(bucket).distinct()), (low >> bits, high >> bits))
+    window = Window.partitionBy("b").orderBy(F.col(key).desc(), F.col(payload).asc_nulls_first())
+    inside = rows.select(key, payload, bucket).withColumn(following, F.lead(payload).over(window))
+    inside = inside.withColumn("_head", F.lag(F.lit(True)).over(window).isNull()).withColumn("_last", F.lead(F.lit(True)).over(window).isNull())
+    heads = inside.filter("_head").select(F.col("b").alias("nb"), F.col(payload).alias(following))
+    ends = inside.filter("_last").select(key, payload, "b").join(after.join(heads, "nb").select("b", following), "b")
+    return inside.filter("NOT _last").select(key, payload, following).unionByName(ends.drop("b"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

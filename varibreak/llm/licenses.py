@@ -4,7 +4,8 @@ Every paragraph (line) of every document is classified by a multinomial logistic
 n-grams (one and two words) into licence families or ``unknown``.  Training rows are phrasings of the families,
 whole, with words dropped from either end and with foreign words around them, and ordinary paragraphs of the
 corpus as the unknown class, ``ORDINARY`` at most, chosen by hash.  A third of the rows is held out: a temperature
-is fitted on it, and the least probability a family needs is set so that no held-out ordinary paragraph passes.
+is fitted on it, and the least probability a family needs is set so that of the held-out ordinary paragraphs one
+in ``ADMITTED`` passes at most.
 A prediction counts only when the family's template agrees: at least ``NEAR`` of the template's word pairs stand
 in the paragraph.  Others are reported as unconfirmed.
 
@@ -19,7 +20,7 @@ import math
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
 
@@ -66,6 +67,8 @@ ORDINARY = 4000
 DIMENSIONS = 1 << 12
 NEAR = 0.8
 HELD_OUT = 3
+ADMITTED = 200
+FLOOR = 0.5
 
 
 def paragraph_words(paragraph: Column) -> Column:
@@ -101,7 +104,8 @@ def training_rows(spark: SparkSession, ordinary: DataFrame) -> DataFrame:
     cuts = cuts.withColumn("back", F.explode(F.sequence(F.lit(0), F.least(F.lit(3), F.floor(F.size("w") / 4).cast("int")))))
     whole = cuts.filter("front + back < size(w) - 1").select(
         "family", F.array_join(F.slice("w", F.col("front") + 1, F.size("w") - F.col("front") - F.col("back")), " ").alias("text"))
-    heads = ordinary.select(F.array_join(F.slice(F.split("text", " +"), 1, 4), " ").alias("other"), F.row_number().over(_by_hash()).alias("k"))
+    heads = ordinary.select(F.split("text", " +").alias("own"), F.row_number().over(_by_hash()).alias("k"))
+    heads = heads.select("k", F.explode(F.array(F.lit(4), F.lit(14))).alias("n"), "own").select("k", F.array_join(F.slice("own", 1, F.col("n")), " ").alias("other"))
     around = whole.withColumn("k", F.pmod(F.xxhash64("text"), F.lit(97)).cast("int") + 1).join(heads.filter("k <= 97"), "k")
     around = around.select("family", F.concat_ws(" ", "other", "text", "other").alias("text"))
     rows = whole.unionByName(around).unionByName(ordinary.select(F.lit(UNKNOWN).alias("family"), "text"))
@@ -109,8 +113,6 @@ def training_rows(spark: SparkSession, ordinary: DataFrame) -> DataFrame:
 
 
 def _by_hash():
-    from pyspark.sql import Window
-
     return Window.orderBy(F.xxhash64("text"), "text")  # over the bounded sample only
 
 
@@ -131,8 +133,8 @@ class LicenceModel:
         self.model = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=30).fit(learnt.coalesce(2))
         held = self.model.transform(table.filter("held_out")).select("label", vector_to_array("rawPrediction").alias("raw")).collect()
         self.temperature = self._fit_temperature(held)
-        passing = [max(self._softmax(r.raw)[1:]) for r in held if r.label == 0]
-        self.threshold = max([0.5, *passing])
+        passing = sorted(max(self._softmax(r.raw)[1:]) for r in held if r.label == 0)
+        self.threshold = max([FLOOR, *passing[:len(passing) - len(passing) // ADMITTED]])
 
     def _softmax(self, raw, temperature: float | None = None) -> list[float]:
         t = temperature or self.temperature

@@ -104,14 +104,16 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ``doc_id`` (NULL last); after the last comes the first.  Repeated rows are rows of their own.
     """
     least = -(1 << 63)
+    ids = F.coalesce("doc_id", F.lit(least)).cast("long")
+    span = docs.agg(F.min(ids), F.max(ids)).first()
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = with_fingerprint(base, F.col("text"), "fp")
-    base = base.select("doc_id", F.coalesce("doc_id", F.lit(least)).cast("long").alias("key"), F.struct("text", "fp").alias("own"))
-    both = next_in_descending_order(base, "key", "own", "other")
+    base = base.select(ids.alias("key"), F.struct("text", "fp", "doc_id").alias("own"))
+    both = next_in_descending_order(base, "key", "own", "other", span=span)
     n = F.length("own.text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("own.text"), F.lit(1), n - cut), F.substring(F.col("other.text"), F.lit(1), cut))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), F.col("own.fp").alias("fp"), F.col("other.fp").alias("next_fp"), edited.alias("edited"))
+    both = both.select("own.doc_id", n.cast("long").alias("n_chars"), F.col("own.fp").alias("fp"), F.col("other.fp").alias("next_fp"), edited.alias("edited"))
     both = with_fingerprint(both, F.col("edited"), "edited_fp")
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_hex(F.col("fp")).alias("fingerprint"),

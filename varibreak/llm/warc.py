@@ -96,12 +96,14 @@ def read_archive(content: bytes):
     decoder = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content[8:8 + size]))
     at, view = 8 + size, memoryview(content)
     while at < len(content):
-        frame = decoder.decompressobj()
-        record = frame.decompress(view[at:])
-        if not frame.eof:
-            raise ValueError("the archive ends inside a frame")
-        at = len(content) - len(frame.unused_data)
-        yield parse_record(record)
+        frame, record, step = decoder.decompressobj(), [], 2048
+        while not frame.eof:
+            if at >= len(content):
+                raise ValueError("the archive ends inside a frame")
+            record.append(frame.decompress(view[at:at + step]))
+            at, step = min(at + step, len(content)), 2 * step
+        at -= len(frame.unused_data)
+        yield parse_record(b"".join(record))
 
 
 def write_archives(pages: DataFrame, dictionary: bytes | None = None) -> DataFrame:
@@ -175,7 +177,7 @@ def export_archives(archives: DataFrame, folder: str) -> int:
         store.create_dir(path, recursive=True)
         for pdf in batches:
             for name, content in zip(pdf["archive"], pdf["content"]):
-                with store.open_output_stream(f"{path}/{name}.warc.zst") as out:
+                with store.open_output_stream(f"{path}/{name}.warc.zst", compression=None) as out:
                     out.write(content)
             yield pd.DataFrame({"n": [len(pdf)]})
 
