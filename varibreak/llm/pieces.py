@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession, functions as F
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 class PieceModel:
@@ -162,9 +162,9 @@ class PieceCodec:
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
             model = _model(sent)
-            flat, offsets = ids.flatten().to_pylist(), ids.offsets.to_pylist()
-            base = offsets[0]
-            return pa.array([model.decode(flat[a - base:b - base]) for a, b in zip(offsets, offsets[1:])], pa.string())
+            flat, offsets = ids.flatten().to_numpy(), ids.offsets.to_pylist()
+            base = offsets[0]  # only one document's ids become Python numbers at a time
+            return pa.array([model.decode(flat[a - base:b - base].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
 
         self._encode, self._decode = encode, decode
 
