@@ -76,21 +76,28 @@ def mean_coverage(aln: DataFrame, contigs: DataFrame, keys: list[str], by_chrom:
 
 
 def histogram_modes(values: np.ndarray, counts: np.ndarray, near: int = 100, r_min: float = 0.001, r_dip: float = 0.25):
-    """Modes of a count histogram, tallest first, masking each mode's hump."""
+    """``(value, share)`` of a histogram's modes, by value.
+
+    Values are taken by falling count while they hold at least ``r_min`` of the mass.  One that no taller mode has
+    claimed is a mode; it claims the values less than ``near`` away and its hump, the unbroken run of counts of at
+    least ``r_dip`` of its own.
+    """
     total = counts.sum()
-    masked = np.zeros(len(values), dtype=bool)
-    found = []
-    share = 1.0
-    while share > r_min and not masked.all():
-        top = int(np.argmax(np.where(masked, 0, counts)))
-        share = counts[top] / total
-        masked |= np.abs(values - values[top]) < near
-        low = np.flatnonzero(counts[: top + 1] < share * r_dip * total)
-        high = np.flatnonzero(counts[top:] < share * r_dip * total)
-        masked[(low[-1] if len(low) else 0) : (top + high[0] if len(high) else len(values) - 1) + 1] = True
-        if share >= r_min:
-            found.append((float(values[top]), float(share)))
-    return sorted(found)
+    claimed = np.zeros(len(values), dtype=bool)
+    modes = []
+    for peak in np.lexsort((values, -counts)):
+        if counts[peak] < r_min * total:
+            break
+        if claimed[peak]:
+            continue
+        dips = np.flatnonzero(counts < r_dip * counts[peak])
+        after = np.searchsorted(dips, peak)
+        start = dips[after - 1] + 1 if after else 0
+        stop = dips[after] if after < len(dips) else len(values)
+        claimed[start:stop] = True
+        claimed |= np.abs(values - values[peak]) < near
+        modes.append((float(values[peak]), float(counts[peak] / total)))
+    return sorted(modes)
 
 
 def density_modes(values: np.ndarray, counts: np.ndarray, near: float = 20.0, adjust: float = 2.0, points: int = 512):
