@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varibreak.operators import libstats, match, scan, simulate
+from tests import simulate
+from varibreak.operators import libstats, match, scan
 from varibreak.operators import thresholds as th
 
 
