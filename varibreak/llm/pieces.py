@@ -144,8 +144,17 @@ def _model(sent: Broadcast) -> PieceModel:
     return _LOADED[key]
 
 
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+
+
 class PieceCodec:
-    """Columns that encode texts and decode ids with the model at ``path``."""
+    """Columns that encode texts and decode ids with the model at ``path``.
+
+    ``encode_checked`` does both in one worker, so that a task needs one copy of the automaton and no decoded text
+    travels back.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         with open(path, "rb") as file:
@@ -154,10 +163,7 @@ class PieceCodec:
         @F.arrow_udf("array<int>")
         def encode(texts: pa.Array) -> pa.Array:
             model = _model(sent)
-            packed = [model.encode(t.as_py()) for t in texts]
-            sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+            return _lists([model.encode(t.as_py()) for t in texts])
 
         @F.arrow_udf("string")
         def decode(ids: pa.Array) -> pa.Array:
@@ -166,10 +172,24 @@ class PieceCodec:
             base = offsets[0]  # only one document's ids become Python numbers at a time
             return pa.array([model.decode(flat[a - base:b - base].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string())
 
-        self._encode, self._decode = encode, decode
+        @F.arrow_udf("ids array<int>, round_trip boolean")
+        def encode_checked(texts: pa.Array) -> pa.Array:
+            model = _model(sent)
+            packed, same = [], []
+            for value in texts:  # one document's ids and decoded text at a time
+                text = value.as_py() or ""
+                packed.append(model.encode(text))
+                same.append(model.decode(np.frombuffer(packed[-1], dtype="<i4").tolist()) == text)
+            return pa.StructArray.from_arrays([_lists(packed), pa.array(same, pa.bool_())], names=["ids", "round_trip"])
+
+        self._encode, self._decode, self._encode_checked = encode, decode, encode_checked
 
     def encode(self, text: Column | str) -> Column:
         return self._encode(text)
 
     def decode(self, ids: Column | str) -> Column:
         return self._decode(ids)
+
+    def encode_checked(self, text: Column | str) -> Column:
+        """Struct of the ids and whether decoding them gives the text back."""
+        return self._encode_checked(text)

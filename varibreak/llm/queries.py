@@ -41,10 +41,9 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text, and whether decoding them gives the text back."""
-    codec = PieceCodec(spark, PIECES)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = docs.withColumn("ids", codec.encode("text"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (codec.decode("ids") == F.col("text")).alias("round_trip"))
+    coded = docs.select("doc_id", PieceCodec(spark, PIECES).encode_checked("text").alias("coded"))
+    return coded.select("doc_id", F.size("coded.ids").cast("long").alias("n_ids"), "coded.ids", "coded.round_trip")
 
 
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
