@@ -89,9 +89,15 @@ def _pairs(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, paragraph, text``: the non-blank lines of every document."""
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("paragraph", "text"))
-    return rows.filter(F.trim("text") != "")
+    """``doc_id, paragraph, text, words``: the non-blank lines of every document.
+
+    The words come out of the generator with the line: a filter on the prediction moves below projections and would
+    take a line apart once for every mention of its words, but it does not move below a generator.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
+    parts = F.transform(lines, lambda line: F.struct(line.alias("text"), paragraph_words(line).alias("words")))
+    rows = docs.select("doc_id", F.posexplode(parts).alias("paragraph", "part"))
+    return rows.select("doc_id", "paragraph", "part.text", "part.words").filter(F.trim("text") != "")
 
 
 def training_rows(spark: SparkSession, ordinary: DataFrame) -> DataFrame:
@@ -122,7 +128,8 @@ class LicenceModel:
     def __init__(self, docs: DataFrame, ordinary: int = ORDINARY):
         spark = docs.sparkSession
         cues = F.arrays_overlap(paragraph_words(F.col("text")), F.array(*[F.lit(w) for w in ("license", "licensed", "licence", "copyright", "reserved", "spdx-license-identifier")]))
-        sample = paragraphs(docs).filter(~cues).select("text").orderBy(F.xxhash64("text"), "text").limit(ordinary)
+        lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\r?\n")).alias("text")).filter(F.trim("text") != "")
+        sample = lines.filter(~cues).select("text").orderBy(F.xxhash64("text"), "text").limit(ordinary)
         rows = cut_lineage(training_rows(spark, cut_lineage(sample)))
         self.families = [UNKNOWN, *sorted(TEMPLATES)]
         label = F.array_position(F.array(*[F.lit(f) for f in self.families]), F.col("family")).cast("double") - 1
@@ -148,8 +155,8 @@ class LicenceModel:
         return min(grid, key=loss)
 
     def classify(self, rows: DataFrame) -> DataFrame:
-        """Add ``family`` and ``probability`` to rows with ``text``; paragraphs below the threshold are unknown."""
-        scored = self.model.transform(self.hashing.transform(rows.withColumn("words", paragraph_words(F.col("text"))).withColumn("grams", grams(F.col("words")))))
+        """Add ``family`` and ``probability`` to rows with ``words``; paragraphs below the threshold are unknown."""
+        scored = self.model.transform(self.hashing.transform(rows.withColumn("grams", grams(F.col("words")))))
         scored = scored.filter(F.col("prediction") > 0).withColumn("raw", vector_to_array("rawPrediction"))
         top = F.array_max("raw")
         total = F.aggregate("raw", F.lit(0.0), lambda acc, v: acc + F.exp((v - F.array_max("raw")) / self.temperature))
