@@ -3,9 +3,10 @@ from tests.conftest import SMALL
 from pyspark.sql import functions as F
 
 from varibreak import views
-from varibreak.config import ClipOptions, JoinOptions, ScanOptions
+from varibreak.config import ClipOptions, JoinOptions, ScanOptions, parse_sample_pairs
 from varibreak.operators import breakends as be
 from varibreak.operators import clips
+from varibreak.operators.intervals import overlap_reduce
 from varibreak.plans import pipelines
 
 BND = "row long, chr1 string, pos1 long, goRight1 boolean, chr2 string, pos2 long, goRight2 boolean, cid string, mcid string"
@@ -80,3 +81,39 @@ def test_planted_events_reach_the_calls(spark, reads):
     assert 0 < kept_n <= raw_n
     assert {"sclip"} <= {r["method"] for r in raw.select("method").distinct().collect()}
     assert tracks.filter(F.col("cvg") > 0).count() > 1000
+
+
+def test_every_library_enters_the_scan_with_its_own_model(spark, reads):
+    # the two libraries of the sample differ in their insert sizes
+    half = F.when(F.col("rid") % 2 == 0, "one").otherwise("two") if dict(reads.dtypes)["rid"] == "bigint" else F.when(F.crc32(F.col("rid").cast("string").cast("binary")) % 2 == 0, "one").otherwise("two")
+    two = reads.filter("sample = 'case'").withColumn("lib", half)
+    model = "sample string, lib string, rl double, `is` double, sdR double, p_left double, p_right double"
+    rows = {"one": ("case", "one", 100.0, 300.0, 40.0, 0.01, 0.02), "two": ("case", "two", 100.0, 350.0, 60.0, 0.03, 0.0)}
+    table = lambda *names: spark.createDataFrame([rows[n] for n in names], model)
+    options = ScanOptions(width=100, step=100, big_deletion=1000)
+    score = lambda aln, libs: {(r["chrom"], r["t"]): (r["lCd"], r["lDl"], r["lDr"]) for r in pipelines.scan_libraries(aln, libs, options).collect()}
+    both, one, other = score(two, table("one", "two")), score(two, table("one")), score(two, table("two"))
+    assert both != one and both != other
+    assert set(both) == set(one) | set(other)
+    for at, got in both.items():
+        want = [x + y for x, y in zip(one.get(at, (0, 0, 0)), other.get(at, (0, 0, 0)))]
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_options_per_sample():
+    known = {"minmpr", "maxins"}
+    assert parse_sample_pairs("minmpr=2,maxins=50:minmpr=5,maxins=60", known) == ({"minmpr": "2", "maxins": "50"}, {"minmpr": "5", "maxins": "60"})
+    assert parse_sample_pairs("minmpr=2", known) == ({"minmpr": "2"}, {"minmpr": "2"})
+    with pytest.raises(ValueError, match="unknown options"):
+        parse_sample_pairs("minmp=2", known)
+
+
+def test_fold_limits_are_used(spark):
+    df = spark.createDataFrame([(1, "a", 100, False, "a", 900, True, "c", "m")], BND)
+    assert be.classify(df, 100, None, min_length=500).first()["EventType"] is None
+
+
+def test_positions_past_the_dyadic_levels_are_an_error(spark):
+    far = spark.createDataFrame([("a", 2**31, 2**31 + 5)], "chrom string, start long, end long")
+    with pytest.raises(Exception, match="dyadic"):
+        overlap_reduce(far, far, ["chrom"], "start", "end", {"n": ("sum", F.lit(1))}).collect()

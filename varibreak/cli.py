@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .config import ClipOptions, JoinOptions, ScanOptions, StatOptions, parse_int_pair
 from .plans import pipelines
-from .session import build_session
+from .session import build_session, cut_lineage
 from .sinks import vcf
 from .sources.alignments import read_samples, register
 from .sources.tables import read_gaps
@@ -62,27 +62,28 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "stat":
         vcf.write_table(stats, args.out)
         return
-    case = stats.filter("sample = 'case'").first()  # one row per library of the case
+    stats = cut_lineage(stats)  # one row per library, read by every step below
     scan_options = ScanOptions(
         chromosome=args.chromosomeName, start=getattr(args, "scanStart", 1), end=getattr(args, "scanEnd", ScanOptions.end),
         mixing_rate=getattr(args, "mixingRate", ScanOptions.mixing_rate), width=getattr(args, "windowWidth", ScanOptions.width), step=getattr(args, "stepSize", ScanOptions.step),
-        read_length=int(case["rl"]), insert_size=case["is"], insert_sd=case["sdR"], prob_hang=max(case["p_left"], 1e-6),
     )
     if args.command == "scan":
-        vcf.write_table(pipelines.scan_tracks(aln, scan_options), args.out, gzip=True)
+        vcf.write_table(pipelines.scan_libraries(aln, stats, scan_options), args.out, gzip=True)
         return
+    # coverage of case and control over all their libraries, and the longest mean read length of the case
+    case, control = (stats.filter(f"sample {sign} 'case'").agg(F.sum("cvg").alias("cvg"), F.max("rl").alias("rl")).first() for sign in ("=", "<>"))
     clip_options = ClipOptions(
         chromosome=args.chromosomeName, min_reads=parse_int_pair(getattr(args, "minReadPerCluster", "3:5")), min_bases=parse_int_pair(getattr(args, "minBasePerCluster", "30:50")),
         hotspot=parse_int_pair(getattr(args, "hotspot", "10000:3")), insertion=parse_int_pair(getattr(args, "insparam", "0:0")),
         min_separation=getattr(args, "minGapPair", 25), gap_distance=getattr(args, "gapdist", 100_000), coverage=not getattr(args, "nobam", False),
     )
     gaps = read_gaps(spark, args.gapfile) if getattr(args, "gapfile", None) else None
-    events, clusters = pipelines.clip_events(aln, pieces, gaps, case["cvg"], int(case["rl"]), clip_options)
+    events, clusters = pipelines.clip_events(aln, pieces, gaps, case["cvg"], int(case["rl"]), clip_options, control_coverage=control["cvg"])
     if args.command == "clip":
         events.write.mode("overwrite").parquet(f"{args.out}/events")
         vcf.write_vcf(vcf.event_records(events, clusters.select("cid", "nreads")), f"{args.out}/vcf")
         return
-    score_tracks = pipelines.scan_tracks(aln, scan_options)
+    score_tracks = pipelines.scan_libraries(aln, stats, scan_options)
     raw, confirmed = pipelines.join_calls(aln, score_tracks, events, scan_options.step, options=JoinOptions(tracks=args.tracks, big=args.big, confirm=args.confirm))
     vcf.write_bed(raw, f"{args.out}/raw.bed", ["chrom", "start", "end", "svtype", "method", "id"])
     vcf.write_vcf(vcf.name_records(vcf.call_records(confirmed, somatic=False), args.sample.split(",")[0]), f"{args.out}/confirmed.vcf")

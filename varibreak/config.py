@@ -12,6 +12,21 @@ def parse_pairs(text: str) -> dict[str, str]:
     return dict(item.split("=", 1) for item in text.split(",") if "=" in item)
 
 
+def parse_sample_pairs(text: str, known: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+    """``minmpr=2,maxins=50000:minmpr=5,maxins=50000`` -> options of control and case; a single part serves both."""
+    parts = [checked(parse_pairs(part), known) for part in text.split(":")]
+    if len(parts) > 2:
+        raise ValueError(f"one part per sample, control:case, not {text!r}")
+    return parts[0], parts[-1]
+
+
+def checked(options: dict[str, str], known: set[str]) -> dict[str, str]:
+    """``options``, which may hold words of ``known`` only."""
+    if unknown := sorted(set(options) - known):
+        raise ValueError(f"unknown options {unknown}; known are {sorted(known)}")
+    return options
+
+
 def parse_tracks(text: str) -> list[list[dict[str, str]]]:
     """``track=lCd,method=empr_track=ins,sup=50:track=...``: per sample (``:``) a list of tracks (``_track=``)."""
     samples = []
@@ -61,10 +76,10 @@ def parse_sample(text: str) -> dict[str, str]:
 
 @dataclass
 class StatOptions:
-    """xmax, yield, chromosome, outputs and step of the statistics command."""
+    """xmax, yield (None: all reads), chromosome, outputs and step of the statistics command."""
 
     xmax: int = 2000
-    yield_reads: int = 1_000_000
+    yield_reads: int | None = None
     chromosome: str = "A"
     out: str = "none"
     merged: str = "none"
@@ -87,8 +102,9 @@ class ScanOptions:
     insert_size: float | None = None
     insert_sd: float | None = None
     delta: int | None = None
-    big_deletion: int = 1000
+    big_deletion: int | None = None
     prob_hang: float | None = None
+    prob_hang_right: float | None = None
     prob_soft: float | None = None
     out: str = "input"
 

@@ -156,9 +156,14 @@ def fold_change(regions: DataFrame, case: DataFrame, control: DataFrame | None,
     return regions.join(out, ["chrom", "st", "ed"], "left")
 
 
-def classify(bnd: DataFrame, distance: int, case: DataFrame | None, control: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+def classify(bnd: DataFrame, distance: int, case: DataFrame | None, control: DataFrame | None = None, scale: float = 1.0,
+             del_fold: float = C.DEL_FOLD, dup_fold: float = C.DUP_FOLD, max_length: int = C.MAX_FOLD_LENGTH,
+             min_length: int = C.MIN_FOLD_LENGTH) -> DataFrame:
     """Type every breakend row: INV, INS.DUP, TRA, DOM.INS, DEL, TANDEM.DUP or INTERCHROMOSOMAL.
 
+    A fold change below ``del_fold`` is a loss, above ``dup_fold`` a gain; regions
+    of ``max_length`` or more are not measured, those under ``min_length`` need not be.
+
     Adjacent pairs are read in table order and later ones overwrite earlier ones.
     ``case``/``control`` are reads for coverage checks; without ``case`` no
     coverage is looked at.  Adds ``Distance, EventType, Partner, FoldChange,
@@ -181,7 +186,7 @@ def classify(bnd: DataFrame, distance: int, case: DataFrame | None, control: Dat
     pairs = pairs.filter("inv OR chrAm = chrBm").withColumn("dst", F.least("posAm", "posBm")).withColumn("ded", F.greatest("posAm", "posBm"))
     # the size limit guards the straight branch only; inverted donors are measured at any size
     checked = F.lit(case is not None) & ~F.col("inv") & F.col("shape").isNotNull() & (
-        (F.col("shape") == ".INV") | (F.col("ded") - F.col("dst") < C.MAX_FOLD_LENGTH)
+        (F.col("shape") == ".INV") | (F.col("ded") - F.col("dst") < max_length)
     )
     pairs = pairs.withColumn("checked", checked)
     if case is not None:
@@ -191,7 +196,7 @@ def classify(bnd: DataFrame, distance: int, case: DataFrame | None, control: Dat
     else:
         pairs = pairs.withColumn("fc", F.lit(None).cast("double")).withColumn("contrast", F.lit(None).cast("long"))
     fc = F.coalesce(F.col("fc"), F.lit(1.0))
-    grown = (fc > C.DUP_FOLD) & (F.col("contrast") > C.MIN_FOLD_READS)
+    grown = (fc > dup_fold) & (F.col("contrast") > C.MIN_FOLD_READS)
     ending = F.coalesce(F.col("shape"), F.lit(""))
     kind = F.when(F.col("inv"), F.lit("INV")).when(~F.col("checked"), F.concat(F.lit("DOM.INS"), ending)).when(grown, F.concat(F.lit("INS.DUP"), ending)).otherwise(F.concat(F.lit("TRA"), ending))
     shaped = ~F.col("inv") & F.col("shape").isNotNull()
@@ -210,17 +215,17 @@ def classify(bnd: DataFrame, distance: int, case: DataFrame | None, control: Dat
     single = out.filter("EventType IS NULL AND chr1 = chr2").select(F.col("chr1").alias("chrom"), F.col("pos1").alias("st"), F.col("pos2").alias("ed"))
     small = F.col("pos2") - F.col("pos1")
     if case is not None:
-        depth = fold_change(single.filter(F.col("ed") - F.col("st") < C.MAX_FOLD_LENGTH).distinct(), case, control, scale)
+        depth = fold_change(single.filter(F.col("ed") - F.col("st") < max_length).distinct(), case, control, scale)
         out = out.join(depth.select(F.col("chrom").alias("chr1"), F.col("st").alias("pos1"), F.col("ed").alias("pos2"), F.col("fc").alias("_fc"), F.col("contrast").alias("_cc")), ["chr1", "pos1", "pos2"], "left")
-        out = out.withColumn("_fc", F.when(small < C.MAX_FOLD_LENGTH, F.coalesce("_fc", F.lit(1.0))))
+        out = out.withColumn("_fc", F.when(small < max_length, F.coalesce("_fc", F.lit(1.0))))
     else:
         out = out.withColumn("_fc", F.lit(None).cast("double")).withColumn("_cc", F.lit(None).cast("long"))
     free = F.col("EventType").isNull() & (F.col("chr1") == F.col("chr2"))
     enough = F.coalesce(F.col("_cc") > C.MIN_FOLD_READS, F.lit(False))
-    short = small < C.MIN_FOLD_LENGTH
+    short = small < min_length
     loss, gain = free & ~F.col("goRight1") & F.col("goRight2"), free & F.col("goRight1") & ~F.col("goRight2")
-    is_del = loss & (short | F.coalesce((F.col("_fc") < C.DEL_FOLD) & enough, F.lit(False)))
-    is_dup = gain & (short | F.coalesce((F.col("_fc") > C.DUP_FOLD) & enough, F.lit(False)))
+    is_del = loss & (short | F.coalesce((F.col("_fc") < del_fold) & enough, F.lit(False)))
+    is_dup = gain & (short | F.coalesce((F.col("_fc") > dup_fold) & enough, F.lit(False)))
     called = is_del | is_dup
     kind = F.when(is_del, "DEL").when(is_dup, "TANDEM.DUP").when(F.col("EventType").isNull() & (F.col("chr1") != F.col("chr2")), "INTERCHROMOSOMAL").otherwise(F.col("EventType"))
     return out.select(
@@ -273,7 +278,7 @@ def call_insertions(left: DataFrame, right: DataFrame, read_length: int, min_rea
     paired = pair_clips(left, right.drop("position"), read_length).filter("Rclip IS NOT NULL")
     gap, total = F.col("dist"), F.col("nreads") + F.col("Rreads")
     if max_gap is None:
-        paired = paired.withColumn("_g", F.lit(0)).join(clip_gap(left, right), "_g")
+        paired = paired.crossJoin(F.broadcast(clip_gap(left, right).drop("_g")))  # one row
         limit: Column = F.col("max_gap")
     else:
         limit = F.lit(max_gap)

@@ -57,8 +57,8 @@ def deduplicate(calls: DataFrame, strict: bool = True) -> DataFrame:
 def accuracy(truth: DataFrame, called: DataFrame, keys: list[str]) -> DataFrame:
     """One row: hit, called, target, precision, recall, f1 (rates cut to three decimals)."""
     hit = overlapping(truth, called, keys)
-    count = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("_g", F.lit(0))
-    row = count(hit, "hit").join(count(called, "called"), "_g").join(count(truth, "target"), "_g").drop("_g")
+    count = lambda df, name: df.agg(F.count("*").alias(name))  # one row each
+    row = count(hit, "hit").crossJoin(F.broadcast(count(called, "called"))).crossJoin(F.broadcast(count(truth, "target")))
     cut = lambda x: F.floor(x * 1000.0) / 1000.0
     row = row.withColumn("precision", cut(F.try_divide(F.col("hit"), F.col("called")))).withColumn("recall", cut(F.try_divide(F.col("hit"), F.col("target"))))
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
@@ -67,9 +67,9 @@ def accuracy(truth: DataFrame, called: DataFrame, keys: list[str]) -> DataFrame:
 
 def type_breakdown(calls: DataFrame) -> DataFrame:
     """Calls per type and method with their share of all calls, in percent."""
-    counts = calls.groupBy("svtype", "method").agg(F.count("*").alias("n")).withColumn("_g", F.lit(0))
-    total = counts.groupBy("_g").agg(F.sum("n").alias("_t"))
-    return counts.join(total, "_g").select("svtype", "method", "n", (F.col("n") * 100.0 / F.col("_t")).alias("pct"))
+    counts = calls.groupBy("svtype", "method").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_t"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select("svtype", "method", "n", (F.col("n") * 100.0 / F.col("_t")).alias("pct"))
 
 
 def insert_alert(regions: DataFrame, reads: DataFrame, low: int, high: int) -> DataFrame:

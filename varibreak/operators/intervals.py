@@ -216,6 +216,8 @@ def _ancestors(pos: Column, levels: int) -> Column:
 
 def _cover(start: Column, end: Column, levels: int) -> Column:
     """The maximal dyadic blocks that tile ``[start, end]`` exactly (at most two per level)."""
+    end = F.when(end < 1 << levels, end).otherwise(F.raise_error(F.lit(f"a position is past 2 ** {levels}, the dyadic levels in use")).cast("long"))
+
     def at(level):
         size = F.pow(F.lit(2.0), level)
         first = F.ceil(start / size).cast("long")

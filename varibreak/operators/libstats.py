@@ -65,13 +65,13 @@ def weighted_quantiles(counts: DataFrame, keys: list[str], value: str, weight: s
 
 def mean_coverage(aln: DataFrame, contigs: DataFrame, keys: list[str], by_chrom: bool = False) -> DataFrame:
     """reads x read length / genome length, for the whole genome or per chromosome."""
-    length = contigs.select("chrom", F.col("length").alias("_len")) if by_chrom else contigs.agg(F.sum("length").alias("_len")).withColumn("_g", F.lit(0))
+    length = contigs.select("chrom", F.col("length").alias("_len")) if by_chrom else contigs.agg(F.sum("length").alias("_len"))
     group = [*keys, "chrom"] if by_chrom else list(keys)
     counts = aln.groupBy(*group).agg(
         F.count_if(F.col("flag").bitwiseAND(4) == 0).alias("nreads"),
         F.avg(F.when(flags.usable(F.col("flag")), F.col("qwidth"))).alias("rl"),
     )
-    joined = counts.join(length, "chrom") if by_chrom else counts.withColumn("_g", F.lit(0)).join(length, "_g")
+    joined = counts.join(length, "chrom") if by_chrom else counts.crossJoin(F.broadcast(length))  # one row
     return joined.select(*group, "nreads", "rl", (F.col("nreads") * F.col("rl") / F.col("_len")).alias("cvg"))
 
 

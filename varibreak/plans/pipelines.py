@@ -6,10 +6,12 @@ Inputs are the alignment schema (``sample, lib, rid, ...``), ``contigs``
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..config import ClipOptions, JoinOptions, ScanOptions, StatOptions, parse_confirm, parse_pairs, parse_tracks
+from ..config import ClipOptions, JoinOptions, ScanOptions, StatOptions, checked, parse_confirm, parse_sample_pairs, parse_tracks
 from ..functions.density import unscaled
 from ..functions.discrete import min_insertion_reads
 from ..functions.records import is_all_chromosomes
@@ -18,6 +20,10 @@ from ..operators import calls, clips, intervals, libstats, match, scan, tracks
 from ..session import cut_lineage
 
 HANG_LIMIT = 0.1  # largest hang or clip rate of a usable library (chosen here)
+LEAST_HANG = 1e-6  # stands for a hang rate of zero, whose logarithm has no value
+TRACK_WORDS = {"track", "method", "thresh", "sup", "gap", "cvg"}
+BIG_WORDS = {"minmpr", "maxins"}
+CONFIRM_WORDS = {"dedup", "nostrict"}
 
 
 def on_chromosomes(df: DataFrame, names: str) -> DataFrame:
@@ -28,7 +34,7 @@ def library_table(aln: DataFrame, contigs: DataFrame, options: StatOptions = Sta
     """One row per sample and library: read length, coverage, hang/clip rates, insert model and track fitness."""
     keys = ["sample", "lib"]
     reads, chosen = on_chromosomes(aln, options.chromosome), on_chromosomes(contigs, options.chromosome)
-    sampled = libstats.sample_reads(reads, options.yield_reads, keys)
+    sampled = reads if options.yield_reads is None else libstats.sample_reads(reads, options.yield_reads, keys)
     stats = libstats.read_stats(sampled, keys)
     model = libstats.library_parameters(sampled, keys)
     cover = libstats.mean_coverage(reads, chosen, keys).drop("rl")
@@ -41,7 +47,39 @@ def library_table(aln: DataFrame, contigs: DataFrame, options: StatOptions = Sta
 
 
 def scan_tracks(aln: DataFrame, options: ScanOptions) -> DataFrame:
-    """Score tracks per window: ``sample, chrom, t, lCd, lCi, lDl, lDr, cvg``.
+    """Score tracks per window: ``sample, chrom, t, lCd, lCi, lDl, lDr, cvg``, all reads by the one model in ``options``."""
+    return _window_totals(_window_terms(aln, options))
+
+
+def scan_libraries(aln: DataFrame, libraries: DataFrame, options: ScanOptions) -> DataFrame:
+    """As ``scan_tracks``, the sum over the libraries of each sample, each scored by its own model.
+
+    ``libraries`` is the library table; a value set in ``options`` stands before the one learned.  The driver reads
+    that table, one row per library.
+    """
+    rows = None
+    for lib in libraries.orderBy("sample", "lib").collect():
+        first = lambda given, learned: learned if given is None else given
+        own = replace(
+            options, read_length=int(first(options.read_length, lib["rl"])), insert_size=first(options.insert_size, lib["is"]),
+            insert_sd=first(options.insert_sd, lib["sdR"]), prob_hang=first(options.prob_hang, max(lib["p_left"], LEAST_HANG)),
+            prob_hang_right=first(options.prob_hang_right, first(options.prob_hang, max(lib["p_right"], LEAST_HANG))),
+        )
+        mine = aln.filter((F.col("sample") == lib["sample"]) & (F.col("lib") == lib["lib"]))
+        part = _window_terms(mine, own)
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        raise ValueError("the library table has no rows")
+    return _window_totals(rows)
+
+
+def _window_totals(rows: DataFrame) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.groupBy("sample", "chrom", "t").agg(*[unscaled(total(c)).alias(c) for c in ("lCd", "lCi", "lDl", "lDr")], total("cvg").alias("cvg"))
+
+
+def _window_terms(aln: DataFrame, options: ScanOptions) -> DataFrame:
+    """Scaled integer terms per window, several rows per window.
 
     Straddling terms use proper plus-strand pairs, hanging terms reads whose mate is unmapped.
     """
@@ -49,27 +87,29 @@ def scan_tracks(aln: DataFrame, options: ScanOptions) -> DataFrame:
         raise ValueError("insert size and its deviation come from the library table")
     keys, w, step = ["sample", "chrom"], options.width, options.step
     rl, mu, sd = options.read_length or 100, options.insert_size, options.insert_sd
-    delta = options.delta or int(mu + 3 * sd)
+    delta = options.delta or int(mu + 6 * sd)
+    big_deletion = options.big_deletion or int(mu + 3 * sd)
     reads = on_chromosomes(aln, options.chromosome).filter(F.col("pos").between(options.start, options.end) & (F.col("flag").bitwiseAND(C.DUPLICATE + C.QC_FAIL + C.UNMAPPED) == 0))
-    proper = reads.filter((F.col("isize") > 2 * rl) & (F.col("mchrom") == F.col("chrom")) & (F.col("isize") < options.big_deletion))
+    proper = reads.filter((F.col("isize") > 2 * rl) & (F.col("mchrom") == F.col("chrom")) & (F.col("isize") < big_deletion))
     frags = proper.select(*keys, (F.col("pos") + rl).alias("start"), (F.col("pos") + F.col("isize") - rl - 1).alias("end"), "isize")
     term = lambda shift: scan.scaled(scan.mixture_term(scan.shifted_ratio(F.col("isize"), shift, mu, sd), options.mixing_rate))
     cut = scan.windows_within(frags.withColumn("d", term(w)).withColumn("i", term(-w)), F.col("start"), F.col("end"), w, step, options.start)
     runs = scan.window_sums(cut, keys, {"lCd": F.col("d"), "lCi": F.col("i"), "cvg": F.lit(1)})
     rows = scan.to_windows(runs, keys, ["lCd", "lCi", "cvg"], step, options.start)
     hang = reads.filter(F.col("flag").bitwiseAND(1 + C.UNMAPPED + C.MATE_UNMAPPED) == 1 + C.MATE_UNMAPPED)
-    for strand, before, name in (("+", True, "lDl"), ("-", False, "lDr")):
-        part = scan.hanging_scores(hang.filter(F.col("strand") == strand), keys, "pos", before, w, step, delta, options.mixing_rate, options.prob_hang or 0.05, mu, sd, options.start)
+    left = options.prob_hang or 0.05
+    for strand, before, name, rate in (("+", True, "lDl", left), ("-", False, "lDr", options.prob_hang_right or left)):
+        part = scan.hanging_scores(hang.filter(F.col("strand") == strand), keys, "pos", before, w, step, delta, options.mixing_rate, rate, mu, sd, options.start)
         rows = rows.unionByName(part.select(*keys, "t", F.col("score").alias(name)), allowMissingColumns=True)
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return rows.groupBy(*keys, "t").agg(*[unscaled(total(c)).alias(c) for c in ("lCd", "lCi", "lDl", "lDr")], total("cvg").alias("cvg"))
+    return rows
 
 
 def clip_events(aln: DataFrame, pieces: DataFrame, gaps: DataFrame | None, coverage: float, read_length: int,
-                options: ClipOptions = ClipOptions(), tile: int = 4096) -> tuple[DataFrame, DataFrame]:
+                options: ClipOptions = ClipOptions(), tile: int = 4096, control_coverage: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Typed breakends with insertion rows, and the case clusters they rest on.
 
-    ``tile`` must be at least the longest consensus; control clusters and gap
+    With control reads the fold change compares case with control, scaled by
+    ``coverage`` over ``control_coverage`` (1 when not given).  ``tile`` must be at least the longest consensus; control clusters and gap
     regions are removed before remapping, hotspots, near-duplicates and short
     pairs before typing.
     """
@@ -90,8 +130,12 @@ def clip_events(aln: DataFrame, pieces: DataFrame, gaps: DataFrame | None, cover
     rows = be.hotspots(rows, ["chr1"], "pos1", *options.hotspot).filter(~F.col("hot")).drop("hot")
     rows = be.separated(be.drop_near_duplicates(rows, read_length), options.min_separation)
     span = lambda df: df.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("qwidth") - 1).alias("end"))
-    has_control = "control" in [r["sample"] for r in both.select("sample").distinct().limit(2).collect()]
-    events = be.classify(cut_lineage(be.number_rows(rows)), read_length, span(case) if options.coverage else None, span(control) if has_control else None)
+    has_control = control.limit(1).count() > 0
+    scale = coverage / control_coverage if control_coverage else 1.0
+    events = be.classify(
+        cut_lineage(be.number_rows(rows)), read_length, span(case) if options.coverage else None, span(control) if has_control else None, scale,
+        options.del_threshold, options.dup_threshold, options.max_fold, options.min_fold,
+    )
     named = kept.withColumn("cid", F.concat_ws(":", "side", "chrom", F.col("position").cast("string")))
     calm = be.hotspots(named, ["chrom", "side"], "position", *options.hotspot).filter(~F.col("hot")).drop("hot")
     side = lambda s: calm.filter(F.col("side") == s).select("chrom", "position", "nreads", "mismatch", "cid")
@@ -115,42 +159,51 @@ def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None
     """Raw and confirmed region calls from every kind of evidence.
 
     With a control each evidence keeps the case regions that overlap no control
-    region.  Track thresholds are the median plus ``level`` scaled deviations or
-    the number given.
+    region.  Options may be given per sample, ``control:case``; both must name
+    the same tracks.  Track thresholds are the median plus ``level`` scaled
+    deviations or the number given.
     """
-    per_sample = parse_tracks(options.tracks)
+    per_sample = [[checked(spec, TRACK_WORDS) for spec in part] for part in parse_tracks(options.tracks)]
+    if len(per_sample) > 2 or [s["track"] for s in per_sample[0]] != [s["track"] for s in per_sample[-1]]:
+        raise ValueError("track options are control:case with the same tracks in the same order")
+    wanted = parse_confirm(options.confirm)
+    if unknown := wanted - CONFIRM_WORDS:
+        raise ValueError(f"unknown confirmation {sorted(unknown)}; known are {sorted(CONFIRM_WORDS)}")
     found = []
+    is_case = F.col("sample") == "case"
 
-    def add(region: DataFrame) -> None:
+    def add(regions, control: dict[str, str], case: dict[str, str]) -> None:
+        """``regions`` gives the regions of all samples by one sample's options."""
         cols = ["chrom", "start", "end", "svtype", "method"]
-        case = region.filter(F.col("sample") == "case").select(*cols)
-        found.append(calls.region_difference(case, region.filter(F.col("sample") != "case").select(*cols), ["chrom"]))
+        ours, theirs = (regions(spec).filter(kept).select(*cols) for spec, kept in ((case, is_case), (control, ~is_case)))
+        found.append(calls.region_difference(ours, theirs, ["chrom"]))
 
-    for spec in per_sample[-1]:
+    def track_regions(spec: dict[str, str]) -> DataFrame:
         name, gap, support = spec["track"], int(spec.get("gap", 100)), int(spec.get("sup", 100))
         if name in ("ins", "del"):
             small = clips.indel_calls(aln, ["sample", "chrom"], int(spec.get("cvg", 5)))
-            add(small.filter(F.col("svtype") == name.upper()))
-            continue
+            return small.filter(F.col("svtype") == name.upper())
         parts = name.split("+")
         joint = score_tracks.withColumn("_s", F.least(*[F.col(p) for p in parts]) if len(parts) > 1 else F.col(parts[0]))
-        wanted = spec.get("thresh", "level3")
-        if wanted.startswith("level"):
-            limit = tracks.robust_threshold(joint, ["sample"], "_s", float(wanted.removeprefix("level")))
+        level = spec.get("thresh", "level3")
+        if level.startswith("level"):
+            limit = tracks.robust_threshold(joint, ["sample"], "_s", float(level.removeprefix("level")))
             joint, bound = joint.join(limit, "sample"), F.col("threshold")
         else:
-            bound = F.lit(float(wanted))
-        add(tracks.call_track(joint, ["sample", "chrom"], "_s", bound, step, origin, gap, support, "DEL", "lcd" if name == "lCd" else "ldx"))
-    big = parse_pairs(options.big)
-    over = aln.filter((F.col("isize") >= 1000) & (F.col("mchrom") == F.col("chrom"))).select(
+            bound = F.lit(float(level))
+        return tracks.call_track(joint, ["sample", "chrom"], "_s", bound, step, origin, gap, support, "DEL", "lcd" if name == "lCd" else "ldx")
+
+    for control, case in zip(per_sample[0], per_sample[-1]):
+        add(track_regions, control, case)
+    over =aln.filter((F.col("isize") >= 1000) & (F.col("mchrom") == F.col("chrom"))).select(
         "sample", "chrom", (F.col("pos") + F.col("qwidth") - 1).alias("start"), (F.col("pos") + F.col("isize") - F.col("qwidth")).alias("end")
     ).filter(F.col("start") <= F.col("end"))
-    add(calls.call_big_deletions(over, ["sample", "chrom"], int(big["minmpr"]), int(big["maxins"])))
+    big_regions = lambda spec: calls.call_big_deletions(over, ["sample", "chrom"], int(spec["minmpr"]), int(spec["maxins"]))
+    add(big_regions, *parse_sample_pairs(options.big, BIG_WORDS))
     if events is not None:
         found.append(event_regions(events).select("chrom", "start", "end", "svtype", "method"))
     raw = found[0]
     for part in found[1:]:
         raw = raw.unionByName(part)
     raw = cut_lineage(raw.withColumn("id", F.concat_ws(":", "method", "chrom", F.col("start").cast("string"), F.col("end").cast("string"), "svtype")).distinct())
-    wanted = parse_confirm(options.confirm)
     return raw, calls.deduplicate(raw, strict="nostrict" not in wanted) if "dedup" in wanted else raw
