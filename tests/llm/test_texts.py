@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from varibreak.llm import chat, common, minhash, simhash
+from varibreak.llm import chat, common, licenses, minhash, simhash
 from varibreak.llm.pieces import PieceCodec, PieceModel
 from varibreak.llm.queries import PIECES
 
@@ -221,3 +221,20 @@ def test_pieces_round_trip(spark, models):
     assert [r.back for r in sorted(rows, key=lambda r: r.i)] == [t or "" for t in texts]
     assert all(max(r.ids, default=0) < 32000 for r in rows)
     assert table.limit(0).count() == 0
+
+
+def test_pieces_encode_checked_equals_encode_and_decode(spark):
+    texts = [None, "", "plain words", "two  spaces \n and ▁ marks", "日本語 " * 300, "x" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    codec = PieceCodec(spark, PIECES)
+    got = rows.select("k", "text", codec.encode("text").alias("ids"), codec.encode_checked("text").alias("c")).collect()
+    for r in got:
+        assert r.c.ids == r.ids and r.c.round_trip
+    assert [r.c.ids for r in got if not r.text] == [[], []]
+
+
+def test_licence_paragraphs_carry_their_words(spark):
+    docs = spark.createDataFrame([(1, "One line.\n\n  \r\nThe (Second) line"), (2, None), (3, "")], "doc_id long, text string")
+    rows = licenses.paragraphs(docs).withColumn("again", licenses.paragraph_words(F.col("text"))).orderBy("paragraph").collect()
+    assert [(r.doc_id, r.paragraph, r.text) for r in rows] == [(1, 0, "One line."), (1, 3, "The (Second) line")]
+    assert all(r.words == r.again for r in rows)
