@@ -30,19 +30,23 @@ STRENGTH = (2.0, 1e6)
 BOUND = 0.999
 
 
-def features(text: Column) -> list[Column]:
-    """Counts of a text as shares: marks, capitals, table bars, repeated neighbours, repeated words, word length."""
-    text = F.coalesce(text, F.lit(""))
-    own = words(text)
+def with_features(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """Add ``out``, counts of a text as shares: marks, capitals, table bars, repeated neighbours, distinct words, word length.
+
+    The words are a column of their own, read several times, so that the optimizer splits a text once.
+    """
+    own, bare = fresh(rows, "_own", "_bare")
+    rows = rows.withColumn(bare, F.coalesce(F.col(text), F.lit(""))).withColumn(own, words(F.col(text)))
     n = F.size(own).cast("double")
-    chars = F.greatest(F.length(text), F.lit(1)).cast("double")
-    count = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("double")
-    again = F.size(F.filter(F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own)), lambda a, b: a == b), lambda x: x))
-    return [
-        count("%*#$&!") / n, count(r"\p{Lu}") / chars, count("|") / n, again / n,
-        F.size(F.array_distinct(own)) / n, F.least(chars / n, F.lit(40.0)) / 10.0, F.log1p(n) / 10.0,
-        F.length(F.regexp_replace(text, r"[\p{L}\p{N}\s]+", "")).cast("double") / chars,
-    ]
+    chars = F.greatest(F.length(bare), F.lit(1)).cast("double")
+    left = lambda dropped: F.length(F.regexp_replace(F.col(bare), dropped, "")).cast("double")
+    neighbours = F.zip_with(F.slice(own, 1, F.size(own) - 1), F.slice(own, 2, F.size(own)), lambda a, b: a == b)
+    again = F.size(F.array_remove(neighbours, False))
+    return rows.withColumn(out, F.array(
+        left("[^%*#$&!]+") / n, left(r"[^\p{Lu}]+") / chars, left("[^|]+") / n, again / n,
+        F.size(F.array_distinct(F.col(own))) / n, F.least(chars / n, F.lit(40.0)) / 10.0, F.log1p(n) / 10.0,
+        left(r"[\p{L}\p{N}\s]+") / chars,
+    )).drop(own, bare)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
@@ -69,7 +73,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarr
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("good"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # limit rows at most
-    rows = rows.select("good", F.array(*features(F.col("text"))).alias("x")).dropDuplicates().collect()
+    rows = with_features(rows, "text", "x").select("good", "x").dropDuplicates().collect()
     y = np.array([r.good for r in rows], dtype=float)
     if len(rows) < 10 or y.min() == y.max():
         return None
@@ -81,14 +85,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarr
     return coefficients
 
 
-def evidence(text: Column, coefficients: np.ndarray | None) -> Column:
-    """Log likelihood ratio of good against bad for one text."""
+def with_evidence(rows: DataFrame, text: str, coefficients: np.ndarray | None, out: str) -> DataFrame:
+    """Add ``out``, the log likelihood ratio of good against bad for one text."""
     if coefficients is None:
-        return F.lit(0.0)
+        return rows.withColumn(out, F.lit(0.0))
+    [counts] = fresh(rows, "_counts")
     total = F.lit(float(coefficients[-1]))
-    for weight, value in zip(coefficients, features(text)):
-        total = total + F.lit(float(weight)) * value
-    return total
+    for place, weight in enumerate(coefficients[:-1]):
+        total = total + F.lit(float(weight)) * F.get(F.col(counts), F.lit(place))
+    return with_features(rows, text, counts).withColumn(out, total).drop(counts)
 
 
 def _logit(p: Column) -> Column:
@@ -131,7 +136,8 @@ def global_rate(labels: DataFrame) -> float:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, source, lang, evidence, prior, probability, keep`` of every document."""
     coefficients, rate = train(docs, labels), global_rate(labels)
-    slim = cut_lineage(docs.select("doc_id", "source", "lang", evidence(F.col("text"), coefficients).alias("evidence")))
+    slim = with_evidence(docs.select("doc_id", "source", "lang", "text"), "text", coefficients, "evidence")
+    slim = cut_lineage(slim.select("doc_id", "source", "lang", "evidence"))
     return _judged(slim, site_posteriors(slim, rate), "evidence", "prior", "probability", "keep")
 
 
@@ -148,8 +154,7 @@ def _judged(rows: DataFrame, sites: DataFrame, evidence_col: str, prior: str, pr
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that ``score_documents`` keeps, with their columns."""
     coefficients, rate = train(docs, labels), global_rate(labels)
-    scored = docs.select("source", "lang", evidence(F.col("text"), coefficients).alias("evidence"))
-    sites = site_posteriors(scored, rate)
+    sites = site_posteriors(with_evidence(docs.select("source", "lang", "text"), "text", coefficients, "evidence"), rate)
     names = fresh(docs, "_evidence", "_prior", "_probability", "_keep", "_src", "_lng")
-    marked = docs.withColumn(names[0], evidence(F.col("text"), coefficients))
+    marked = with_evidence(docs, "text", coefficients, names[0])
     return _judged(marked, sites, *names[:4]).filter(F.col(names[3])).select(*docs.columns)
