@@ -170,6 +170,15 @@ def test_mix_counts(spark):
     assert mixing.mix_counts(table.limit(0)).count() == 0
 
 
+def test_mix_does_not_depend_on_partitions(spark):
+    table, _ = mixed(spark, 200)
+    key = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    dealt = table.repartition(7, "lang", "doc_id").sortWithinPartitions(F.col("doc_id").desc())
+    other = spark.createDataFrame(dealt.collect(), table.schema)
+    assert key(mixing.mix_counts(table)) == key(mixing.mix_counts(other))
+    assert key(mixing.mix_documents(table)) == key(mixing.mix_documents(other))
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     table, rows = mixed(spark, 120)
     out = mixing.mix_documents(table)

@@ -8,8 +8,9 @@ network that walks until it lands inside the range).  Slots and blocks are joine
 Whole passes come first: a target of 1.4 sizes is one full pass and 0.4 of a second, so no word is taken more
 than twice while targets stop at twice the size.  The last slot is cut so that the words add up.
 
-Block places come from prefix sums in steps (rows of a chunk, chunks of a partition, partitions of a source), so
-no task orders a whole source.  Everything drawn depends on the source's name and the seed, so reruns agree.
+Words stand in the order of a hash of their document.  Block places come from prefix sums in steps (rows of a chunk
+of hashes, chunks of a part, parts of a source), so no task orders a whole source.  Everything drawn depends on the
+source's name and the seed, and nothing on how rows are dealt to files or partitions, so reruns agree.
 
 Defined cases: NULL text has no words; NULL sources are one source, the last; a source without words has target
 0; rows that repeat are rows of their own (``row``); an empty table gives no rows.
@@ -21,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .common import fresh, word_count, words
@@ -32,7 +33,8 @@ TOP = 2.0
 BLOCK = 256
 SHARD_SLOTS = 4096
 SEED = 20_240_501
-CHUNK_BITS = 10
+PART_BITS = 10
+CHUNK_ROWS = 1024
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, top: float = TOP) -> DataFrame:
@@ -129,9 +131,10 @@ def _slots(sources: DataFrame, block: int, shard_slots: int) -> DataFrame:
     return drawn.mapInPandas(place, "sid long, shard long, block long, pass_no int, upto long")
 
 
-def _starts(sized: DataFrame) -> DataFrame:
-    """Add ``start``: words of the source before the row, in row order, without ordering a whole source in a task."""
-    rows = sized.withColumn("part", F.shiftright("row", 33)).withColumn("chunk", F.shiftright("row", CHUNK_BITS))
+def _starts(sized: DataFrame, rows_at_most: int) -> DataFrame:
+    """Add ``start``: words of the source before the row by ``place`` (a hash), without ordering a whole source in a task."""
+    bits = max(PART_BITS, (rows_at_most // CHUNK_ROWS).bit_length())
+    rows = sized.withColumn("part", F.shiftright("place", 64 - PART_BITS)).withColumn("chunk", F.shiftright("place", 64 - bits))
     chunks = cut_lineage(rows.groupBy("sid", "part", "chunk").agg(F.sum("size").alias("s")))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
@@ -139,12 +142,18 @@ def _starts(sized: DataFrame) -> DataFrame:
     parts = parts.select("sid", "part", F.coalesce(F.sum("s").over(before("sid", "part")), zero).alias("p"))
     chunks = chunks.withColumn("c", F.coalesce(F.sum("s").over(before("sid", "part", "chunk")), zero))
     chunks = chunks.join(parts, ["sid", "part"]).select("sid", "chunk", (F.col("c") + F.col("p")).alias("base"))
-    rows = rows.withColumn("r", F.coalesce(F.sum("size").over(before("sid", "chunk", "row")), zero))
-    return rows.join(chunks, ["sid", "chunk"]).withColumn("start", F.col("base") + F.col("r")).drop("part", "chunk", "r", "base")
+    rows = rows.withColumn("r", F.coalesce(F.sum("size").over(
+        Window.partitionBy("sid", "chunk").orderBy("place", "row").rowsBetween(Window.unboundedPreceding, -1)), zero))
+    return rows.join(chunks, ["sid", "chunk"]).withColumn("start", F.col("base") + F.col("r")).drop("part", "chunk", "r", "base", "place")
+
+
+def _place() -> Column:
+    """Where a document stands in its source; rows of one document and text are alike, so their order changes nothing."""
+    return F.xxhash64("doc_id", "text")
 
 
 def plan_mix(slim: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, **targets):
-    """Sources with targets and the pieces taken, for a checkpointed ``row, source, size``.
+    """Sources with targets and the pieces taken, for a checkpointed ``row, place, source, size``.
 
     Returns ``(sources, pieces)``; a piece ``row, shard, pass_no, skip, n`` takes ``n`` words of a row from word
     ``skip`` on.
@@ -152,7 +161,7 @@ def plan_mix(slim: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = cut_lineage(source_targets(sizes, **targets).withColumn("sid", F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))))
     sid = F.xxhash64(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    started = _starts(slim.filter("size > 0").select("row", sid.alias("sid"), "size"))
+    started = _starts(slim.filter("size > 0").select("row", "place", sid.alias("sid"), "size"), slim.count())
     end = F.col("start") + F.col("size")
     block_list = F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))
     parts = started.select("row", "sid", "start", end.alias("end"), F.explode(block_list).alias("block"))
@@ -166,9 +175,9 @@ def plan_mix(slim: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
 
 def mix_counts(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source, source_size, target, taken`` of every document."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id())
-    slim = cut_lineage(slim)
-    sources, pieces = plan_mix(slim.select("row", "source", "size"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place().alias("place"))
+    slim = cut_lineage(slim.withColumn("row", F.monotonically_increasing_id()))
+    sources, pieces = plan_mix(slim.select("row", "place", "source", "size"))
     taken = pieces.groupBy("row").agg(F.sum("n").alias("taken"))
     counted = slim.join(taken, "row", "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     # one row per source; Spark broadcasts it only while it is small
@@ -185,7 +194,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     row, size, pieces_col, piece = fresh(docs, "_row", "_size", "_pieces", "_piece")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    slim = cut_lineage(numbered.select(F.col(row).alias("row"), "source", word_count(F.col("text")).alias("size")))
+    slim = cut_lineage(numbered.select(F.col(row).alias("row"), _place().alias("place"), "source", word_count(F.col("text")).alias("size")))
     _, pieces = plan_mix(slim)
     wanted = pieces.groupBy("row", "pass_no").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("skip", "n"))).alias("cut"))
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("n", "cut")).alias(pieces_col))
