@@ -86,14 +86,17 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> np.ndarr
 
 
 def with_evidence(rows: DataFrame, text: str, coefficients: np.ndarray | None, out: str) -> DataFrame:
-    """Add ``out``, the log likelihood ratio of good against bad for one text."""
+    """Add ``out``, the log likelihood ratio of good against bad for one text.
+
+    It is declared never NULL: otherwise the optimizer tests that first and computes it twice.
+    """
     if coefficients is None:
         return rows.withColumn(out, F.lit(0.0))
     [counts] = fresh(rows, "_counts")
     total = F.lit(float(coefficients[-1]))
     for place, weight in enumerate(coefficients[:-1]):
         total = total + F.lit(float(weight)) * F.get(F.col(counts), F.lit(place))
-    return with_features(rows, text, counts).withColumn(out, total).drop(counts)
+    return with_features(rows, text, counts).withColumn(out, F.coalesce(total, F.lit(0.0))).drop(counts)
 
 
 def _logit(p: Column) -> Column:
