@@ -191,7 +191,8 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """
     fp, root, least, place = fresh(docs, "_fp", "_root", "_least", "_place")
     end = F.lit((1 << 63) - 1)
-    marked = docs.withColumn(fp, fingerprint("text"))
+    # never NULL, and declared so: otherwise the join key is tested first and the fingerprint computed twice
+    marked = docs.withColumn(fp, F.coalesce(fingerprint("text"), F.lit(0).cast("long")))
     slim = cut_lineage(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")))
     found = fingerprint_components(slim)
     owners = slim.groupBy("fp").agg(F.min(F.coalesce("doc_id", end)).alias("d")).join(found, "fp")
