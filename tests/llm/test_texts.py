@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from varibreak.llm import chat, common, licenses, minhash, simhash
+from varibreak.llm import chat, common, licenses, minhash, nearcopies, simhash
 from varibreak.llm.pieces import PieceCodec, PieceModel
 from varibreak.llm.queries import PIECES
 
@@ -155,6 +155,36 @@ def test_keep_one_per_group(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "9", "None"]
 
 
+@pytest.mark.parametrize("known", [0, 200_000])
+def test_near_copies_equal_brute_force(spark, monkeypatch, known):
+    monkeypatch.setattr(nearcopies, "KNOWN", known)
+    draw = random.Random(11)
+    passage = prose(40, 12)
+    texts = []
+    for k in range(40):
+        base = (prose(draw.randrange(20, 160), 100 + k) + (" " + passage if k % 2 else "")).split()
+        for _ in range(4):
+            words = list(base)
+            for _ in range(draw.randrange(5)):
+                words[draw.randrange(len(words))] = f"w{draw.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += ["", None, " \n", "one two", "One  TWO", "three"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))})
+    label = list(range(len(texts)))
+    near = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            near += sets[i] != sets[j]
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    assert near > 20
+    kept = simhash.keep_one_per_group(docs(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
 def test_next_in_descending_order(spark):
     ids = [0, 1, 2, 63, 64, 65, 4096, 1 << 30, -3, -(1 << 63), 64]
     rows = spark.createDataFrame([(i, f"p{i}") for i in ids], "key long, own string")

@@ -29,6 +29,7 @@ from pyspark.sql.types import LongType
 
 from ..session import cut_lineage
 from .common import connected_components, fresh
+from .nearcopies import near_copy_components, text_key
 
 SHINGLE = 3
 SEED = 42
@@ -187,17 +188,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest ``doc_id`` (NULL last).
 
-    Of rows that share that id and fingerprint, one stays.
+    Near copies share 0.8 of their five-word shingles, which no bit limit of the fingerprint promises to find, so the
+    components are those of ``nearcopies``, not of ``near_duplicates``.  Of rows that share id and text, one stays.
     """
-    fp, root, least, place = fresh(docs, "_fp", "_root", "_least", "_place")
-    end = F.lit((1 << 63) - 1)
-    # never NULL, and declared so: otherwise the join key is tested first and the fingerprint computed twice
-    marked = docs.withColumn(fp, F.coalesce(fingerprint("text"), F.lit(0).cast("long")))
-    slim = cut_lineage(marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp")))
-    found = fingerprint_components(slim)
-    owners = slim.groupBy("fp").agg(F.min(F.coalesce("doc_id", end)).alias("d")).join(found, "fp")
-    owners = owners.groupBy("root").agg(F.min(F.struct("d", "fp")).alias("o")).select(F.col("o.d").alias(least), F.col("o.fp").alias(root))
-    own = F.coalesce(F.col("doc_id").cast("long"), end)
-    kept = marked.withColumn(least, own).join(owners.withColumnRenamed(root, fp), [least, fp])
-    first = F.row_number().over(Window.partitionBy(least, fp).orderBy(F.xxhash64("text")))
+    key, root, least, place = fresh(docs, "_key", "_root", "_least", "_place")
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
+    marked = docs.withColumn(key, text_key(F.col("text"))).withColumn(least, own)
+    slim = cut_lineage(marked.groupBy(key).agg(F.min(least).alias(least)))
+    found = near_copy_components(docs).select(F.col("key").alias(key), F.col("root").alias(root))
+    owners = slim.join(found, key, "left").groupBy(F.coalesce(root, key).alias(root)).agg(F.min(F.struct(least, key)).alias("o"))
+    kept = marked.join(owners.select(F.col("o")[least].alias(least), F.col("o")[key].alias(key)), [least, key])
+    first = F.row_number().over(Window.partitionBy(least, key).orderBy(F.xxhash64("text")))
     return kept.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
