@@ -100,6 +100,18 @@ def test_every_library_enters_the_scan_with_its_own_model(spark, reads):
         assert got == pytest.approx(want, abs=1e-6)
 
 
+@pytest.mark.parametrize("option,want", [(None, {(20099, 20502), (40099, 41402)}), (1200, {(40099, 41402)})])
+def test_big_deletions_start_where_the_scan_leaves_pairs_out(spark, option, want):
+    # library one has mean 300 and sd 50, so its limit is 450; library wide has the limit 1300
+    cols = "rid long, sample string, lib string, chrom string, pos long, qwidth int, isize long, mchrom string, cigar string, flag int, seq string, mapq int"
+    pairs = [("one", 20000, 602, 6), ("wide", 30000, 1100, 6), ("wide", 40000, 1502, 6), ("one", 50000, 449, 6)]
+    rows = [(100 * k + i, "case", lib, "chr1", at, 100, size, "chr1", "100M", 99, "A" * 100, 60) for k, (lib, at, size, n) in enumerate(pairs) for i in range(n)]
+    aln = spark.createDataFrame(rows, cols)
+    libs = spark.createDataFrame([("case", "one", 300.0, 50.0), ("case", "wide", 1000.0, 100.0)], "sample string, lib string, `is` double, sdR double")
+    raw, _ = pipelines.join_calls(aln, None, None, 10, options=JoinOptions(tracks="track=del,cvg=3"), libraries=libs, scan_options=ScanOptions(big_deletion=option))
+    assert {(r["start"], r["end"]) for r in raw.filter("method = 'bigd'").collect()} == want
+
+
 def test_options_per_sample():
     known = {"minmpr", "maxins"}
     assert parse_sample_pairs("minmpr=2,maxins=50:minmpr=5,maxins=60", known) == ({"minmpr": "2", "maxins": "50"}, {"minmpr": "5", "maxins": "60"})

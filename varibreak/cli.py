@@ -84,7 +84,8 @@ def main(argv: list[str] | None = None) -> None:
         vcf.write_vcf(vcf.event_records(events, clusters.select("cid", "nreads")), f"{args.out}/vcf")
         return
     score_tracks = pipelines.scan_libraries(aln, stats, scan_options)
-    raw, confirmed = pipelines.join_calls(aln, score_tracks, events, scan_options.step, options=JoinOptions(tracks=args.tracks, big=args.big, confirm=args.confirm))
+    raw, confirmed = pipelines.join_calls(aln, score_tracks, events, scan_options.step, options=JoinOptions(tracks=args.tracks, big=args.big, confirm=args.confirm),
+                                         libraries=stats, scan_options=scan_options)
     vcf.write_bed(raw, f"{args.out}/raw.bed", ["chrom", "start", "end", "svtype", "method", "id"])
     vcf.write_vcf(vcf.name_records(vcf.call_records(confirmed, somatic=False), args.sample.split(",")[0]), f"{args.out}/confirmed.vcf")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
 from ..config import ClipOptions, JoinOptions, ScanOptions, StatOptions, checked, parse_confirm, parse_sample_pairs, parse_tracks
@@ -154,10 +154,29 @@ def event_regions(events: DataFrame) -> DataFrame:
     return one.select(F.col("chr1").alias("chrom"), F.least("EventStart", "EventEnd").alias("start"), F.greatest("EventStart", "EventEnd").alias("end"), kind.alias("svtype"), F.lit("sclip").alias("method"))
 
 
+def big_deletion_limit(options: ScanOptions, mu: Column, sd: Column) -> Column:
+    """The insert size from which a pair is a big deletion and no longer scored."""
+    return F.lit(options.big_deletion) if options.big_deletion else F.floor(mu + 3 * sd)
+
+
+def _from_big_deletion(aln: DataFrame, libraries: DataFrame | None, options: ScanOptions) -> DataFrame:
+    """The reads at or above their library's limit, by the same values as the scan."""
+    given = lambda value, learned: F.lit(float(value)) if value is not None else F.col(learned)
+    if libraries is None:
+        libraries = libstats.library_parameters(aln, ["sample", "lib"])
+    limit = big_deletion_limit(options, given(options.insert_size, "is"), given(options.insert_sd, "sdR"))
+    limits = libraries.select("sample", "lib", limit.alias("_limit"))
+    return aln.join(F.broadcast(limits), ["sample", "lib"]).filter(F.col("isize") >= F.col("_limit")).drop("_limit")  # one row per library
+
+
 def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None, step: int, origin: int = 1,
-               options: JoinOptions = JoinOptions()) -> tuple[DataFrame, DataFrame]:
+               options: JoinOptions = JoinOptions(), libraries: DataFrame | None = None, scan_options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
     """Raw and confirmed region calls from every kind of evidence.
 
+    Pairs count as big deletions from the size at which the scan leaves them out: the option, or the limit of their
+    library in ``libraries`` (the library table).  Without that table the libraries are learned from
+    the reads; a model set in ``scan_options`` stands before the one learned, as in ``scan_libraries``.
+
     With a control each evidence keeps the case regions that overlap no control
     region.  Options may be given per sample, ``control:case``; both must name
     the same tracks.  Track thresholds are the median plus ``level`` scaled
@@ -195,7 +214,7 @@ def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None
 
     for control, case in zip(per_sample[0], per_sample[-1]):
         add(track_regions, control, case)
-    over =aln.filter((F.col("isize") >= 1000) & (F.col("mchrom") == F.col("chrom"))).select(
+    over = _from_big_deletion(aln, libraries, scan_options).filter(F.col("mchrom") == F.col("chrom")).select(
         "sample", "chrom", (F.col("pos") + F.col("qwidth") - 1).alias("start"), (F.col("pos") + F.col("isize") - F.col("qwidth")).alias("end")
     ).filter(F.col("start") <= F.col("end"))
     big_regions = lambda spec: calls.call_big_deletions(over, ["sample", "chrom"], int(spec["minmpr"]), int(spec["maxins"]))
