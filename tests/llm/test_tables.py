@@ -111,6 +111,15 @@ def test_url_rules_and_propagation(spark):
     assert urls.judge_pages(pages(spark, [])).count() == 0
 
 
+def test_a_small_chain_settles_in_a_large_corpus(spark):
+    seeds = spark.createDataFrame([("trust", "big", 1e8), ("trust", "h0", 10.0)], "kind string, host string, mass double")
+    edges = spark.createDataFrame([("trust", f"h{i}", f"h{i + 1}", 1.0) for i in range(4)], "kind string, src string, dst string, share double")
+    got = {r.host: r.mass for r in urls.propagate(seeds, edges).collect()}
+    assert got == pytest.approx({"big": 1e8} | {f"h{i}": 10 * urls.DAMPING**i for i in range(5)})
+    with pytest.raises(ValueError, match="settled"):
+        urls.propagate(seeds, edges, rounds=2)
+
+
 def brute_targets(sizes, weights=(3, 1, 2), share=1.5, top=2.0):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}

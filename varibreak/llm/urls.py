@@ -22,7 +22,7 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 DAMPING = 0.85
 THRESHOLD = 0.5
 TOLERANCE = 1e-6
-ROUNDS = 60
+ROUNDS = 400
 
 
 def host_of(url: Column) -> Column:
@@ -56,14 +56,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``kind, host, mass``: personalised PageRank of the seeds ``kind, host, mass`` over ``kind, src, dst, share``.
 
-    The mass of a seed without edges is its own; the total follows the seeds.  Ends when a round moves less than
-    ``tolerance`` of it, or after ``rounds``.
+    The mass of a seed without edges is its own.  All later rounds together move at most ``damping / (1 - damping)``
+    of what a round has moved; ends when that is ``tolerance`` pages or less, however large the corpus is (a host has
+    one page at least).  Not to get there in ``rounds`` is an error.
     """
     seeds = cut_lineage(seeds)
     edges = cut_lineage(edges)
     if not edges.limit(1).count():
         return seeds
-    current, total = seeds, seeds.agg(F.sum("mass")).first()[0] or 0.0
+    current = seeds
     for _ in range(rounds):
         flow = edges.join(current.withColumnRenamed("host", "src"), ["kind", "src"])
         flow = flow.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("mass") * F.col("share") * damping).alias("mass"))
@@ -72,9 +73,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         change = following.withColumnRenamed("mass", "now").join(current, ["kind", "host"], "full")
         moved = change.agg(F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("mass", F.lit(0.0))))).first()[0] or 0.0
         current = following
-        if moved <= tolerance * total:
-            break
-    return current
+        if moved * damping <= tolerance * (1 - damping):
+            return current
+    raise ValueError(f"trust has not settled in {rounds} rounds")
 
 
 def judge_pages(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
