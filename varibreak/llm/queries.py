@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, licenses, minhash, mixing, quality, simhash, topk, urls, warc
+from . import chat, languages, licenses, minhash, mixing, quality, simhash, topk, urls, warc, whitening
 from .pieces import PieceCodec
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -61,6 +61,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(added)))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_report(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -71,7 +79,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_fingerprints, op2_exact_top_k, op3_license_scan, op4_source_mixing, op5_quality_classifier, op6_warc_zstd,
-        op7_url_filter, op8_sentencepiece, op9_simhash_groups, op10_chat_format, pipeline,
+        op7_url_filter, op8_sentencepiece, op9_simhash_groups, op10_chat_format, op11_language_id, op13_embedding_whitening, pipeline,
     )
 }
 
