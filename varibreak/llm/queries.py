@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import chat, languages, licenses, minhash, mixing, quality, simhash, topk, urls, warc, whitening
+from . import alignment, chat, languages, licenses, minhash, mixing, quality, simhash, topk, urls, warc, whitening
 from .pieces import PieceCodec
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_report(table(spark, sf_dir, "documents"))
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.Aligner(spark, BYTE_BPE, PIECES).report(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +84,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_fingerprints, op2_exact_top_k, op3_license_scan, op4_source_mixing, op5_quality_classifier, op6_warc_zstd,
-        op7_url_filter, op8_sentencepiece, op9_simhash_groups, op10_chat_format, op11_language_id, op13_embedding_whitening, pipeline,
+        op7_url_filter, op8_sentencepiece, op9_simhash_groups, op10_chat_format, op11_language_id, op12_tokenizer_alignment,
+        op13_embedding_whitening, pipeline,
     )
 }
 
