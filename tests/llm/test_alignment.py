@@ -72,6 +72,8 @@ def test_report_matches_loops(spark, monkeypatch, most):
     """Both with hashed counts and, past the size check, with joined counts."""
     monkeypatch.setattr(alignment, "MAX_PAIRS", most)
     monkeypatch.setattr(alignment, "CHUNK", 64)
+    monkeypatch.setattr(alignment, "STRETCH", 900)
+    monkeypatch.setattr(alignment, "HELD", 500)
     texts = EXTRA + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy(F.length("text")).limit(120).collect()]
     ids = [i if i % 7 else None for i in range(len(texts))]
     docs = spark.createDataFrame([(i, t, 1, "z") for i, t in zip(ids, texts)], "doc_id long, text string, PAIR int, Row string").repartition(3)
@@ -124,7 +126,8 @@ def test_minimal_perfect_hash():
 
 def test_links_of_a_small_batch():
     """Tokens ab|c|de over abcde and a|bcd|e: ends meet at 5 only, five stretches."""
-    a, b = pa.array([[1, 2, 3], []], pa.list_(pa.int32())), pa.array([[4, 5, 6], []], pa.list_(pa.int32()))
+    kind = np.dtype(np.uint16)
+    a, b = (alignment.ids_of(pa.array([b"", np.array(v, kind).tobytes(), b""], pa.binary())[1:], kind) for v in ([1, 2, 3], [4, 5, 6]))
     lengths = np.array([0, 2, 1, 2, 1, 3, 1])
     links = alignment.Links(a, b, lengths, lengths)
     assert [(p >> alignment.ID_BITS, p & 0xFFFFFF) for p in links.pair.tolist()] == [(1, 4), (1, 5), (2, 5), (3, 5), (3, 6)]

@@ -33,7 +33,8 @@ MAX_PAIRS = 8_000_000
 SHARDS = 256
 CHUNK = 4096
 SALTS = 8
-HELD = 2_000_000
+HELD = 1_000_000
+STRETCH = 400_000
 ID_BITS = 24
 # fixed values: how byte-level vocabularies write bytes as characters, how they split texts, the mark of a space
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -133,9 +134,22 @@ def _once(key: str, sent) -> Pair:
     return _LOADED[key]
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32)))
+def ids_of(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Packed ids of all documents behind each other, and their bounds."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]].view(kind).astype(np.int64), (offsets - offsets[0]) // kind.itemsize
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int = STRETCH):
+    """Parts of a batch whose values of a packed column hold about ``most`` bytes; a longer document is a part alone."""
+    offsets = np.frombuffer(batch.column(column).buffers()[1], dtype=np.int32)[batch.column(column).offset :][: batch.num_rows + 1].astype(np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, side="right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 # ---------------------------------------------------------------- alignment of a batch
@@ -147,10 +161,9 @@ class Links:
     Documents are laid one behind the other, so an end of a document is an end of both tokenizers.
     """
 
-    def __init__(self, a: pa.Array, b: pa.Array, a_bytes: np.ndarray, b_bytes: np.ndarray):
-        self.docs = len(a)
-        self.a, self.b = a.flatten().to_numpy(), b.flatten().to_numpy()
-        self.a_bounds, self.b_bounds = (np.concatenate([[0], np.cumsum(np.diff(x.offsets.to_numpy()))]) for x in (a, b))
+    def __init__(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], a_bytes: np.ndarray, b_bytes: np.ndarray):
+        (self.a, self.a_bounds), (self.b, self.b_bounds) = a, b
+        self.docs = len(self.a_bounds) - 1
         self.a_end, self.b_end = np.cumsum(a_bytes[self.a]), np.cumsum(b_bytes[self.b])
         ends = np.concatenate([self.a_end, self.b_end])
         ends.sort(kind="stable")  # two ordered runs
@@ -159,7 +172,7 @@ class Links:
         self.common = ends[np.flatnonzero(~first)]
         ends = ends[first]
         self.at_a, self.at_b = np.searchsorted(self.a_end, ends), np.searchsorted(self.b_end, ends)
-        self.pair = self.a[self.at_a].astype(np.int64) << ID_BITS | self.b[self.at_b]
+        self.pair = self.a[self.at_a] << ID_BITS | self.b[self.at_b]
         self.doc = np.searchsorted(self.a_bounds, self.at_a, side="right") - 1
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
@@ -275,15 +288,21 @@ class Aligner:
         if max(len(pair.a.bytes), len(pair.b.bytes)) > 1 << ID_BITS:
             raise ValueError(f"vocabularies of more than {1 << ID_BITS} ids")
         self.lengths = tuple(np.array([len(t) for t in side.bytes], dtype=np.int64) for side in (pair.a, pair.b))
+        self.kinds = tuple(np.dtype(np.uint16 if len(n) <= 1 << 16 else np.uint32) for n in self.lengths)
         self.folder = f"{checkpoint_folder(spark).rstrip('/')}/alignment-{uuid.uuid4().hex}"
 
+    def _links(self):
+        """The links of a part of a batch, from its columns of packed ids."""
+        lengths, kinds = self.lengths, self.kinds
+        return lambda a, b: Links(ids_of(a, kinds[0]), ids_of(b, kinds[1]), *lengths)
+
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     def encoded(self, docs: DataFrame) -> DataFrame:
-        """``row, doc_id, a, b``: ids of both tokenizers, empty where a text has no tokens."""
-        sent, key = self.sent, self.folder
+        """``row, doc_id, a, b``: packed ids of both tokenizers, empty where a text has no tokens."""
+        sent, key, kinds = self.sent, self.folder, self.kinds
 
         def encode(batches):
             pair = _once(key, sent)
@@ -291,15 +310,16 @@ class Aligner:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
                     both = [pair.encode(t.as_py()) for t in part.column(1)]
-                    yield pa.RecordBatch.from_arrays([part.column(0), _lists([x for x, _ in both]), _lists([y for _, y in both])], ["doc_id", "a", "b"])
+                    packed = [pa.array([ids[side].astype(kinds[side]).tobytes() for ids in both], pa.binary()) for side in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *packed], ["doc_id", "a", "b"])
 
         kind = dict(docs.dtypes)["doc_id"]
-        ids = docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, a array<int>, b array<int>")
+        ids = docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, a binary, b binary")
         return self._kept(ids.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
     def task_counts(self, tokens: DataFrame) -> DataFrame:
         """``pair, docs``: documents with each pair, counted by task (a task may give a pair more than once)."""
-        lengths = self.lengths
+        linked = self._links()
 
         def count(batches):
             held, waiting = [], 0
@@ -313,8 +333,8 @@ class Aligner:
                 for at in range(0, len(keys), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(docs[at : at + 50_000])], ["pair", "docs"])
 
-            for batch in batches:
-                _, pairs, _ = Links(batch.column(0), batch.column(1), *lengths).distinct()
+            for batch in (part for whole in batches for part in slices(whole, 0)):
+                _, pairs, _ = linked(batch.column(0), batch.column(1)).distinct()
                 held.append(np.unique(pairs, return_counts=True))
                 waiting += len(held[-1][0])
                 if waiting > HELD:
@@ -388,7 +408,7 @@ class Aligner:
 
     def _aligned(self, tokens: DataFrame, table=None) -> DataFrame:
         """Documents aligned again; ``n_best`` and ``count_sum`` come from the hashed counts, if given."""
-        lengths = self.lengths
+        lengths, linked = self.lengths, self._links()
         kind = dict(tokens.dtypes)["doc_id"]
         schema = (f"row long, doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
@@ -399,9 +419,8 @@ class Aligner:
                 best = np.zeros(len(lengths[0]), dtype=np.int64)
                 np.maximum.at(best, pair_hash.keys >> ID_BITS, docs)
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
-                    links = Links(batch.column(2), batch.column(3), *lengths)
+                for batch in slices(whole, 2):
+                    links = linked(batch.column(2), batch.column(3))
                     n_groups, digests = links.groups(a_words, b_words)
                     n_best = count_sum = np.zeros(batch.num_rows, dtype=np.int64)
                     if table is not None:
@@ -420,13 +439,12 @@ class Aligner:
 
     def _joined(self, tokens: DataFrame, counts: DataFrame) -> DataFrame:
         """The same report with counts joined by pair; a pair that most documents hold is spread over salts."""
-        lengths = self.lengths
+        linked = self._links()
 
-        def linked(batches):
+        def pairs_of(batches):
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    batch = whole.slice(at, 512)
-                    doc, pairs, times = Links(batch.column(1), batch.column(2), *lengths).distinct()
+                for batch in slices(whole, 1):
+                    doc, pairs, times = linked(batch.column(1), batch.column(2)).distinct()
                     rows = batch.column(0).take(pa.array(doc))
                     yield pa.RecordBatch.from_arrays([rows, pa.array(pairs), pa.array(times, pa.int64())], ["row", "pair", "times"])
 
@@ -434,7 +452,7 @@ class Aligner:
         docs = counts.groupBy("pair").agg(F.sum("docs").alias("docs")).withColumn("a_id", F.shiftright("pair", ID_BITS))
         best = docs.groupBy("a_id").agg(F.max("docs").alias("best"))  # a row per id of the vocabulary
         docs = docs.join(best, "a_id").select("pair", "docs", (F.col("docs") == F.col("best")).alias("top"), salts.alias("salt"))
-        held = tokens.select("row", "a", "b").mapInArrow(linked, "row long, pair long, times long")
+        held = tokens.select("row", "a", "b").mapInArrow(pairs_of, "row long, pair long, times long")
         held = held.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(docs, ["pair", "salt"])
         sums = held.groupBy("row").agg(
             F.sum(F.when(F.col("top"), F.col("times")).otherwise(0)).alias("_best"), F.sum(F.col("times") * F.col("docs")).alias("_sum"))
