@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varibreak.sinks import vcf
-from varibreak.sources import alignments, callers, tables
+from varibreak.sources import alignments, bam as bam_source, callers, tables
 
 CODES = {b: i for i, b in enumerate(alignments.BASE_LETTERS)}
 
@@ -60,7 +60,7 @@ def test_bam_reads_the_same_whole_or_split(spark, bam):
         df = spark.read.format("bam").option("splitBytes", split).load(path)
         got = sorted(tuple(r) for r in df.select("qname", "flag", "chrom", "pos", "cigar", "mpos", "seq", "strand").collect())
         assert got == want
-    parts = alignments._BamReader({"path": path, "splitBytes": "1"}).partitions()
+    parts = bam_source.BamReader({"path": path, "splitBytes": "1"}, ["pos"]).partitions()
     assert len(parts) > 4
 
 

@@ -1,40 +1,49 @@
-"""Alignment and sequence files: SAM text, indexed BAM, indexed FASTA.
+"""Alignment and sequence files: SAM text, indexed FASTA, libraries of samples.
 
-BAM and FASTA are Python data sources.  Their indexes give record-aligned byte
-offsets, so one file is read by many tasks, each seeking to its own part.
+FASTA is a Python data source like BAM (``bam.py``): its index gives byte offsets, so one file is read by many tasks.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-ALN_SCHEMA = (
-    "qname string, flag int, chrom string, pos long, mapq int, cigar string, mchrom string, mpos long, "
-    "isize int, seq string, qwidth int, strand string"
-)
-# fixed tables of the BAM format
-CIGAR_LETTERS = "MIDNSHP=X"
-BASE_LETTERS = "=ACMGRSVTWYHKDBN"
+from . import bgzf
+from .bam import ALN_SCHEMA, BASE_LETTERS, CIGAR_LETTERS, BamSource, read_bam, tag_value  # noqa: F401
 
+def read_sam(spark: SparkSession, path: str, more: bool = False) -> DataFrame:
+    """SAM text as the alignment schema; header lines are skipped.
 
-def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """SAM text as the alignment schema; header lines are skipped."""
+    With ``more`` also ``qual``, ``tags``, ``rg`` and ``library`` (the LB of the read group).
+    """
     f = spark.read.text(path).filter(~F.col("value").startswith("@")).select(F.split("value", "\t").alias("f"))
     at = lambda i: F.get("f", F.lit(i))
     none = lambda c, empty: F.when(c != empty, c)
     flag = at(1).cast("int")
     mate = F.when(at(6) == "=", at(2)).otherwise(at(6))
-    return f.select(
+    added = []
+    if more:
+        fields = F.filter(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda x: F.length(x) > 4)
+        tags = F.map_from_entries(F.transform(fields, lambda x: F.struct(F.substring(x, 1, 2), F.substring(x, 4, 1 << 30))))
+        added = [none(at(10), "*").alias("qual"), tags.alias("tags")]
+    reads = f.select(
         at(0).alias("qname"), flag.alias("flag"), none(at(2), "*").alias("chrom"), at(3).cast("long").alias("pos"), at(4).cast("int").alias("mapq"),
         at(5).alias("cigar"), none(mate, "*").alias("mchrom"), at(7).cast("long").alias("mpos"), at(8).cast("int").alias("isize"), at(9).alias("seq"),
-        F.length(at(9)).alias("qwidth"), F.when(flag.bitwiseAND(4) == 0, F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+")).alias("strand"),
+        F.length(at(9)).alias("qwidth"), F.when(flag.bitwiseAND(4) == 0, F.when(flag.bitwiseAND(16) != 0, "-").otherwise("+")).alias("strand"), *added,
     )
+    if not more:
+        return reads
+    groups = sam_read_groups(spark, path).select("rg", "library")  # a row per header line
+    return reads.withColumn("rg", tag_value(F.col("tags"), "RG")).join(F.broadcast(groups), "rg", "left")
+
+
+def sam_read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``rg, library, sample`` from the ``@RG`` header lines."""
+    lines = spark.read.text(path).filter(F.col("value").startswith("@RG\t"))
+    tag = lambda name: F.nullif(F.regexp_extract("value", f"\t{name}:([^\t]+)", 1), F.lit(""))
+    return lines.select(tag("ID").alias("rg"), tag("LB").alias("library"), tag("SM").alias("sample")).filter("rg IS NOT NULL").dropDuplicates(["rg"])
 
 
 def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -44,144 +53,6 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(tag("SN").alias("chrom"), tag("LN").cast("long").alias("length"))
 
 
-def _blocks(handle) -> Iterator[tuple[int, bytes]]:
-    """Decompressed BGZF blocks with their file offsets, from the current position on."""
-    while True:
-        offset = handle.tell()
-        head = handle.read(18)
-        if len(head) < 18:
-            return
-        size = struct.unpack("<H", head[16:18])[0] + 1
-        body = handle.read(size - 18)
-        yield offset, zlib.decompress(body[:-8], -15)
-
-
-def _stream(path: str, start: int, stop: int | None) -> Iterator[bytes]:
-    """Records that begin between two virtual offsets (file offset << 16 | offset inside the block)."""
-    with open(path, "rb") as handle:
-        handle.seek(start >> 16)
-        skip, held = start & 0xFFFF, b""
-        for offset, data in _blocks(handle):
-            # a record is told apart by the block and place its first byte comes from
-            used, carried = 0, len(held)
-            held += data[skip:]
-            while len(held) - used >= 4:
-                begins_here = used >= carried
-                place = (offset << 16) + used - carried + skip
-                if stop is not None and begins_here and place >= stop:
-                    return
-                length = struct.unpack_from("<i", held, used)[0] + 4
-                if len(held) - used < length:
-                    break
-                yield held[used + 4 : used + length]
-                used += length
-            if stop is not None and used >= carried and (offset << 16) + used - carried + skip >= stop:
-                return
-            held, skip = held[used:], 0
-
-
-def bam_header(path: str) -> tuple[list[tuple[str, int]], int]:
-    """Contigs and the virtual offset of the first record."""
-    with open(path, "rb") as handle:
-        text, starts = b"", []
-        for offset, data in _blocks(handle):
-            starts.append((len(text), offset))
-            text += data
-            try:
-                pos = 8 + struct.unpack_from("<i", text, 4)[0]
-                count = struct.unpack_from("<i", text, pos)[0]
-                pos += 4
-                contigs = []
-                for _ in range(count):
-                    size = struct.unpack_from("<i", text, pos)[0]
-                    contigs.append((text[pos + 4 : pos + 3 + size].decode(), struct.unpack_from("<i", text, pos + 4 + size)[0]))
-                    pos += 8 + size
-            except struct.error:
-                continue
-            base, block = max(s for s in starts if s[0] <= pos)
-            return contigs, (block << 16) | (pos - base)
-    raise ValueError(f"{path} has no complete BAM header")
-
-
-def index_offsets(path: str) -> list[int]:
-    """Record-aligned virtual offsets named by a BAI index, ascending."""
-    with open(path, "rb") as handle:
-        data = handle.read()
-    pos, found = 8, set()
-    for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        bins = struct.unpack_from("<i", data, pos)[0]
-        pos += 4
-        for _ in range(bins):
-            number, chunks = struct.unpack_from("<Ii", data, pos)
-            pos += 8 + 16 * chunks
-        linear = struct.unpack_from("<i", data, pos)[0]
-        found.update(v for v in struct.unpack_from(f"<{linear}Q", data, pos + 4) if v)
-        pos += 4 + 8 * linear
-    return sorted(found)
-
-
-def decode_record(data: bytes, names: list[str]) -> tuple:
-    ref, pos, name_len, mapq, _, n_ops, flag, n_bases, mate_ref, mate_pos, isize = struct.unpack_from("<iiBBHHHiiii", data, 0)
-    at = 32
-    name = data[at : at + name_len - 1].decode()
-    at += name_len
-    ops = struct.unpack_from(f"<{n_ops}I", data, at)
-    at += 4 * n_ops
-    packed = data[at : at + (n_bases + 1) // 2]
-    seq = "".join(BASE_LETTERS[b >> 4] + BASE_LETTERS[b & 15] for b in packed)[:n_bases]
-    cigar = "".join(f"{op >> 4}{CIGAR_LETTERS[op & 15]}" for op in ops) or "*"
-    chrom = lambda i: names[i] if i >= 0 else None
-    strand = None if flag & 4 else "-" if flag & 16 else "+"
-    return name, flag, chrom(ref), pos + 1, mapq, cigar, chrom(mate_ref), mate_pos + 1, isize, seq, n_bases, strand
-
-
-@dataclass
-class _Range(InputPartition):
-    path: str
-    start: int
-    stop: int | None
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.target = int(options.get("splitBytes", 64 << 20))
-
-    def partitions(self):
-        parts = []
-        for path in self.paths:
-            _, first = bam_header(path)
-            try:
-                cuts = index_offsets(path + ".bai")
-            except FileNotFoundError:
-                cuts = []  # without an index a file is one part
-            starts = [first]
-            for cut in cuts:
-                if (cut >> 16) - (starts[-1] >> 16) >= self.target:
-                    starts.append(cut)
-            parts += [_Range(path, s, e) for s, e in zip(starts, [*starts[1:], None])]
-        return parts
-
-    def read(self, partition):
-        names = [n for n, _ in bam_header(partition.path)[0]]
-        for data in _stream(partition.path, partition.start, partition.stop):
-            yield decode_record(data, names)
-
-
-class BamSource(DataSource):
-    """``spark.read.format("bam").load("a.bam,b.bam")``; ``splitBytes`` sets the size of a task's part."""
-
-    @classmethod
-    def name(cls):
-        return "bam"
-
-    def schema(self):
-        return ALN_SCHEMA
-
-    def reader(self, schema):
-        return _BamReader(self.options)
-
-
 @dataclass
 class _Piece(InputPartition):
     path: str
@@ -202,8 +73,8 @@ class _FastaReader(DataSourceReader):
 
     def partitions(self):
         parts = []
-        with open(self.path + ".fai") as index:
-            for line in index:
+        with bgzf.open_input(self.path + ".fai") as index:
+            for line in index.read().decode().splitlines():
                 chrom, length, offset, bases, width = line.split("\t")[:5]
                 tiles = -(-int(length) // self.size)
                 parts += [
@@ -214,7 +85,7 @@ class _FastaReader(DataSourceReader):
 
     def read(self, p):
         place = lambda base: p.offset + base // p.bases * p.width + base % p.bases
-        with open(p.path, "rb") as handle:
+        with bgzf.open_input(p.path) as handle:
             for tile in range(p.first, p.last):
                 lo, hi = tile * self.size, min((tile + 1) * self.size, p.length)
                 handle.seek(place(lo))
@@ -241,11 +112,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastaSource)
 
 
-def read_samples(spark: SparkSession, text: str) -> DataFrame:
+def read_samples(spark: SparkSession, text: str, by_read_group: bool = False) -> DataFrame:
     """Libraries named ``control1,control2:case1,case2``: BAM, SAM or Parquet by file name.
 
     Libraries of a sample are separated by commas, samples by colons; the last
-    sample is the case.  Adds ``sample`` and ``lib``.
+    sample is the case.  Adds ``sample`` and ``lib``: the file name, or with ``by_read_group`` the
+    library of a read's group where it has one, so that one file may hold several libraries.
     """
     register(spark)
     groups = text.split(":")
@@ -253,8 +125,15 @@ def read_samples(spark: SparkSession, text: str) -> DataFrame:
     for g, group in enumerate(groups):
         sample = "case" if g == len(groups) - 1 else "control" if len(groups) == 2 else f"control{g + 1}"
         for path in group.split(","):
-            part = read_sam(spark, path) if path.endswith(".sam") else spark.read.format("bam").load(path) if path.endswith(".bam") else spark.read.parquet(path)
-            part = part.withColumn("sample", F.lit(sample)).withColumn("lib", F.lit(path.rsplit("/", 1)[-1]))
+            if path.endswith(".sam"):
+                part = read_sam(spark, path, more=by_read_group)
+            elif path.endswith(".bam"):
+                part = read_bam(spark, path, [*(c.split()[0] for c in ALN_SCHEMA.split(", ")), *(["library"] if by_read_group else [])])
+            else:
+                part = spark.read.parquet(path)
+            file = F.lit(path.rsplit("/", 1)[-1])
+            lib = F.coalesce("library", file) if by_read_group and "library" in part.columns else file
+            part = part.withColumn("sample", F.lit(sample)).withColumn("lib", lib).drop("qual", "tags", "rg", "library")
             if "rid" not in part.columns:
                 part = part.withColumn("rid", F.md5(F.concat_ws("_", "lib", "qname", F.col("flag").cast("string"), "chrom", F.col("pos").cast("string"), "cigar")))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
