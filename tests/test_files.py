@@ -93,10 +93,12 @@ def test_fasta(spark, tmp_path):
 
 def test_text_tables_and_vcf(spark, tmp_path):
     calls = spark.createDataFrame([("b", 50, 90, "DEL", "y"), ("a", 5, 9, "INV", "x")], "chrom string, start long, end long, svtype string, id string")
-    vcf.write_vcf(vcf.call_records(calls), str(tmp_path / "v"))
-    head = [r[0] for r in spark.read.text(str(tmp_path / "v/header")).collect()]
-    assert head[0] == "##fileformat=VCFv4.1" and head[-1].startswith("#CHROM\tPOS")
-    back = tables.read_variants(spark, str(tmp_path / "v/body")).orderBy("chrom").collect()
+    vcf.write_vcf(vcf.call_records(calls), str(tmp_path / "v.vcf"), contigs=[("b", 1000), ("a", 500)])
+    lines = (tmp_path / "v.vcf").read_text().splitlines()
+    head = [line for line in lines if line.startswith("#")]
+    assert head[0] == "##fileformat=VCFv4.1" and head[-1].startswith("#CHROM\tPOS") and lines[: len(head)] == head
+    assert [line.split("\t")[0] for line in lines[len(head) :]] == ["b", "a"] and "##contig=<ID=b,length=1000>" in head
+    back = tables.read_variants(spark, str(tmp_path / "v.vcf")).orderBy("chrom").collect()
     assert [(r["chrom"], r["start"], r["end"], r["len"], r["type"]) for r in back] == [("a", 5, 9, 4, "INV"), ("b", 50, 90, 40, "DEL")]
     vcf.write_bed(calls, str(tmp_path / "bed"), ["chrom", "start", "end"])
     assert tables.read_gaps(spark, str(tmp_path / "bed")).count() == 2
@@ -125,3 +127,44 @@ def test_breakdancer_junction_keeps_both_ends(spark):
     line = "c1\t100\t+\tc2\t900\t-\tCTX\t0"
     got = callers.read_calls(spark.createDataFrame([(line,)], "value string"), "BD").select("chrom", "start", "end", F.col("svtype")).collect()
     assert sorted(map(tuple, got)) == [("c1", 99, 100, "INS"), ("c2", 898, 899, "INS")]
+
+
+def test_one_vcf_file_defines_every_key(spark, tmp_path):
+    """Many sorted parts make one file, and its header knows all INFO keys that the record builders write."""
+    rows = [(f"c{i % 3}", 5000 - i, 6000 + i, "DEL", f"id{i}", 0.5) for i in range(2000)]
+    calls = spark.createDataFrame(rows, "chrom string, start long, end long, svtype string, id string, purity double").repartition(7)
+    records = vcf.call_records(calls)
+    events = spark.createDataFrame([(1, "c0", 10, "c0", 90, 2, "INV", 80, None, "k", "m"), (2, "c0", 12, "c0", 95, 1, "INV", 83, None, "m", "k"),
+                                    (3, "c0", 10, "c1", 90, None, "INTERCHROMOSOMAL", None, None, "x", "y"), (4, "c0", 20, "c0", 40, 5, "INS.DUP", 20, 1.5, "p", "q")],
+                                   "row long, chr1 string, pos1 long, chr2 string, pos2 long, Partner long, EventType string, Distance long, FoldChange double, cid string, mcid string")
+    bnd = spark.createDataFrame([("c1", 5, True, "c2", 9, False, "k")], "chr1 string, pos1 long, goRight1 boolean, chr2 string, pos2 long, goRight2 boolean, id string")
+    support = spark.createDataFrame([("k", 4)], "cid string, nreads long")
+    path = str(tmp_path / "all.vcf")
+    everything = records.unionByName(vcf.event_records(events, support)).unionByName(vcf.breakend_records(bnd))
+    vcf.write_vcf(everything, path)
+    lines = open(path).read().splitlines()
+    body = [line.split("\t") for line in lines if not line.startswith("#")]
+    assert len(body) == everything.count() and [(b[0], int(b[1])) for b in body] == sorted((b[0], int(b[1])) for b in body)
+    known = {line.split("ID=")[1].split(",")[0] for line in lines if line.startswith("##INFO")}
+    used = {part.split("=")[0] for b in body for part in b[7].split(";")}
+    assert used <= known and {"NSCLIP", "FOLDCHANGE", "BNDNUM", "PARTNERID", "MATECHR", "MATEPOS", "SOMATIC", "PURITY", "MATEID"} <= used
+    back = tables.read_variants(spark, path)
+    assert back.filter("purity = 0.5").count() == 2000 and not list(tmp_path.glob("*.parts-*"))
+    typed = vcf.genotype_records(records.limit(3), spark.createDataFrame([("id0", "0/1", 30.0, 12, 4990, 6010)], "ID string, gt string, gq double, dp int, Lbr long, Rbr long"), "s")
+    vcf.write_vcf(typed, str(tmp_path / "g.vcf"))
+    assert any(line.endswith("FORMAT\ts") for line in open(tmp_path / "g.vcf").read().splitlines()) and "##FORMAT=<ID=GQ" in open(tmp_path / "g.vcf").read()
+    vcf.write_vcf(records.limit(0), str(tmp_path / "e.vcf"))
+    assert open(tmp_path / "e.vcf").read().splitlines()[-1].startswith("#CHROM")
+    bed = str(tmp_path / "conf.bed")
+    vcf.write_bed(vcf.record_bed(records), bed, ["CHROM", "POS", "END", "ALT", "ID"])
+    first = open(bed).readline().rstrip().split("\t")
+    assert first == ["c0", "3002", "7998", "DEL", "id1998"]
+
+
+def test_statistics_files_have_two_digits(spark, tmp_path):
+    rows = [("case", "l1", 300.123, 0.0123, True, 5), ("case", "l2", 12.5, 0.5, False, None), ("control", "l1", None, 0.0, True, 7)]
+    stats = spark.createDataFrame(rows, "sample string, lib string, mean double, rate double, ok boolean, n int")
+    vcf.write_stat(stats, str(tmp_path / "s"))
+    merged = [line.split("\t") for line in (tmp_path / "s.stat").read_text().splitlines()]
+    assert merged[0] == stats.columns and merged[1][2:] == ["300", "0.012", "TRUE", "5"] and merged[3][2:] == ["NA", "0.000", "TRUE", "7"]
+    assert (tmp_path / "s.case.l2.stat").read_text().splitlines()[1].split("\t")[3] == "0.5"

@@ -30,8 +30,9 @@ def test_more_than_two_clips_is_null(spark):
 
 
 def test_indels_and_lengths(spark):
-    assert [tuple(x) for x in one(spark, "20M2D30M1I49M", cigar.insertions)] == [(52, 1)]
-    assert [tuple(x) for x in one(spark, "20M2D30M1I49M", cigar.deletions)] == [(20, 2)]
+    assert [tuple(x) for x in one(spark, "20M2D30M1I49M", cigar.insertions)] == [(52, 1, 50)]
+    assert [tuple(x) for x in one(spark, "3H5S10M2I4=7N1P3X2D1M6I", cigar.insertions)] == [(10, 2, 15), (27, 6, 25)]
+    assert [tuple(x) for x in one(spark, "20M2D30M1I49M", cigar.deletions)] == [(20, 2, 20)]
     assert one(spark, "20M2D30M1I49M", cigar.aligned_length) == 100
     assert one(spark, "20M2D30M1I49M", lambda c: cigar.aligned_length(c, cigar.REFERENCE_LENGTH_CLASS)) == 101
 

@@ -11,7 +11,7 @@ from ..operators import clips, match
 from ..session import cut_lineage
 from .reads import OVERLAP, TILE
 from .registry import query
-from .shared import CLUSTERS_SQL, SOFT_CLIP_SQL
+from .shared import CLUSTERS_SQL, SOFT_CLIP_SQL, WALK_SQL
 
 KEYS = ["sample", "chrom"]
 AT = ["sample", "chrom", "side", "position"]
@@ -63,29 +63,20 @@ def deletion_counts(spark, d):
     return clips.deletion_counts(views.aln(spark, d), ["chrom"])
 
 
-@query("ag13_insertion_counts", "aln", """
-ins AS (SELECT chrom, pos + 40 AS position FROM aln WHERE cigar = '40M6I54M' UNION ALL SELECT chrom, pos + 52 FROM aln WHERE cigar = '20M2D30M1I49M')
-SELECT chrom, position, count(*) AS nreads FROM ins GROUP BY chrom, position""")
+@query("ag13_insertion_counts", "aln", WALK_SQL + "\nSELECT chrom, pos + r AS position, count(*) AS nreads FROM walk WHERE op = 'I' GROUP BY chrom, pos + r")
 def insertion_counts(spark, d):
     return clips.insertion_counts(views.aln(spark, d), ["chrom"])
 
 
-@query("ag13_inserted_sequences", "aln", """
-ins AS (SELECT chrom, pos + 40 AS position, 6 AS length, substr(seq, 40, 6) AS inserted FROM aln WHERE cigar = '40M6I54M'
-  UNION ALL SELECT chrom, pos + 52, 1, substr(seq, 52, 1) FROM aln WHERE cigar = '20M2D30M1I49M')
-SELECT chrom, position, CAST(length AS INT) AS length, inserted, count(*) AS n FROM ins GROUP BY ALL""")
+@query("ag13_inserted_sequences", "aln", WALK_SQL + """
+SELECT chrom, pos + r AS position, CAST(len AS INT) AS length, substr(seq, q + 1, len) AS inserted, count(*) AS n FROM walk WHERE op = 'I' GROUP BY ALL""")
 def inserted_sequences(spark, d):
     return clips.insertion_reads(views.aln(spark, d), ["chrom"]).groupBy("chrom", "position", "length", "inserted").agg(F.count("*").alias("n"))
 
 
-INDEL_SQL = """
-ops AS (SELECT chrom, pos, 60 AS o, 4 AS len, 'DEL' AS ty FROM aln WHERE cigar = '60M4D40M' UNION ALL SELECT chrom, pos, 20, 2, 'DEL' FROM aln WHERE cigar = '20M2D30M1I49M'
-  UNION ALL SELECT chrom, pos, 40, 6, 'INS' FROM aln WHERE cigar = '40M6I54M' UNION ALL SELECT chrom, pos, 52, 1, 'INS' FROM aln WHERE cigar = '20M2D30M1I49M')"""
-
-
-@query("ev07_indel_calls", "aln", INDEL_SQL + """
-SELECT chrom, pos + o AS start, pos + o + CASE WHEN ty = 'DEL' THEN len - 1 ELSE 0 END AS "end", ty AS svtype, 'cigar' AS method, count(*) AS nreads
-FROM ops GROUP BY chrom, pos + o, len, ty HAVING count(*) >= 2""")
+@query("ev07_indel_calls", "aln", WALK_SQL + """
+SELECT chrom, pos + r AS start, pos + r + CASE WHEN op = 'D' THEN len - 1 ELSE 0 END AS "end", CASE op WHEN 'D' THEN 'DEL' ELSE 'INS' END AS svtype, 'cigar' AS method, count(*) AS nreads
+FROM walk WHERE op IN ('I', 'D') GROUP BY chrom, pos + r, len, op HAVING count(*) >= 2""")
 def indel_calls(spark, d):
     return clips.indel_calls(views.aln(spark, d), ["chrom"], 2)
 

@@ -36,3 +36,12 @@ cons AS (SELECT sample, chrom, side, position,
   CAST(sum(obs - top) FILTER (obs >= 2) AS DOUBLE) / CAST(sum(obs) FILTER (obs >= 2) AS DOUBLE) AS mismatch FROM best GROUP BY ALL),
 allclust AS (SELECT s.*, CASE WHEN side = 'L' THEN reverse(outward) ELSE outward END AS consensus, mismatch FROM sup s JOIN cons USING (sample, chrom, side, position)),
 clusters AS (SELECT * FROM allclust WHERE mismatch < 0.05e0)"""
+
+# every CIGAR operation (number i) with the read bases (q) and reference bases (r) before it
+WALK_SQL = """
+parsed AS (SELECT rid, sample, chrom, pos, seq, flag, regexp_extract_all(cigar, '[0-9]+([MIDNSHP=X])', 1) AS ops,
+     list_transform(regexp_extract_all(cigar, '([0-9]+)[MIDNSHP=X]', 1), lambda x: CAST(x AS BIGINT)) AS lens FROM aln),
+walk AS (SELECT rid, sample, chrom, pos, seq, flag, i, ops[i] AS op, lens[i] AS len,
+     CAST(coalesce(list_sum(list_transform(range(1, i), lambda j: CASE WHEN ops[j] IN ('M', 'I', 'S', '=', 'X') THEN lens[j] ELSE 0 END)), 0) AS BIGINT) AS q,
+     CAST(coalesce(list_sum(list_transform(range(1, i), lambda j: CASE WHEN ops[j] IN ('M', 'D', 'N', '=', 'X') THEN lens[j] ELSE 0 END)), 0) AS BIGINT) AS r
+   FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM parsed))"""

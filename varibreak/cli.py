@@ -58,9 +58,10 @@ def main(argv: list[str] | None = None) -> None:
     aln = read_samples(spark, args.reads)
     pieces = spark.read.format("fasta").load(args.reference) if not args.reference.endswith(".parquet") else spark.read.parquet(args.reference)
     contigs = pieces.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq") - 1).alias("length"))
+    lengths = [(r.chrom, r.length) for r in contigs.orderBy("chrom").collect()]  # one row per contig
     stats = pipelines.library_table(aln, contigs, StatOptions(chromosome=args.chromosomeName, yield_reads=getattr(args, "yield_reads", StatOptions.yield_reads)))
     if args.command == "stat":
-        vcf.write_table(stats, args.out)
+        vcf.write_stat(cut_lineage(stats), args.out)
         return
     stats = cut_lineage(stats)  # one row per library, read by every step below
     scan_options = ScanOptions(
@@ -81,13 +82,16 @@ def main(argv: list[str] | None = None) -> None:
     events, clusters = pipelines.clip_events(aln, pieces, gaps, case["cvg"], int(case["rl"]), clip_options, control_coverage=control["cvg"])
     if args.command == "clip":
         events.write.mode("overwrite").parquet(f"{args.out}/events")
-        vcf.write_vcf(vcf.event_records(events, clusters.select("cid", "nreads")), f"{args.out}/vcf")
+        vcf.write_vcf(vcf.event_records(events, clusters.select("cid", "nreads")), f"{args.out}/events.vcf", contigs=lengths)
         return
     score_tracks = pipelines.scan_libraries(aln, stats, scan_options)
     raw, confirmed = pipelines.join_calls(aln, score_tracks, events, scan_options.step, options=JoinOptions(tracks=args.tracks, big=args.big, confirm=args.confirm),
                                          libraries=stats, scan_options=scan_options)
-    vcf.write_bed(raw, f"{args.out}/raw.bed", ["chrom", "start", "end", "svtype", "method", "id"])
-    vcf.write_vcf(vcf.name_records(vcf.call_records(confirmed, somatic=False), args.sample.split(",")[0]), f"{args.out}/confirmed.vcf")
+    sample = args.sample.split(",")[0]
+    for name, regions in (("raw", raw), ("conf", confirmed)):
+        records = cut_lineage(vcf.name_records(vcf.call_records(regions, somatic=False), sample))
+        vcf.write_vcf(records, f"{args.out}/{name}.vcf", contigs=lengths)
+        vcf.write_bed(vcf.record_bed(records), f"{args.out}/{name}.bed", ["CHROM", "POS", "END", "ALT", "ID"])
 
 
 if __name__ == "__main__":

@@ -57,6 +57,25 @@ VCF_INFO = (
     ("SVLEN", ".", "Integer", "Difference in length between REF and ALT alleles"),
     ("SVTYPE", "1", "String", "Type of structural variant"),
 )
+# Keys that this package's own records use beside those.
+VCF_OWN_INFO = (
+    ("AF", "1", "Float", "Allele fraction by genotype"),
+    ("BNDNUM", ".", "Integer", "Numbers of the breakends behind the event"),
+    ("DP", "1", "Integer", "Read depth over the breakpoints"),
+    ("FOLDCHANGE", "1", "Float", "Coverage inside over outside, or case over control; NA when not computed"),
+    ("MATECHR", "1", "String", "Sequence of the other end"),
+    ("MATEID", "1", "String", "ID of the mate breakend"),
+    ("MATEPOS", "1", "Integer", "Position of the other end"),
+    ("NSCLIP", "1", "Integer", "Soft-clipped reads of the clusters behind the event"),
+    ("PARTNERID", "1", "String", "ID of the event's second row"),
+    ("PURITY", "1", "Float", "Estimated fraction of cells with the variant"),
+    ("SOMATIC", "0", "Flag", "Variant of the case that the control lacks"),
+)
+VCF_FORMAT = (
+    ("GT", "1", "String", "Genotype"),
+    ("GQ", "1", "Float", "Genotype quality"),
+    ("DP", "1", "Integer", "Read depth"),
+)
 VCF_ALT = (
     ("DEL", "Deletion"),
     ("DEL:ME:ALU", "Deletion of ALU element"),

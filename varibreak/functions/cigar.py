@@ -65,21 +65,35 @@ def soft_clip(cigar: Column) -> Column:
     return F.when(n <= 2, value)
 
 
-def _indels(cigar: Column, letter: str) -> Column:
+def cigar_walk(cigar: Column) -> Column:
+    """``array<struct<op, len, query, ref>>``: every operation with the read and reference bases before it.
+
+    Soft clips count as read bases; reference bases count from the first aligned one.
+    """
     ops = cigar_ops(cigar)
-    places = F.filter(F.sequence(F.lit(1), F.size(ops)), lambda i: F.get(ops, i - 1)["op"] == letter)
-    consumed = lambda i: F.aggregate(
-        F.slice(ops, F.lit(1), i - 1),
-        F.lit(0),
-        lambda acc, x: acc + F.when(x["op"].isin("M", "D", "=", "X"), x["len"]).otherwise(0),
-    )
+    none = F.array().cast("array<struct<op:string,len:int,query:int,ref:int>>")
+    start = F.struct(none.alias("done"), F.lit(0).alias("q"), F.lit(0).alias("r"))
+
+    def step(at, x):
+        entry = F.struct(x["op"].alias("op"), x["len"].alias("len"), at["q"].alias("query"), at["r"].alias("ref"))
+        return F.struct(
+            F.concat(at["done"], F.array(entry)).alias("done"),
+            (at["q"] + F.when(x["op"].isin(*QUERY_LENGTH_CLASS), x["len"]).otherwise(0)).alias("q"),
+            (at["r"] + F.when(x["op"].isin("M", "D", "N", "=", "X"), x["len"]).otherwise(0)).alias("r"),
+        )
+
+    return F.aggregate(ops, start, step, lambda at: at["done"])
+
+
+def _indels(cigar: Column, letter: str) -> Column:
     return F.transform(
-        places, lambda i: F.struct(consumed(i).alias("offset"), F.get(ops, i - 1)["len"].alias("length"))
+        F.filter(cigar_walk(cigar), lambda x: x["op"] == letter),
+        lambda x: F.struct(x["ref"].alias("offset"), x["len"].alias("length"), x["query"].alias("read_offset")),
     )
 
 
 def insertions(cigar: Column) -> Column:
-    """``array<struct<offset,length>>``; offset = reference bases from the first match."""
+    """``array<struct<offset,length,read_offset>>``: reference bases from the first match, and read bases before."""
     return _indels(cigar, "I")
 
 

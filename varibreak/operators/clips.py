@@ -99,11 +99,11 @@ def deletion_counts(aln: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def insertion_reads(aln: DataFrame, keys: list[str]) -> DataFrame:
-    """Every inserted stretch; the sequence starts ``offset`` bases into the read."""
+    """Every inserted stretch with its bases, which follow the read bases before it (soft clips counted)."""
     found = aln.select(*keys, "pos", "seq", F.explode(insertions(F.col("cigar"))).alias("_i"))
     return found.select(
         *keys, (F.col("pos") + F.col("_i.offset")).alias("position"), F.col("_i.length").alias("length"),
-        F.col("seq").substr(F.col("_i.offset"), F.col("_i.length")).alias("inserted"),
+        F.col("seq").substr(F.col("_i.read_offset") + 1, F.col("_i.length")).alias("inserted"),
     )
 
 

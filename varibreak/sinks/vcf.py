@@ -6,18 +6,23 @@ import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import VCF_ALT, VCF_INFO
-from ..functions.records import breakend_alt, variant_id
+from ..constants import VCF_ALT, VCF_FORMAT, VCF_INFO, VCF_OWN_INFO
+from ..functions.records import breakend_alt, info_value, variant_id
+from .onefile import tab_line, write_lines
 
 FIELDS = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
 
 
-def header_lines(date: datetime.date | None = None, extra: list[str] = ()) -> list[str]:
+def header_lines(date: datetime.date | None = None, extra: list[str] = (), contigs: list[tuple[str, int]] = (), columns: list[str] = FIELDS) -> list[str]:
+    """The header of a VCF: it defines every INFO key, ALT name and FORMAT key that the records of this module use."""
     day = (date or datetime.date.today()).strftime("%Y%m%d")
     lines = ["##fileformat=VCFv4.1", f"##filedate={day}"]
-    lines += [f'##INFO=<ID={i},Number={n},Type={t},Description="{text}">' for i, n, t, text in VCF_INFO]
+    lines += [f"##contig=<ID={name},length={length}>" for name, length in contigs]
+    lines += [f'##INFO=<ID={i},Number={n},Type={t},Description="{text}">' for i, n, t, text in (*VCF_INFO, *VCF_OWN_INFO)]
     lines += [f'##ALT=<ID={i},Description="{text}">' for i, text in VCF_ALT]
-    return [*lines, *extra, "#" + "\t".join(FIELDS)]
+    if "FORMAT" in columns:
+        lines += [f'##FORMAT=<ID={i},Number={n},Type={t},Description="{text}">' for i, n, t, text in VCF_FORMAT]
+    return [*lines, *extra, "#" + "\t".join(columns)]
 
 
 def call_records(calls: DataFrame, somatic: bool = True) -> DataFrame:
@@ -125,18 +130,75 @@ def genotype_records(records: DataFrame, genotypes: DataFrame, sample: str) -> D
                        F.concat_ws(":", "gt", "gq", depth).alias(sample))
 
 
-def write_vcf(records: DataFrame, path: str, header: list[str] | None = None) -> None:
-    """Write a VCF as text: a header part first, the sorted body in as many parts as it needs."""
-    spark = records.sparkSession
-    body = records.orderBy("CHROM", "POS").select(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in records.columns]).alias("value"))
-    lines = spark.createDataFrame([(line,) for line in (header or header_lines())], "value string").coalesce(1)
-    lines.write.mode("overwrite").text(f"{path}/header")
-    body.write.mode("overwrite").text(f"{path}/body")
+def write_vcf(records: DataFrame, path: str, header: list[str] | None = None, contigs: list[tuple[str, int]] = ()) -> None:
+    """Write a VCF as one file, sorted by ``CHROM, POS`` (contigs in the given order, others behind them by name).
+
+    Genotyped records keep END for sorting and INFO only; it is no column of the format.
+    """
+    columns = [c for c in records.columns if c != "END"]
+    place = [F.when(F.col("CHROM") == name, i) for i, (name, _) in enumerate(contigs)]
+    order = [F.coalesce(*place, F.lit(len(contigs)))] if place else []
+    rows = records.select(*columns).orderBy(*order, "CHROM", "POS", "ID", "ALT", "INFO")
+    write_lines(rows.select(tab_line(rows).alias("value")), path, header or header_lines(contigs=contigs, columns=columns))
+
+
+def record_bed(records: DataFrame) -> DataFrame:
+    """``CHROM, POS, END, ALT, ID`` of VCF rows, the END taken from INFO and the ALT without brackets."""
+    end = F.coalesce(info_value(F.col("INFO"), "END").try_cast("long"), F.col("POS"))
+    return records.select("CHROM", "POS", end.alias("END"), F.regexp_replace("ALT", "[<>]", "").alias("ALT"), "ID")
 
 
 def write_bed(calls: DataFrame, path: str, columns: list[str]) -> None:
-    """Sorted headerless TSV."""
-    calls.select(*columns).orderBy(*columns[:2]).write.mode("overwrite").option("sep", "\t").csv(path)
+    """Headerless TSV in one file, sorted by all its columns."""
+    rows = calls.select(*columns).orderBy(*columns)
+    write_lines(rows.select(tab_line(rows).alias("value")), path)
+
+
+def _decimals(x: Column, digits: int) -> Column:
+    """Decimals that show a number with ``digits`` significant digits, without zeros at the end."""
+    size = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x)))).cast("int")
+    shown = F.format_string(f"%.{digits - 1}e", x.cast("double"))
+    kept = F.length(F.regexp_replace(F.regexp_extract(shown, "\\.([0-9]*)e", 1), "0+$", ""))
+    exponent = F.coalesce(F.regexp_extract(shown, "e([-+][0-9]+)$", 1).try_cast("int"), size)
+    return F.greatest(F.lit(0), kept - exponent)
+
+
+def short_numbers(table: DataFrame, digits: int = 2) -> DataFrame:
+    """All columns as text: numbers with as many decimals as the column's neediest value has at ``digits`` significant digits.
+
+    No scientific notation; NULL and NaN are ``NA``, truth values upper case.
+    """
+    kinds = dict(table.dtypes)
+    real = [c for c, t in kinds.items() if t in ("double", "float") or t.startswith("decimal")]
+    fine = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double"))
+    most = table.agg(F.lit(0).alias("_"), *[F.coalesce(F.max(_decimals(fine(c), digits)), F.lit(0)).alias(c) for c in real]).first().asDict()
+    out = []
+    for c, kind in kinds.items():
+        if c in real:
+            text = F.format_string(f"%.{most[c]}f", F.col(c).cast("double"))
+            out.append(F.when(fine(c).isNotNull(), text).otherwise("NA").alias(c))
+        elif kind == "boolean":
+            out.append(F.coalesce(F.upper(F.col(c).cast("string")), F.lit("NA")).alias(c))
+        else:
+            out.append(F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c))
+    return table.select(*out)
+
+
+def write_stat(stats: DataFrame, path: str, keys: list[str] = ("sample", "lib")) -> None:
+    """Library statistics as ``path.stat`` and one ``path.<sample>.<lib>.stat`` per library (a row each), two digits."""
+    names = stats.select(*keys).distinct().orderBy(*keys).collect()  # one row per library
+    head = ["\t".join(stats.columns)]
+
+    def put(rows: DataFrame, file: str) -> None:
+        shown = short_numbers(rows.orderBy(*keys))
+        write_lines(shown.select(tab_line(shown, "NA").alias("value")), f"{file}.stat", head)
+
+    put(stats, path)
+    for name in names:
+        row = stats
+        for key in keys:
+            row = row.filter(F.col(key) == name[key])
+        put(row, ".".join([path, *(str(name[k]) for k in keys)]))
 
 
 def type_folder(svtype: Column) -> Column:

@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from . import bgzf
-from .bam import ALN_SCHEMA, BASE_LETTERS, CIGAR_LETTERS, BamSource, read_bam, tag_value  # noqa: F401
+from . import bam, bgzf
+from .bam import ALN_SCHEMA, BASE_LETTERS, CIGAR_LETTERS, read_bam, tag_value  # noqa: F401
+
 
 def read_sam(spark: SparkSession, path: str, more: bool = False) -> DataFrame:
     """SAM text as the alignment schema; header lines are skipped.
@@ -108,7 +109,7 @@ class FastaSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(BamSource)
+    bam.register(spark)
     spark.dataSource.register(FastaSource)
 
 

@@ -387,10 +387,15 @@ class BamSource(DataSource):
         return BamWriter(self.options, overwrite)
 
 
-def read_bam(spark: SparkSession, path: str, columns: list[str] | None = None, regions: list[str] = (), split_bytes: int | None = None) -> DataFrame:
-    """Alignments of one or more BAM files; with ``regions`` exactly the reads that overlap one of them."""
+def register(spark: SparkSession) -> None:
+    """Make the format known; a source that takes filters needs the setting."""
     spark.dataSource.register(BamSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_bam(spark: SparkSession, path: str, columns: list[str] | None = None, regions: list[str] = (), split_bytes: int | None = None) -> DataFrame:
+    """Alignments of one or more BAM files; with ``regions`` exactly the reads that overlap one of them."""
+    register(spark)
     reader = spark.read.format("bam")
     if columns:
         kinds = dict(re.findall(r"(\w+) (map<\w+,\w+>|\w+)", FULL_SCHEMA))
@@ -556,8 +561,7 @@ def write_bam(aln: DataFrame, path: str, contigs: list[tuple[str, int]], header:
 
     Reads of a position are dealt on by name, so a position that holds most reads is not one task.
     """
-    spark = aln.sparkSession
-    spark.dataSource.register(BamSource)
+    register(aln.sparkSession)
     order = F.create_map(*[x for i, (n, _) in enumerate(contigs) for x in (F.lit(n), F.lit(i))])
     keys = [F.when(F.col("chrom").isNull(), len(contigs)).otherwise(F.element_at(order, F.col("chrom"))), F.col("pos"), F.col("qname"), F.col("flag")]
     wanted = [n for n, *_ in re.findall(r"(\w+) (map<\w+,\w+>|\w+)", FULL_SCHEMA) if n in aln.columns and n not in ("end", "rg", "library", "qwidth", "strand")]
