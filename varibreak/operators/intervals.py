@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut_lineage
+
 TILE = 100_000
 LEVELS = 30  # dyadic levels: contigs shorter than 2**30 bases
 
@@ -165,17 +167,22 @@ def island_of_points(points: DataFrame, found: DataFrame, keys: list[str], pos:
 
 def prefix_at(points: DataFrame, events: DataFrame, keys: list[str], pos: str, values: list[str],
               tile: int = TILE) -> DataFrame:
-    """For each distinct point, the sums of ``values`` over events at or before it."""
-    summed = events.groupBy(*keys, pos).agg(*[F.sum(v).alias(v) for v in values]).withColumn("_kind", F.lit(0))
-    asked = points.select(*keys, pos).distinct().withColumn("_kind", F.lit(1))
-    both = summed.unionByName(asked, allowMissingColumns=True).withColumn("_tile", tile_of(F.col(pos), tile))
-    both = both.fillna(0, subset=values)
+    """For each distinct point, the sums of ``values`` over events at or before it.
+
+    Events and points become one row per coordinate in one shuffle, which is written once and read for the tile
+    totals and for the running sums inside tiles.  Several events or points at a coordinate may be rows of their own.
+    """
+    asked = points.select(*keys, pos).withColumn("_asked", F.lit(True))
+    both = events.select(*keys, pos, *values).unionByName(asked, allowMissingColumns=True)
+    both = both.groupBy(*keys, tile_of(F.col(pos), tile).alias("_tile"), pos).agg(
+        *[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in values], F.max("_asked").alias("_asked"))
+    both = cut_lineage(both)
     along = Window.partitionBy(*keys).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     base = both.groupBy(*keys, "_tile").agg(*[F.sum(v).alias(f"_t_{v}") for v in values]).select(
         *keys, "_tile", *[F.coalesce(F.sum(f"_t_{v}").over(along), F.lit(0)).alias(f"_b_{v}") for v in values]
     )
-    order = Window.partitionBy(*keys, "_tile").orderBy(pos, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    inner = both.select(*keys, "_tile", pos, "_kind", *[F.sum(v).over(order).alias(v) for v in values]).filter("_kind = 1")
+    order = Window.partitionBy(*keys, "_tile").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    inner = both.select(*keys, "_tile", pos, "_asked", *[F.sum(v).over(order).alias(v) for v in values]).filter("_asked")
     return inner.join(base, [*keys, "_tile"]).select(*keys, pos, *[(F.col(v) + F.col(f"_b_{v}")).alias(v) for v in values])
 
 
@@ -183,8 +190,8 @@ def range_sums(regions: DataFrame, events: DataFrame, keys: list[str], start: st
                values: list[str], tile: int = TILE) -> DataFrame:
     """``regions`` plus the sums of ``values`` over events with start <= pos <= end."""
     points = regions.select(*keys, F.explode(F.array(F.col(start) - 1, F.col(end))).alias(pos))
-    # both lookups below are small next to the events: at most two points per distinct region
-    cum = prefix_at(points, events, keys, pos, values, tile)
+    # at most two points per distinct region; both lookups below read them
+    cum = cut_lineage(prefix_at(points, events, keys, pos, values, tile))
     upper = cum.select(*keys, F.col(pos).alias(end), *[F.col(v).alias(f"_u_{v}") for v in values])
     lower = cum.select(*keys, (F.col(pos) + 1).alias(start), *[F.col(v).alias(f"_l_{v}") for v in values])
     joined = regions.join(upper, [*keys, end], "left").join(lower, [*keys, start], "left")
@@ -196,13 +203,12 @@ def count_overlaps(regions: DataFrame, items: DataFrame, keys: list[str], start:
     """``regions`` plus the number of item intervals overlapping each.
 
     Overlaps = items starting at or before the region's end, less items ending
-    before its start, so two prefix counts replace the join.
+    before its start, so two prefix counts replace the join; items are read once.
     """
-    starts = items.groupBy(*keys, F.col(item_start).alias("_pos")).agg(F.count("*").alias("_st"))
-    ends = items.groupBy(*keys, F.col(item_end).alias("_pos")).agg(F.count("*").alias("_en"))
-    events = starts.unionByName(ends, allowMissingColumns=True).fillna(0, subset=["_st", "_en"])
-    points = regions.select(*keys, F.explode(F.array(F.col(start) - 1, F.col(end))).alias("_pos"))
-    cum = prefix_at(points, events, keys, "_pos", ["_st", "_en"], tile)
+    side = lambda c, st, en: F.struct(F.col(c).cast("long").alias("_pos"), F.lit(st).alias("_st"), F.lit(en).alias("_en"))
+    events = items.select(*keys, F.explode(F.array(side(item_start, 1, 0), side(item_end, 0, 1))).alias("_x")).select(*keys, "_x.*")
+    points = regions.select(*keys, F.explode(F.array((F.col(start) - 1).cast("long"), F.col(end).cast("long"))).alias("_pos"))
+    cum = cut_lineage(prefix_at(points, events, keys, "_pos", ["_st", "_en"], tile))
     upper = cum.select(*keys, F.col("_pos").alias(end), F.col("_st").alias("_u"))
     lower = cum.select(*keys, (F.col("_pos") + 1).alias(start), F.col("_en").alias("_l"))
     joined = regions.join(upper, [*keys, end], "left").join(lower, [*keys, start], "left")

@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions
 
 _SHIPPED: set[str] = set()
 
@@ -55,6 +55,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, written once and marked for broadcasting if it has at most ``most`` rows; a larger one is joined by a shuffle."""
+    held = cut_lineage(df)
+    return functions.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the workers once per context, so that jobs run from any folder."""
     context = spark.sparkContext
