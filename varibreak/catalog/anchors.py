@@ -100,14 +100,14 @@ def contrast_clusters(spark, d):
 
 
 @query("ag15_contrast_support", "aln anchors contigs", LINE + """,
-SELECT sample, count(*) AS n, count(DISTINCT (lst, led, rst, red)) AS places FROM line GROUP BY sample""".replace(",\nSELECT", "\nSELECT"))
+x AS (SELECT lst, led, rst, red FROM line WHERE sample = 'case'), y AS (SELECT lst, led, rst, red FROM line WHERE sample = 'control'),""" + sweep_sql("x", "x") + "," + sweep_sql("y", "y") + ","
+    + collapse_sql("x", "x", "cx") + "," + collapse_sql("y", "y", "cy") + ", both_ AS (SELECT * FROM cx UNION ALL SELECT lst, led, rst, red, -sup FROM cy)," + sweep_sql("both_", "b") + """,
+j AS (SELECT b.*, r.root FROM both_ b JOIN nb n ON (n.lst, n.led, n.rst, n.red) = (b.lst, b.led, b.rst, b.red) JOIN rb r ON r.id = n.id)
+SELECT min(lst) FILTER (sup > 0) AS lst, max(led) FILTER (sup > 0) AS led, min(rst) FILTER (sup > 0) AS rst, max(red) FILTER (sup > 0) AS red,
+  CAST(coalesce(sum(sup) FILTER (sup > 0), 0) AS BIGINT) AS sup, CAST(coalesce(-sum(sup) FILTER (sup < 0), 0) AS BIGINT) AS control_sup FROM j GROUP BY root""", recursive=True)
 def contrast_support(spark, d):
-    """Signed material of the contrast: anchors and distinct places per sample."""
-    rows = None
-    for sample in ("case", "control"):
-        part = line(spark, d, sample).withColumn("sample", F.lit(sample))
-        rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("sample").agg(F.count("*").alias("n"), F.countDistinct(F.struct(*an.KEY)).alias("places"))
+    """Case and control support of every joint cluster, before any limit."""
+    return an.contrast_support(views.anchors(spark, d, "case"), views.anchors(spark, d, "control"), views.contigs(spark, d))
 
 
 @query("wn07_paired_events")

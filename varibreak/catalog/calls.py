@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from .. import views
 from ..operators import calls, genotype, tracks
 from ..operators.intervals import count_overlaps
@@ -65,11 +66,13 @@ def accuracy(spark, d):
     return calls.accuracy(r.filter("svtype = 'DEL'").select(*BY), r.filter("svtype = 'INS'").select(*BY), ["chrom"])
 
 
-@query("set01_evidence_union", "regions", "SELECT method, count(*) AS n FROM regions WHERE method IN ('sclip', 'cigar', 'bigd') GROUP BY method")
+@query("set01_evidence_union", "regions", """
+SELECT method, svtype, count(*) AS n, min(start) AS first_start, max("end") AS last_end FROM regions GROUP BY method, svtype""")
 def evidence_union(spark, d):
+    """All kinds of evidence, each a table of its own, as one table of calls."""
     r = views.regions(spark, d)
-    parts = [r.filter(F.col("method") == m) for m in ("sclip", "cigar", "bigd")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("method").agg(F.count("*").alias("n"))
+    return calls.unite({m: r.filter(F.col("method") == m).drop("method") for m in C.METHOD_PRIORITY}).groupBy("method", "svtype").agg(
+        F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
 
 
 @query("set04_either_flag", "regions", "SELECT id FROM regions WHERE svtype = 'DEL' OR score >= 90")

@@ -154,6 +154,15 @@ def self_similarity(spark, d):
     return match.repeated_words(match.reference_tiles(views.genome_tiles(spark, d), TILE, 11), TILE, 12)
 
 
+@query("scf10_base_codes_round_trip", "aln", """
+t AS (SELECT rid, seq, translate(regexp_replace(upper(seq), '[^=ACMGRSVTWYHKDBN]', 'N', 'g'), '=ACMGRSVTWYHKDBN', '0123456789ABCDEF') AS codes FROM aln)
+SELECT rid, CASE WHEN length(codes) % 2 = 1 THEN codes || '0' ELSE codes END AS packed, translate(codes, '0123456789ABCDEF', '=ACMGRSVTWYHKDBN') AS seq FROM t""")
+def base_codes_round_trip(spark, d):
+    """Four-bit codes of every read and the bases read back from them."""
+    packed = views.aln(spark, d).select("rid", dna.encode_bases(F.col("seq")).alias("p"), F.length("seq").alias("n"))
+    return packed.select("rid", F.hex("p").alias("packed"), dna.decode_bases(F.col("p"), F.col("n")).alias("seq"))
+
+
 @query("scf10_revcomp_consensus", "aln", CLUSTERS_SQL + "\nSELECT sample, chrom, side, position, reverse(translate(consensus, 'ACGT', 'TGCA')) AS revcomp FROM clusters")
 def revcomp_consensus(spark, d):
     return clusters(spark, d).select(*AT, dna.reverse_complement(F.col("consensus")).alias("revcomp"))

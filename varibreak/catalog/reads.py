@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import cigar, density, dna, flags, records
-from ..operators import match
+from ..operators import match, regions
 from ..operators.libstats import index_counts, sample_reads
 from .registry import query
 from .shared import SOFT_CLIP_SQL
 
 
-@query("src01_region_scan", "aln", "SELECT rid, chrom, pos, cigar FROM aln WHERE chrom = 'chr2' AND pos >= 1")
+@query("src01_region_scan", "aln gaps", """
+spans AS (SELECT rid, chrom, pos, cigar, pos + greatest(CASE WHEN (flag & 4) = 0 THEN CAST(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MX=DN]', 1), lambda x: CAST(x AS BIGINT))) AS BIGINT) ELSE 1 END, 1) - 1 AS last FROM aln)
+SELECT rid, s.chrom, pos, cigar, g.start AS region_start, g."end" AS region_end FROM spans s JOIN gaps g ON g.chrom = s.chrom AND s.pos <= g."end" AND s.last >= g.start WHERE s.pos > 0""")
 def region_scan(spark, d):
-    return views.aln(spark, d).filter((F.col("chrom") == "chr2") & (F.col("pos") >= 1)).select("rid", "chrom", "pos", "cigar")
+    """Reads overlapping any gap region, those that begin before it included."""
+    return regions.reads_in_regions(views.aln(spark, d), views.gaps(spark, d)).select("rid", "chrom", "pos", "cigar", "region_start", "region_end")
 
 
 @query("src02_projected_scan", "aln", "SELECT qname, flag, pos, mapq FROM aln")
@@ -79,11 +82,19 @@ def subsequence(spark, d):
     return match.fetch_subsequence(asked, tiles, TILE, "start", "stop").select("chrom", "start", "subseq").filter("length(subseq) > 0")
 
 
-@query("src11_chromosome_expansion", "contigs", """
-SELECT chrom, 1::BIGINT AS scan_start, least(length, 3000000000) AS scan_end FROM contigs ORDER BY chrom LIMIT 24""")
+@query("src11_chromosome_expansion", "contigs", "SELECT chrom, CAST(1 AS BIGINT) AS scan_start, CAST(length AS BIGINT) AS scan_end FROM contigs")
 def chromosome_expansion(spark, d):
-    first = views.contigs(spark, d).orderBy("chrom").limit(24)
-    return first.select("chrom", F.lit(1).cast("long").alias("scan_start"), F.least("length", F.lit(3_000_000_000)).alias("scan_end"))
+    return regions.scan_ranges(views.contigs(spark, d), "all")
+
+
+@query("src11_listed_chromosomes", "contigs", "SELECT chrom, CAST(1 AS BIGINT) AS scan_start, CAST(length AS BIGINT) AS scan_end FROM contigs WHERE chrom IN ('chr4', 'chr2')")
+def listed_chromosomes(spark, d):
+    return regions.scan_ranges(views.contigs(spark, d), "chr4,chr2,none")
+
+
+@query("src11_clamped_range", "contigs", "SELECT chrom, CAST(501 AS BIGINT) AS scan_start, CAST(length AS BIGINT) AS scan_end FROM contigs WHERE chrom = 'chr3'")
+def clamped_range(spark, d):
+    return regions.scan_ranges(views.contigs(spark, d), "chr3", 501, 3_000_000_000)
 
 
 @query("src17_region_loader", "aln gaps", """
@@ -208,20 +219,16 @@ def capped_density(spark, d):
     return sizes.select("isize", "n", F.round(capped, 6).alias("capped"), F.round(density.mixture_term(capped, 0.5), 6).alias("term"))
 
 
-def _tail_sql() -> str:
-    # an independent right tail: the normal density summed by Simpson's rule over 64 steps to eight deviations
-    return """
-sizes AS (SELECT isize, count(*) AS n FROM aln WHERE isize > 0 AND isize <= 800 GROUP BY isize),
-nodes AS (SELECT isize, n, k, (isize - 300e0) / 100e0 AS z FROM sizes, range(0, 401) AS r(k)),
-steps AS (SELECT isize, n, (12e0 - z) / 400e0 AS h, z + k * ((12e0 - z) / 400e0) AS u, CASE WHEN k IN (0, 400) THEN 1e0 WHEN k % 2 = 1 THEN 4e0 ELSE 2e0 END AS wt FROM nodes)
-SELECT isize, any_value(n) AS n, round(sum(wt * exp(-u * u / 2e0)) * any_value(h) / 3e0 / sqrt(2e0 * pi()), 6) AS tail FROM steps GROUP BY isize"""
-
-
-@query("scf17_right_tail", "aln", _tail_sql())
+@query("scf17_right_tail", "aln", """
+sizes AS (SELECT isize, count(*) AS n FROM aln WHERE isize > 0 GROUP BY isize),
+nodes AS (SELECT isize, n, k, greatest((isize - 300e0) / 100e0, -12e0) AS z FROM sizes, range(0, 401) AS r(k)),
+steps AS (SELECT isize, n, (least(z, 0e0) + 12e0 - z) / 400e0 AS h, z + k * ((least(z, 0e0) + 12e0 - z) / 400e0) AS u, CASE WHEN k IN (0, 400) THEN 1e0 WHEN k % 2 = 1 THEN 4e0 ELSE 2e0 END AS wt
+  FROM (SELECT isize, n, k, least(z, 11e0) AS z FROM nodes))
+SELECT isize, any_value(n) AS n, round(sum(wt * exp(-u * u / 2e0)) * any_value(h) / 3e0 / sqrt(2e0 * pi()), 6) AS tail FROM steps GROUP BY isize""")
 def right_tails(spark, d):
-    sizes = views.aln(spark, d).filter("isize > 0 AND isize <= 800").groupBy("isize").agg(F.count("*").alias("n"))
-    table = spark.createDataFrame([(x, round(density.right_tail(x, 300, 100), 6)) for x in range(801)], "isize int, tail double")
-    return sizes.join(F.broadcast(table), "isize").select("isize", "n", "tail")  # 801 rows
+    """Every insert size; the SQL sums the normal density by Simpson's rule."""
+    sizes = views.aln(spark, d).filter("isize > 0").groupBy("isize").agg(F.count("*").alias("n"))
+    return sizes.select("isize", "n", F.round(density.right_tail_column(F.col("isize"), 300, 100), 6).alias("tail"))
 
 
 @query("scf20_contig_digest", "genome", """

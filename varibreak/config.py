@@ -8,8 +8,11 @@ from . import constants as C
 
 
 def parse_pairs(text: str) -> dict[str, str]:
-    """``minmpr=5,maxins=50000``."""
-    return dict(item.split("=", 1) for item in text.split(",") if "=" in item)
+    """``minmpr=5,maxins=50000``; a word without ``=`` is an error."""
+    items = [item for item in text.split(",") if item]
+    if bare := [item for item in items if "=" not in item]:
+        raise ValueError(f"options are name=value, not {bare}")
+    return dict(item.split("=", 1) for item in items)
 
 
 def parse_sample_pairs(text: str, known: set[str]) -> tuple[dict[str, str], dict[str, str]]:

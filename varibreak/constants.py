@@ -7,6 +7,9 @@ FLAG_NAMES = (
 )
 UNMAPPED, MATE_UNMAPPED, REVERSE, QC_FAIL, DUPLICATE = 4, 8, 16, 512, 1024
 
+# Letter of each four-bit base code of a BAM file.
+NIBBLE_LETTERS = "=ACMGRSVTWYHKDBN"
+
 # Soft-clip clusters.
 MIN_READS_PER_CLUSTER = 3
 MIN_BASES_PER_CLUSTER = 30

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from ..constants import NIBBLE_LETTERS
+
 
 def base_code(base: Column) -> Column:
     """A, C, G, T -> 1..4, anything else 5; case-insensitive."""
@@ -33,3 +35,15 @@ def within_one_mismatch(a: Column, b: Column) -> Column:
     first = F.substr(a, F.lit(1), half) == F.substr(b, F.lit(1), half)
     second = F.substr(a, half + 1, length) == F.substr(b, half + 1, length)
     return (F.length(a) == length) & (first | second) & (hamming(a, b) <= 1)
+
+
+def decode_bases(packed: Column, length: Column) -> Column:
+    """Bases of two-to-a-byte codes (binary), the first ``length`` of them; the code's value is the letter's place in ``=ACMGRSVTWYHKDBN``."""
+    return F.substring(F.translate(F.hex(packed), "0123456789ABCDEF", NIBBLE_LETTERS), F.lit(1), length.cast("int"))
+
+
+def encode_bases(seq: Column) -> Column:
+    """Two-to-a-byte codes of a sequence; letters the code lacks count as N, an odd end is filled with code 0."""
+    letters = F.regexp_replace(F.upper(seq), f"[^{NIBBLE_LETTERS}]", "N")
+    codes = F.translate(letters, NIBBLE_LETTERS, "0123456789ABCDEF")
+    return F.unhex(F.concat(codes, F.when(F.length(codes) % 2 == 1, "0").otherwise("")))

@@ -191,15 +191,8 @@ def cluster_anchors(anchors: DataFrame, contigs: DataFrame, cell: int = CELL) ->
     return from_line(collapse(line, sweep_clusters(line, cell)), offsets)
 
 
-def contrast_clusters(case: DataFrame, control: DataFrame, contigs: DataFrame, case_support: int, control_support: int,
-                      cell: int = CELL) -> DataFrame:
-    """Clusters of case anchors with enough support and too little of it in the control.
-
-    Case and control are clustered apart, then their clusters together.  A joint
-    cluster keeps the extent and support of its case part when that support
-    reaches ``case_support`` and the control's stays below ``control_support``.
-    """
-    offsets = cut_lineage(strand_offsets(contigs))
+def _contrast(case: DataFrame, control: DataFrame, offsets: DataFrame, cell: int) -> DataFrame:
+    """Joint clusters on the line: extent of the case part, ``sup`` and ``control_sup``."""
     parts = []
     for sign, anchors in ((1, case), (-1, control)):
         line = cut_lineage(to_line(anchors, offsets))
@@ -208,8 +201,29 @@ def contrast_clusters(case: DataFrame, control: DataFrame, contigs: DataFrame, c
     joint = both.join(sweep_clusters(both, cell), KEY)
     mine = F.col("sup") > 0
     pick = lambda agg, c: agg(F.when(mine, F.col(c))).alias(c)
-    merged = joint.groupBy("root").agg(
+    return joint.groupBy("root").agg(
         pick(F.min, "lst"), pick(F.max, "led"), pick(F.min, "rst"), pick(F.max, "red"),
-        F.sum(F.when(mine, F.col("sup")).otherwise(0)).alias("sup"), F.sum(F.when(mine, 0).otherwise(-F.col("sup"))).alias("_control"),
-    ).filter((F.col("sup") > 0) & (F.col("sup") >= case_support) & (F.col("_control") < control_support)).drop("root", "_control")
+        F.sum(F.when(mine, F.col("sup")).otherwise(0)).alias("sup"), F.sum(F.when(mine, 0).otherwise(-F.col("sup"))).alias("control_sup"),
+    ).drop("root")
+
+
+def contrast_support(case: DataFrame, control: DataFrame, contigs: DataFrame, cell: int = CELL) -> DataFrame:
+    """``lst, led, rst, red, sup, control_sup`` of every joint cluster of case and control anchors, on the line.
+
+    Case and control are clustered apart, then their clusters together; the extent is that of the case part, NULL
+    where the case has none.
+    """
+    return _contrast(case, control, cut_lineage(strand_offsets(contigs)), cell)
+
+
+def contrast_clusters(case: DataFrame, control: DataFrame, contigs: DataFrame, case_support: int, control_support: int,
+                      cell: int = CELL) -> DataFrame:
+    """Clusters of case anchors with enough support and too little of it in the control, in genome coordinates.
+
+    A joint cluster (``contrast_support``) is kept when its case support reaches ``case_support`` and the control's
+    stays below ``control_support``.
+    """
+    offsets = cut_lineage(strand_offsets(contigs))
+    merged = _contrast(case, control, offsets, cell)
+    merged = merged.filter((F.col("sup") > 0) & (F.col("sup") >= case_support) & (F.col("control_sup") < control_support)).drop("control_sup")
     return from_line(merged, offsets)

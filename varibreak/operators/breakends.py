@@ -58,6 +58,7 @@ def drop_near_duplicates(bnd: DataFrame, distance: int) -> DataFrame:
     group = ["chr1", "chr2", "goRight1", "goRight2"]
     key = F.struct("pos1", "pos2", "cid", "mcid")
     rows = bnd.withColumn("_x", tile_of(F.col("pos1"), distance)).withColumn("_y", tile_of(F.col("pos2"), distance)).withColumn("_key", key)
+    rows = cut_lineage(rows)  # read for the first row of each cell and for the rows around it
     cell = [*group, "_x", "_y"]
     first = rows.groupBy(*cell).agg(F.min("_key").alias("_key"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)])

@@ -123,3 +123,14 @@ def call_big_deletions(pairs: DataFrame, keys: list[str], min_pairs: int, max_si
     found = islands(pairs, keys, "start", "end", 0, {"_lo": ("max", F.col("start")), "_hi": ("min", F.col("end")), "support": ("sum", F.lit(1))})
     kept = found.filter((F.col("support") >= min_pairs) & (F.col("_lo") < F.col("_hi")) & (F.col("_hi") - F.col("_lo") <= max_size))
     return kept.select(*keys, F.col("_lo").alias("start"), F.col("_hi").alias("end"), "support", F.lit("DEL").alias("svtype"), F.lit("bigd").alias("method"))
+
+
+def unite(evidence: dict[str, DataFrame]) -> DataFrame:
+    """One table of all kinds of evidence with the name of each in ``method``; columns that a kind lacks are NULL."""
+    out = None
+    for method, found in evidence.items():
+        part = found.withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no evidence to unite")
+    return out

@@ -17,7 +17,8 @@ from ..functions.discrete import min_insertion_reads
 from ..functions.records import is_all_chromosomes
 from ..operators import breakends as be
 from ..operators import calls, clips, intervals, libstats, match, scan, tracks
-from ..session import cut_lineage
+from ..operators.regions import last_base
+from ..session import cut_lineage, small
 
 HANG_LIMIT = 0.1  # largest hang or clip rate of a usable library (chosen here)
 LEAST_HANG = 1e-6  # stands for a hang rate of zero, whose logarithm has no value
@@ -129,7 +130,7 @@ def clip_events(aln: DataFrame, pieces: DataFrame, gaps: DataFrame | None, cover
     rows = cut_lineage(be.canonical(rows.drop("rc")))
     rows = be.hotspots(rows, ["chr1"], "pos1", *options.hotspot).filter(~F.col("hot")).drop("hot")
     rows = be.separated(be.drop_near_duplicates(rows, read_length), options.min_separation)
-    span = lambda df: df.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.col("qwidth") - 1).alias("end"))
+    span = lambda df: df.select("chrom", F.col("pos").alias("start"), last_base(F.col("pos"), F.col("cigar"), F.col("flag")).alias("end"))
     has_control = control.limit(1).count() > 0
     scale = coverage / control_coverage if control_coverage else 1.0
     events = be.classify(
@@ -166,7 +167,7 @@ def _from_big_deletion(aln: DataFrame, libraries: DataFrame | None, options: Sca
         libraries = libstats.library_parameters(aln, ["sample", "lib"])
     limit = big_deletion_limit(options, given(options.insert_size, "is"), given(options.insert_sd, "sdR"))
     limits = libraries.select("sample", "lib", limit.alias("_limit"))
-    return aln.join(F.broadcast(limits), ["sample", "lib"]).filter(F.col("isize") >= F.col("_limit")).drop("_limit")  # one row per library
+    return aln.join(small(limits), ["sample", "lib"]).filter(F.col("isize") >= F.col("_limit")).drop("_limit")  # one row per library
 
 
 def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None, step: int, origin: int = 1,

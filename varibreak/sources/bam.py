@@ -31,6 +31,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
+from ..constants import NIBBLE_LETTERS as BASE_LETTERS
 from . import bgzf
 from .bai import Index, bin_of
 
@@ -42,7 +43,6 @@ MORE_SCHEMA = "end long, qual string, tags map<string,string>, rg string, librar
 FULL_SCHEMA = f"{ALN_SCHEMA}, {MORE_SCHEMA}"
 # fixed tables of the format
 CIGAR_LETTERS = "MIDNSHP=X"
-BASE_LETTERS = "=ACMGRSVTWYHKDBN"
 REFERENCE_OPS = (0, 2, 3, 7, 8)
 HEAD = np.dtype([
     ("ref", "<i4"), ("pos", "<i4"), ("name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"),
