@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .. import views
 from ..functions import dna
-from ..operators import clips, match
+from ..operators import clips, match, seeds
 from ..session import cut_lineage
 from .reads import OVERLAP, TILE
 from .registry import query
@@ -144,6 +144,41 @@ def remapped_breakends(spark, d):
     return breakend_rows(spark, d)
 
 
+WORDS_SQL = """
+g1 AS (SELECT chrom, tile, start, seq || coalesce(lead(seq) OVER w, '') || coalesce(lead(seq, 2) OVER w, '') || coalesce(lead(seq, 3) OVER w, '') AS seq FROM genome WINDOW w AS (PARTITION BY chrom ORDER BY tile)),
+km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 64) AS ahead FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1))"""
+
+
+def case_patterns(spark, d):
+    named = F.concat_ws(":", "side", "chrom", F.col("position").cast("string")).alias("pid")
+    return cut_lineage(case_clusters(spark, d).select(named, F.col("consensus").alias("pattern")))
+
+
+@query("aln07_exact_matches", "aln genome", CLUSTERS_SQL + "," + WORDS_SQL + """,
+pat AS (SELECT side || ':' || chrom || ':' || CAST(position AS VARCHAR) AS pid, consensus AS pattern FROM clusters WHERE sample = 'case' AND NOT contains(consensus, 'N'))
+SELECT pid, km.chrom, loc AS mstart, loc + length(pattern) - 1 AS mend FROM pat JOIN km ON substr(ahead, 1, 8) = substr(pattern, 1, 8) AND starts_with(ahead, pattern)""")
+def exact_matches(spark, d):
+    """Every place where a consensus, however short, stands in the genome as it is."""
+    return seeds.exact_matches(case_patterns(spark, d), genome(spark, d), TILE)
+
+
+@query("aln08_maximal_seeds", "aln genome", CLUSTERS_SQL + "," + WORDS_SQL + """,
+pat AS (SELECT DISTINCT consensus AS pattern FROM clusters WHERE sample = 'case'),
+side AS (SELECT md5(pattern) AS tid, '+' AS strand, pattern AS s FROM pat UNION ALL SELECT md5(pattern), '-', reverse(translate(pattern, 'ACGT', 'TGCA')) FROM pat),
+pw AS (SELECT tid, strand, q, substr(s, q, 20) AS word FROM (SELECT *, unnest(range(1, length(s) - 18)) AS q FROM side WHERE length(s) >= 20)),
+hit AS (SELECT tid, strand, chrom, loc - q AS diag, q FROM pw JOIN km ON substr(ahead, 1, 20) = word WHERE NOT contains(word, 'N')),
+run AS (SELECT *, q - row_number() OVER (PARTITION BY tid, strand, chrom, diag ORDER BY q) AS g FROM hit)
+SELECT tid, strand, chrom, min(q) AS qstart, diag + min(q) AS rstart, CAST(count(*) + 19 AS INT) AS length FROM run GROUP BY tid, strand, chrom, diag, g""")
+def maximal_seeds(spark, d):
+    return seeds.maximal_matches(case_patterns(spark, d), genome(spark, d), TILE)
+
+
+@query("aln09_gapped_alignment")
+def gapped_alignment(spark, d):
+    """Consensus sequences placed with gaps (tested against plain dynamic programming)."""
+    return seeds.align_with_gaps(case_patterns(spark, d), genome(spark, d), TILE)
+
+
 @query("aln06_self_similarity", "genome", """
 g1 AS (SELECT chrom, start, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY tile), '') AS seq FROM genome),
 km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 12) AS kmer FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),

@@ -46,21 +46,24 @@ def fetch_subsequence(regions: DataFrame, tiles: DataFrame, size: int, start: st
 def find_matches(patterns: DataFrame, tiles: DataFrame, size: int, seed: int = SEED) -> DataFrame:
     """All places of each pattern with at most one mismatch: ``pid, chrom, mstart, mend``.
 
-    ``patterns`` has ``pid, pattern`` of at least ``2 * seed`` bases; tiles must
-    overlap by the longest pattern.  Equal patterns are searched once.
+    ``patterns`` has ``pid, pattern`` of at least two bases; the seeds of one shorter than ``2 * seed`` bases are its
+    halves.  Tiles must overlap by the longest pattern.  Equal patterns are searched once.
     """
     text = patterns.select("pattern").distinct()
     half = F.floor(F.length("pattern") / 2).cast("int")
-    offsets = F.array(F.lit(0), half)
-    seeds = text.select("pattern", F.explode(offsets).alias("off")).select(
-        "pattern", "off", F.col("pattern").substr(F.col("off") + 1, F.lit(seed)).alias("kmer")
+    text = text.filter(F.when(half >= 1, True).otherwise(F.raise_error(F.lit("a pattern has two bases at least")).cast("boolean")))
+    text = text.withColumn("_k", F.least(half, F.lit(seed)))
+    seeds = text.select("pattern", "_k", F.explode(F.array(F.lit(0), half)).alias("off")).select(
+        "pattern", "off", "_k", F.col("pattern").substr(F.col("off") + 1, F.col("_k")).alias("kmer")
     )
-    own = F.sequence(F.lit(1), F.least(F.lit(size), F.length("seq") - (seed - 1)))
-    kmers = tiles.filter(F.length("seq") >= seed).select("chrom", F.col("start").alias("_ts"), "seq", F.explode(own).alias("_i")).select(
-        "chrom", (F.col("_ts") + F.col("_i") - 1).alias("at"), F.col("seq").substr(F.col("_i"), F.lit(seed)).alias("kmer")
+    lengths = F.array(*[F.lit(r["_k"]) for r in text.select("_k").distinct().collect()] or [F.lit(seed)])  # ``seed`` numbers at most
+    own = F.sequence(F.lit(1), F.least(F.lit(size), F.length("seq") - (F.col("_k") - 1)))
+    kmers = tiles.select("chrom", "start", "seq", F.explode(lengths).alias("_k")).filter(F.length("seq") >= F.col("_k"))
+    kmers = kmers.select("chrom", F.col("start").alias("_ts"), "seq", "_k", F.explode(own).alias("_i")).select(
+        "chrom", (F.col("_ts") + F.col("_i") - 1).alias("at"), "_k", F.col("seq").substr(F.col("_i"), F.col("_k")).alias("kmer")
     )
     # only k-mers that some pattern asks for travel on
-    places = kmers.join(seeds, "kmer").select("pattern", "chrom", (F.col("at") - F.col("off")).alias("mstart")).filter("mstart >= 1").distinct()
+    places = kmers.join(seeds, ["_k", "kmer"]).select("pattern", "chrom", (F.col("at") - F.col("off")).alias("mstart")).filter("mstart >= 1").distinct()
     sized = places.withColumn("mend", F.col("mstart") + F.length("pattern") - 1)
     seen = fetch_subsequence(sized, tiles, size, "mstart", "mend")
     verified = seen.filter(within_one_mismatch(F.col("subseq"), F.col("pattern"))).select("pattern", "chrom", "mstart", "mend")
