@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .. import views
 from ..functions.density import hanging_term, unscaled
-from ..operators import mates, scan, tracks
+from ..operators import changepoint, mates, scan, tracks
 from .shared import PAIRS_SQL
 from .registry import query
 
@@ -281,3 +281,23 @@ def coverage_calls(spark, d):
     bins = tracks.running_median3(coverage_bins(spark, d), ["sample", "chrom"], "bin", "n", "rm")
     mean = coverage_bins(spark, d).groupBy("sample").agg(F.avg("n").alias("mu"))
     return tracks.call_coverage(bins.join(mean, "sample"), ["sample", "chrom"], "rm", F.col("mu"), 1000)
+
+
+@query("cp01_running_counts", "aln", """
+p AS (SELECT chrom, pos, count(*) FILTER (sample = 'case') AS cx, count(*) FILTER (sample <> 'case') AS cy FROM aln GROUP BY chrom, pos)
+SELECT chrom, pos, CAST(sum(cx) OVER w AS BIGINT) AS x, CAST(sum(cy) OVER w AS BIGINT) AS y FROM p WINDOW w AS (PARTITION BY chrom ORDER BY pos)""")
+def running_counts(spark, d):
+    return changepoint.running_counts(views.aln(spark, d).select("chrom", "pos", (F.col("sample") == "case").alias("is_case")))
+
+
+@query("ev07_change_points")
+def change_points(spark, d):
+    """Gains and losses of the case between change points (tested against a recursive search)."""
+    reads = views.aln(spark, d).select("chrom", "pos", (F.col("sample") == "case").alias("is_case"))
+    return changepoint.change_point_calls(changepoint.segments(reads), support=500)
+
+
+@query("st10_bootstrap_threshold")
+def bootstrap_threshold(spark, d):
+    """Resampled thresholds of the deletion track (tested against plain resampling with the same draws)."""
+    return tracks.bootstrap_threshold(straddle_track(spark, d, W), ["sample"], "score", STEP, 20, 0.05)

@@ -24,6 +24,7 @@ def build_parser() -> argparse.ArgumentParser:
         p.add_argument("--reference", required=True, help="FASTA with .fai, or Parquet pieces (chrom, start, seq)")
         p.add_argument("--out", required=True)
         p.add_argument("-c", "--chromosomeName", default="a")
+        p.add_argument("--by-read-group", action="store_true", help="a library is the LB of a read's group, not its file")
         return p
 
     stat = command("stat", "library statistics")
@@ -46,6 +47,10 @@ def build_parser() -> argparse.ArgumentParser:
     join = command("join", "merge all evidence into calls")
     join.add_argument("-u", "--track_opt", dest="tracks", default=JoinOptions.tracks)
     join.add_argument("-v", "--bigd_opt", dest="big", default=JoinOptions.big)
+    join.add_argument("--disc_opt", dest="discordant", default=JoinOptions.discordant, help="wrongly oriented pairs; empty: none")
+    join.add_argument("--seqcbs_opt", dest="change_point", default=JoinOptions.change_point, help="change points of case against control; empty: none")
+    join.add_argument("--cvg_opt", dest="coverage", default=JoinOptions.coverage, help="binned coverage; empty: none")
+    join.add_argument("--hang_opt", dest="hanging", default=JoinOptions.hanging, help="hanging reads from both sides; empty: none")
     join.add_argument("-r", "--confirm", default=JoinOptions.confirm)
     join.add_argument("-p", "--sample", default=JoinOptions.sample)
     return parser
@@ -55,7 +60,7 @@ def main(argv: list[str] | None = None) -> None:
     args = build_parser().parse_args(argv)
     spark = build_session(f"varibreak {args.command}")
     register(spark)
-    aln = read_samples(spark, args.reads)
+    aln = read_samples(spark, args.reads, args.by_read_group)
     pieces = spark.read.format("fasta").load(args.reference) if not args.reference.endswith(".parquet") else spark.read.parquet(args.reference)
     contigs = pieces.groupBy("chrom").agg(F.max(F.col("start") + F.length("seq") - 1).alias("length"))
     lengths = [(r.chrom, r.length) for r in contigs.orderBy("chrom").collect()]  # one row per contig
@@ -85,7 +90,8 @@ def main(argv: list[str] | None = None) -> None:
         vcf.write_vcf(vcf.event_records(events, clusters.select("cid", "nreads")), f"{args.out}/events.vcf", contigs=lengths)
         return
     score_tracks = pipelines.scan_libraries(aln, stats, scan_options)
-    raw, confirmed = pipelines.join_calls(aln, score_tracks, events, scan_options.step, options=JoinOptions(tracks=args.tracks, big=args.big, confirm=args.confirm),
+    raw, confirmed = pipelines.join_calls(aln, score_tracks, events, scan_options.step, options=JoinOptions(
+        tracks=args.tracks, big=args.big, discordant=args.discordant, change_point=args.change_point, coverage=args.coverage, hanging=args.hanging, confirm=args.confirm),
                                          libraries=stats, scan_options=scan_options)
     sample = args.sample.split(",")[0]
     for name, regions in (("raw", raw), ("conf", confirmed)):

@@ -153,6 +153,8 @@ class JoinOptions:
     big: str = "minmpr=5,maxins=50000"
     discordant: str = "minmpr=5,maxins=10000"
     change_point: str = "minstat=0,sup=1500,gap=1000,expand=2000,good=4"
+    coverage: str = "width=10000,gap=0,sup=0"
+    hanging: str = "width=250,minfwd=2,minrev=2"
     confirm: str = "dedup"
     sample: str = "spX,INFO,MIX,DESCRIPTION"
     out: str = "input"

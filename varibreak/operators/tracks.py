@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..session import cut_lineage
 from .intervals import islands
 from .libstats import median_and_mad
 
@@ -123,3 +125,34 @@ def window_max(track: DataFrame, keys: list[str], score: str, width: int) -> Dat
     return track.groupBy(*keys, F.floor(F.col("t") / F.lit(float(width))).alias("bin")).agg(best.alias("_b")).select(
         *keys, "bin", F.col("_b.s").alias("top"), (-F.col("_b.n")).alias("at")
     )
+
+
+def level_alpha(level: float) -> float:
+    """The error rate that a threshold level stands for: ``10 ** -level`` (semantics chosen here)."""
+    return 10.0 ** -level
+
+
+def bootstrap_threshold(track: DataFrame, keys: list[str], score: str, step: int, buffer: int, alpha: float, resample: int = 200, seed: int = 42) -> DataFrame:
+    """``keys, threshold, mean, sd``: the ``1 - alpha`` quantile of window maxima, averaged over resamples (semantics chosen here).
+
+    The grid is cut into blocks of ``buffer`` windows and every second one gives its maximum, so that maxima lie
+    ``buffer`` windows apart.  A resample takes each maximum as often as a Poisson draw of mean one says, which depends
+    on the seed, the block and the number of the resample only: reruns and other partitions draw the same.  ``mean`` and
+    ``sd`` describe the maxima.  A resample that draws nothing gives no quantile.
+    """
+    from .quantiles import grouped_quantiles
+
+    block = F.floor(F.col("t") / F.lit(float(buffer * step))).cast("long")
+    tops = track.withColumn("_b", block).filter(F.col("_b") % 2 == 0).groupBy(*keys, "_b").agg(F.max(score).alias("_m"))
+    tops = cut_lineage(tops)
+    drawn = tops.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(resample))))
+    share = F.pmod(F.xxhash64(F.lit(seed), "_r", "_b", *keys), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    # times a Poisson variable of mean one exceeds the share: 1 - share below each tail
+    tails = [1.0 - math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k)) for k in range(1, 12)]
+    times = sum((F.when(share < t, 1).otherwise(0) for t in tails[1:]), F.when(share < tails[0], 1).otherwise(0))
+    counted = drawn.withColumn("_w", times).filter("_w > 0").groupBy(*keys, "_r", "_m").agg(F.sum("_w").alias("_w"))
+    each = grouped_quantiles(counted, [*keys, "_r"], F.col("_m"), {"q": 1.0 - alpha}, F.col("_w"))
+    # averages of whole numbers do not depend on the order in which values arrive
+    average = lambda c: F.avg(F.round(F.col(c) * 1e9).cast("long")) / 1e9
+    found = each.groupBy(*keys).agg(average("q").alias("threshold"))
+    return found.join(tops.groupBy(*keys).agg(average("_m").alias("mean"), F.round(F.stddev_samp("_m"), 9).alias("sd")), keys)

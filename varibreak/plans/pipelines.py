@@ -11,19 +11,25 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
-from ..config import ClipOptions, JoinOptions, ScanOptions, StatOptions, checked, parse_confirm, parse_sample_pairs, parse_tracks
+from ..config import ClipOptions, JoinOptions, ScanOptions, StatOptions, checked, parse_confirm, parse_pairs, parse_sample_pairs, parse_tracks
 from ..functions.density import unscaled
 from ..functions.discrete import min_insertion_reads
 from ..functions.records import is_all_chromosomes
 from ..operators import breakends as be
-from ..operators import calls, clips, intervals, libstats, match, scan, tracks
+from ..operators import calls, changepoint, clips, intervals, libstats, match, scan, tracks
+from ..operators.pairedscan import paired_event_scan
 from ..operators.regions import last_base
+from ..operators.thresholds import sample_thresholds
 from ..session import cut_lineage, small
 
 HANG_LIMIT = 0.1  # largest hang or clip rate of a usable library (chosen here)
 LEAST_HANG = 1e-6  # stands for a hang rate of zero, whose logarithm has no value
 TRACK_WORDS = {"track", "method", "thresh", "sup", "gap", "cvg"}
 BIG_WORDS = {"minmpr", "maxins"}
+CHANGE_WORDS = {"minstat", "sup", "gap", "expand", "good"}
+COVERAGE_WORDS = {"width", "gap", "sup"}
+HANGING_WORDS = {"width", "minfwd", "minrev"}
+METHODS = ("empr", "robust", "boot", "theo", "value")
 CONFIRM_WORDS = {"dedup", "nostrict"}
 
 
@@ -170,6 +176,74 @@ def _from_big_deletion(aln: DataFrame, libraries: DataFrame | None, options: Sca
     return aln.join(small(limits), ["sample", "lib"]).filter(F.col("isize") >= F.col("_limit")).drop("_limit")  # one row per library
 
 
+def _margin(score_tracks: DataFrame, parts: list[str], spec: dict[str, str], step: int, libraries: DataFrame | None, scan_options: ScanOptions) -> DataFrame:
+    """The tracks with ``_s``: how far the weakest of the named tracks is above its threshold."""
+    level, method = spec.get("thresh", "level3"), spec.get("method", "robust")
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}; known are {METHODS}")
+    joint = score_tracks.withColumn("_j", F.least(*[F.col(p) for p in parts]) if len(parts) > 1 else F.col(parts[0]))
+    if not level.startswith("level") or method == "value":
+        return joint.withColumn("_s", F.col("_j") - float(level.removeprefix("level")))
+    number = float(level.removeprefix("level"))
+    if method in ("empr", "robust"):
+        limit = tracks.robust_threshold(joint, ["sample"], "_j", number)
+    elif method == "boot":
+        delta = scan_options.delta or 1000
+        limit = tracks.bootstrap_threshold(joint, ["sample"], "_j", step, max(1, round(2 * delta / step)), tracks.level_alpha(number)).select("sample", "threshold")
+    else:
+        if libraries is None:
+            raise ValueError("thresholds by theory need the library table")
+        by_sample: dict[str, list[dict]] = {}
+        for row in libraries.collect():  # one row per library
+            by_sample.setdefault(row["sample"], []).append(row.asDict())
+        windows = {r["sample"]: r["n"] for r in joint.groupBy("sample").agg(F.count("*").alias("n")).collect()}
+        rows = []
+        for sample, n in windows.items():
+            found = sample_thresholds(by_sample.get(sample, []), tracks.level_alpha(number), n, scan_options.width, scan_options.mixing_rate, scan_options.delta)
+            rows.append((sample, *[float(found[p]) for p in parts]))
+        limits = joint.sparkSession.createDataFrame(rows, ", ".join(["sample string", *(f"_t{i} double" for i in range(len(parts)))]))
+        held = joint.join(small(limits), "sample")
+        gaps = [F.col(p) - F.col(f"_t{i}") for i, p in enumerate(parts)]
+        return held.withColumn("_s", F.least(*gaps) if len(gaps) > 1 else gaps[0])
+    return joint.join(small(limit), "sample").withColumn("_s", F.col("_j") - F.col("threshold"))  # one row per sample
+
+
+def discordant_regions(aln: DataFrame, spec: dict[str, str]) -> DataFrame:
+    """Pairs of one chromosome in a wrong orientation: both ends one way round are INV, ends facing away DUP (semantics chosen here)."""
+    usable = F.col("flag").bitwiseAND(1 + C.UNMAPPED + C.MATE_UNMAPPED + C.QC_FAIL + C.DUPLICATE) == 1
+    ahead, back = F.col("flag").bitwiseAND(16) == 0, F.col("flag").bitwiseAND(32) != 0
+    kind = F.when(ahead != back, "INV").when(~ahead, "DUP")
+    left = aln.filter(usable & (F.col("mchrom") == F.col("chrom")) & (F.col("pos") < F.col("mpos"))).withColumn("svtype", kind).filter("svtype IS NOT NULL")
+    pairs = left.select("sample", "chrom", "svtype", (F.col("pos") + F.col("qwidth") - 1).alias("start"), F.col("mpos").alias("end")).filter("start <= end")
+    found = calls.call_big_deletions(pairs.withColumnRenamed("svtype", "_kind"), ["sample", "chrom", "_kind"], int(spec["minmpr"]), int(spec["maxins"]))
+    return found.select("sample", "chrom", "start", "end", F.col("_kind").alias("svtype"), F.lit("disc").alias("method"))
+
+
+def coverage_regions(spans: DataFrame, spec: dict[str, str]) -> DataFrame:
+    """Runs of bins whose smoothed depth is under 0.9 or over 1.1 of the sample's mean bin."""
+    width = int(spec.get("width", C.COVERAGE_BIN))
+    bins = cut_lineage(tracks.coverage_bins(spans, ["sample", "chrom"], width))
+    mean = small(bins.groupBy("sample").agg(F.avg("n").alias("_mean")))
+    smooth = tracks.running_median3(bins, ["sample", "chrom"], "bin", "n", "_rm").join(mean, "sample")
+    return tracks.call_coverage(smooth, ["sample", "chrom"], "_rm", F.col("_mean"), width, 1, int(spec.get("gap", 0)), int(spec.get("sup", 0)))
+
+
+def hanging_regions(aln: DataFrame, spec: dict[str, str]) -> DataFrame:
+    """Forward hanging reads followed by reverse ones, as insertions between them (semantics chosen here)."""
+    hang = aln.filter(F.col("flag").bitwiseAND(1 + C.UNMAPPED + C.MATE_UNMAPPED + C.QC_FAIL + C.DUPLICATE) == 1 + C.MATE_UNMAPPED)
+    width = int(spec.get("width", 250))
+    found = paired_event_scan(hang.filter("strand = '+'"), hang.filter("strand = '-'"), ["sample", "chrom"], "pos", width, int(spec.get("minfwd", 2)), int(spec.get("minrev", 2)))
+    return found.select("sample", "chrom", F.col("first_x").alias("start"), (F.col("first_x") + 2 * width).alias("end"), F.lit("INS").alias("svtype"), F.lit("hax").alias("method"))
+
+
+def change_point_regions(aln: DataFrame, spec: dict[str, str]) -> DataFrame:
+    """Gains and losses of the case against the control between change points."""
+    usable = aln.filter((F.col("flag").bitwiseAND(C.UNMAPPED + C.QC_FAIL + C.DUPLICATE) == 0) & F.col("chrom").isNotNull())
+    found = changepoint.segments(usable.select("chrom", "pos", (F.col("sample") == "case").alias("is_case")))
+    made = changepoint.change_point_calls(found, float(spec.get("minstat", 0)), int(spec.get("sup", 1500)), int(spec.get("gap", 1000)), int(spec.get("expand", 2000)), float(spec.get("good", 4)))
+    return made.select("chrom", "start", "end", "svtype", "method")
+
+
 def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None, step: int, origin: int = 1,
                options: JoinOptions = JoinOptions(), libraries: DataFrame | None = None, scan_options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
     """Raw and confirmed region calls from every kind of evidence.
@@ -180,8 +254,12 @@ def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None
 
     With a control each evidence keeps the case regions that overlap no control
     region.  Options may be given per sample, ``control:case``; both must name
-    the same tracks.  Track thresholds are the median plus ``level`` scaled
-    deviations or the number given.
+    the same tracks.  An evidence whose option text is empty is left out; change points need a control.
+
+    A track's ``method`` sets how ``thresh=levelN`` becomes a threshold: ``robust`` (and ``empr``) the median plus N
+    scaled deviations; ``boot`` the resampled quantile of window maxima and ``theo`` the scan's theory, summed over the
+    fit libraries, both at the error rate 10 ** -N; ``value``, or a plain number, is taken as it is.  Other methods are errors.
+    Small insertions and deletions need ``cvg`` reads and ``sup`` per cent of the reads over their first base.
     """
     per_sample = [[checked(spec, TRACK_WORDS) for spec in part] for part in parse_tracks(options.tracks)]
     if len(per_sample) > 2 or [s["track"] for s in per_sample[0]] != [s["track"] for s in per_sample[-1]]:
@@ -201,18 +279,14 @@ def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None
     def track_regions(spec: dict[str, str]) -> DataFrame:
         name, gap, support = spec["track"], int(spec.get("gap", 100)), int(spec.get("sup", 100))
         if name in ("ins", "del"):
-            small = clips.indel_calls(aln, ["sample", "chrom"], int(spec.get("cvg", 5)))
-            return small.filter(F.col("svtype") == name.upper())
+            held = clips.indel_calls(aln, ["sample", "chrom"], int(spec.get("cvg", 5))).filter(F.col("svtype") == name.upper())
+            over = intervals.count_overlaps(held, spans, ["sample", "chrom"], "start", "start", "start", "end", "_depth")
+            return over.filter(F.col("nreads") * 100 >= F.col("_depth") * int(spec.get("sup", 0)))
         parts = name.split("+")
-        joint = score_tracks.withColumn("_s", F.least(*[F.col(p) for p in parts]) if len(parts) > 1 else F.col(parts[0]))
-        level = spec.get("thresh", "level3")
-        if level.startswith("level"):
-            limit = tracks.robust_threshold(joint, ["sample"], "_s", float(level.removeprefix("level")))
-            joint, bound = joint.join(limit, "sample"), F.col("threshold")
-        else:
-            bound = F.lit(float(level))
-        return tracks.call_track(joint, ["sample", "chrom"], "_s", bound, step, origin, gap, support, "DEL", "lcd" if name == "lCd" else "ldx")
+        return tracks.call_track(_margin(score_tracks, parts, spec, step, libraries, scan_options), ["sample", "chrom"], "_s", F.lit(0.0), step, origin, gap, support,
+                                 "DEL", "lcd" if name == "lCd" else "ldx")
 
+    spans = aln.filter(F.col("flag").bitwiseAND(C.UNMAPPED) == 0).select("sample", "chrom", F.col("pos").alias("start"), last_base(F.col("pos"), F.col("cigar"), F.col("flag")).alias("end"))
     for control, case in zip(per_sample[0], per_sample[-1]):
         add(track_regions, control, case)
     over = _from_big_deletion(aln, libraries, scan_options).filter(F.col("mchrom") == F.col("chrom")).select(
@@ -220,6 +294,14 @@ def join_calls(aln: DataFrame, score_tracks: DataFrame, events: DataFrame | None
     ).filter(F.col("start") <= F.col("end"))
     big_regions = lambda spec: calls.call_big_deletions(over, ["sample", "chrom"], int(spec["minmpr"]), int(spec["maxins"]))
     add(big_regions, *parse_sample_pairs(options.big, BIG_WORDS))
+    for text, words, regions in ((options.discordant, BIG_WORDS, lambda spec: discordant_regions(aln, spec)), (options.coverage, COVERAGE_WORDS, lambda spec: coverage_regions(spans, spec)),
+                                 (options.hanging, HANGING_WORDS, lambda spec: hanging_regions(aln, spec))):
+        if text:
+            add(regions, *parse_sample_pairs(text, words))
+    if options.change_point:
+        spec = checked(parse_pairs(options.change_point), CHANGE_WORDS)
+        if aln.filter(~is_case).limit(1).count():
+            found.append(change_point_regions(aln, spec))
     if events is not None:
         found.append(event_regions(events).select("chrom", "start", "end", "svtype", "method"))
     raw = found[0]
