@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession, functions as F
 
 MARK = "▁"
-REMEMBERED = 150_000
+REMEMBERED = 600_000
 
 
 class PieceModel:
@@ -75,6 +75,7 @@ class PieceModel:
         score[0] = 0.0
         came = [(0, -1)] * (n + 1)
         known, done, fallback = self.single, 0, self.fallback
+        plain = known.issuperset(word)  # every character is a piece, so none falls back to bytes
 
         def fall_back(upto: int) -> None:
             for at in range(done, upto):
@@ -84,7 +85,7 @@ class PieceModel:
 
         for end, (length, gain, piece) in self.automaton.iter(word):
             end += 1
-            if done < end:
+            if done < end and not plain:
                 fall_back(end)
                 done = end
             start = end - length
@@ -92,7 +93,8 @@ class PieceModel:
             if total > score[end]:
                 score[end] = total
                 came[end] = (start, piece)
-        fall_back(n)
+        if not plain:
+            fall_back(n)
         out, at = [], n
         while at:
             start, piece = came[at]
