@@ -153,3 +153,20 @@ def test_alignment_finds_planted_indels(spark, genome, tiles):
         assert top.score == score_of(query(top), ref[top.mstart - 1 :], top.cigar) == max(best_score(query(top), ref[max(0, r.mstart - 60) : r.mend + 60]) for r in mine)
         assert top.mend - top.mstart + 1 == sum(int(n) for n, o in CIGAR_PART.findall(top.cigar) if o in "MD")
     assert not [r for r in got if r.pid == 50]
+
+
+def test_similar_words(spark, genome, tiles):
+    contigs = spark.createDataFrame([(c, len(s)) for c, s in genome.items()], "chrom string, length long")
+    for word, wrong, middle in ((20, 3, 5), (21, 4, 3)):
+        got = sorted(tuple(r) for r in seeds.similar_words(tiles, contigs, SIZE, word, wrong, middle).collect())
+        first = word // 2 - 3
+        want = []
+        for c, s in genome.items():
+            for a in range(0, len(s) - word, word):
+                for b in range(len(s) - word + 1):
+                    x, y = s[a : a + word], s[b : b + word]
+                    if x[first : first + middle] == y[first : first + middle] and "N" not in x + y:
+                        differing = sum(p != q for p, q in zip(x, y))
+                        if differing <= wrong:
+                            want.append((c, a + 1, b + 1, differing))
+        assert got == sorted(want) and len(got) > len(genome["b"]) // word

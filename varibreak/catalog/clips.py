@@ -106,15 +106,23 @@ def case_clusters(spark, d):
     return cut_lineage(clusters(spark, d).filter("sample = 'case'"))
 
 
-@query("aln01_genome_matches", "aln genome", CLUSTERS_SQL + """,
+WORDS_SQL = """
+g1 AS (SELECT chrom, tile, start, seq || coalesce(lead(seq) OVER w, '') || coalesce(lead(seq, 2) OVER w, '') || coalesce(lead(seq, 3) OVER w, '') AS seq FROM genome WINDOW w AS (PARTITION BY chrom ORDER BY tile)),
+km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 64) AS ahead FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1))"""
+
+
+MATCHES_SQL = CLUSTERS_SQL + """,
 pat AS (SELECT side || ':' || chrom || ':' || CAST(position AS VARCHAR) AS pid, consensus AS pattern FROM clusters WHERE sample = 'case' AND length(consensus) > 30),
 g1 AS (SELECT chrom, tile, start, seq || coalesce(lead(seq) OVER w, '') || coalesce(lead(seq, 2) OVER w, '') || coalesce(lead(seq, 3) OVER w, '') AS seq FROM genome WINDOW w AS (PARTITION BY chrom ORDER BY tile)),
 km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 15) AS kmer, substr(seq, i, 64) AS ahead FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),
 c1 AS (SELECT pid, pattern, chrom, loc AS ms FROM pat JOIN km ON kmer = substr(pattern, 1, 15)),
 c2 AS (SELECT pid, pattern, k.chrom, k.loc - length(pattern) // 2 AS ms FROM pat JOIN km k ON k.kmer = substr(pattern, CAST(length(pattern) // 2 + 1 AS BIGINT), 15)),
 c AS (SELECT pid, pattern, chrom, ms FROM c1 UNION SELECT pid, pattern, chrom, ms FROM c2),
-v AS (SELECT c.pid, c.pattern, c.chrom, c.ms, substr(k.ahead, 1, length(pattern)) AS ref FROM c JOIN km k ON k.chrom = c.chrom AND k.loc = c.ms)
-SELECT pid, chrom, ms AS mstart, ms + length(pattern) - 1 AS mend FROM v WHERE length(ref) = length(pattern) AND hamming(ref, pattern) <= 1""")
+v AS (SELECT c.pid, c.pattern, c.chrom, c.ms, substr(k.ahead, 1, length(pattern)) AS ref FROM c JOIN km k ON k.chrom = c.chrom AND k.loc = c.ms),
+found AS (SELECT pid, chrom, ms AS mstart, ms + length(pattern) - 1 AS mend FROM v WHERE length(ref) = length(pattern) AND hamming(ref, pattern) <= 1)"""
+
+
+@query("aln01_genome_matches", "aln genome", MATCHES_SQL + "\nSELECT pid, chrom, mstart, mend FROM found")
 def genome_matches(spark, d):
     pats = case_clusters(spark, d).filter(F.length("consensus") > C.MIN_CONSENSUS_LENGTH).select(
         F.concat_ws(":", "side", "chrom", F.col("position").cast("string")).alias("pid"), F.col("consensus").alias("pattern")
@@ -122,12 +130,18 @@ def genome_matches(spark, d):
     return match.find_matches(pats, genome(spark, d), TILE)
 
 
-@query("lim02_rare_matches")
+@query("lim02_rare_matches", "aln genome", MATCHES_SQL + """
+SELECT * FROM (SELECT pid, chrom, mstart, mend, count(*) OVER (PARTITION BY pid) AS n_match FROM found) WHERE n_match < 10""")
 def rare_matches(spark, d):
     return match.keep_rare(genome_matches(spark, d), C.MAX_MATCHES)
 
 
-@query("aln02_home_matches")
+@query("aln02_home_matches", "aln genome", CLUSTERS_SQL + "," + WORDS_SQL + """,
+own AS (SELECT chrom, side, position, consensus FROM clusters WHERE sample = 'case'),
+hit AS (SELECT o.chrom, side, position, loc FROM own o JOIN km ON km.chrom = o.chrom AND loc BETWEEN position - 1000 AND position + 1001 - length(consensus)
+  WHERE length(ahead) >= length(consensus) AND hamming(substr(ahead, 1, length(consensus)), consensus) <= 1)
+SELECT o.chrom, o.side, o.position, CAST(count(loc) AS INT) AS n_remap, CAST(min(loc) - (o.position - 1000) + 1 AS INT) AS remap_at
+FROM own o LEFT JOIN hit h ON h.chrom = o.chrom AND h.side = o.side AND h.position = o.position GROUP BY o.chrom, o.side, o.position""")
 def home_matches(spark, d):
     """Occurrences of each case cluster's consensus within 1000 bases of the cluster itself."""
     c = case_clusters(spark, d).select("chrom", "side", "position", "consensus")
@@ -144,11 +158,6 @@ def remapped_breakends(spark, d):
     return breakend_rows(spark, d)
 
 
-WORDS_SQL = """
-g1 AS (SELECT chrom, tile, start, seq || coalesce(lead(seq) OVER w, '') || coalesce(lead(seq, 2) OVER w, '') || coalesce(lead(seq, 3) OVER w, '') AS seq FROM genome WINDOW w AS (PARTITION BY chrom ORDER BY tile)),
-km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 64) AS ahead FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1))"""
-
-
 def case_patterns(spark, d):
     named = F.concat_ws(":", "side", "chrom", F.col("position").cast("string")).alias("pid")
     return cut_lineage(case_clusters(spark, d).select(named, F.col("consensus").alias("pattern")))
@@ -179,6 +188,15 @@ def gapped_alignment(spark, d):
     return seeds.align_with_gaps(case_patterns(spark, d), genome(spark, d), TILE)
 
 
+@query("aln06_similar_words", "genome contigs", WORDS_SQL + """,
+wd AS (SELECT km.chrom, loc, substr(ahead, 1, 36) AS w, length FROM km JOIN contigs USING (chrom) WHERE length(ahead) >= 36)
+SELECT a.chrom, a.loc AS word_at, b.loc AS at, CAST(hamming(a.w, b.w) AS INT) AS differing FROM wd a JOIN wd b ON a.chrom = b.chrom AND substr(a.w, 16, 5) = substr(b.w, 16, 5)
+WHERE a.loc % 36 = 1 AND a.loc <= a.length - 36 AND hamming(a.w, b.w) <= 4""")
+def similar_words(spark, d):
+    """36-mers of every contig and where they stand again with up to four mismatches."""
+    return seeds.similar_words(genome(spark, d), views.contigs(spark, d), TILE)
+
+
 @query("aln06_self_similarity", "genome", """
 g1 AS (SELECT chrom, start, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY tile), '') AS seq FROM genome),
 km AS (SELECT chrom, start + i - 1 AS loc, substr(seq, i, 12) AS kmer FROM (SELECT *, unnest(range(1, 33)) AS i FROM g1)),

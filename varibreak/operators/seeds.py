@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cigar import REFERENCE_LENGTH_CLASS, aligned_length
-from ..functions.dna import reverse_complement
+from ..functions.dna import hamming, reverse_complement
 from ..session import cut_lineage
 from .intervals import tile_of
 
@@ -88,6 +88,39 @@ def maximal_matches(patterns: DataFrame, tiles: DataFrame, size: int, least: int
         "tid", "strand", "chrom", "qstart", (F.col("diag") + F.col("qstart")).alias("rstart"), (F.col("n") + least - 1).cast("int").alias("length"))
 
 
+def similar_words(tiles: DataFrame, contigs: DataFrame, size: int, word: int = 36, mismatches: int = 4, middle: int = 5) -> DataFrame:
+    """``chrom, word_at, at, differing``: where a contig's words stand again with a few mismatches (a self-similarity plot).
+
+    Words are those at places 1, 1 + ``word``, 1 + 2 ``word`` and so on, of which at least one base follows; every place
+    of the contig is compared.  The ``middle`` bases from place ``word // 2 - 2`` of a word must agree.  The other bases are
+    cut into ``mismatches + 1`` blocks, one of which agrees, so words meet under a block with the middle; a pair counts
+    under its first agreeing block only.  Words with other letters than A, C, G, T are left out; tiles must overlap by
+    ``word - 1`` bases.
+    """
+    first = word // 2 - 2  # 1-based
+    others = [i for i in range(1, word + 1) if not first <= i < first + middle]
+    cut = [others[len(others) * k // (mismatches + 1) : len(others) * (k + 1) // (mismatches + 1)] for k in range(mismatches + 1)]
+
+    def block(text, k):
+        """A block's bases; it may lie on both sides of the middle."""
+        low = [i for i in cut[k] if i < first]
+        high = [i for i in cut[k] if i >= first + middle]
+        parts = [F.substring(text, part[0], len(part)) for part in (low, high) if part]
+        return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+    places = _words(tiles, size, [word]).select("chrom", "at", "word")
+    keys = lambda text: F.array(*[F.struct(F.lit(k).alias("k"), F.concat(block(text, k), F.substring(text, first, middle)).alias("key")) for k in range(mismatches + 1)])
+    length = contigs.select("chrom", F.col("length").alias("_n"))
+    own = places.join(length, "chrom").filter((F.col("at") % word == 1) & (F.col("at") <= F.col("_n") - word))
+    own = own.select("chrom", F.col("at").alias("word_at"), F.col("word").alias("_w"), F.inline(keys("word")))
+    met = places.select("chrom", "at", "word", F.inline(keys("word"))).join(own, ["chrom", "k", "key"])
+    earlier = [(F.col("k") > k) & (block("word", k) == block("_w", k)) for k in range(mismatches)]
+    for agrees in earlier:
+        met = met.filter(~agrees)
+    met = met.withColumn("differing", hamming(F.col("word"), F.col("_w")))
+    return met.filter(F.col("differing") <= mismatches).select("chrom", "word_at", "at", "differing")
+
+
 # ---------------------------------------------------------------- chains and alignment
 
 # scores of a base that agrees or not, of opening a gap and of each of its bases
