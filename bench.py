@@ -12,7 +12,7 @@ from varibreak.session import build_session
 HEADLINE = [
     "wn03_peaks", "ag04_deletion_term", "jn05_hanging_left", "st11_deletion_scan", "ag21_mean_depth", "ag09_consensus", 
     "aln01_genome_matches", "jn03_count_overlaps", "jn11_first_overlap", "wn09_near_duplicates", "cl01_anchor_clusters", "ag01_library_stats",
-    "wn10_strict_dedup", "ag16_fold_change_control",
+    "wn10_strict_dedup", "ag16_fold_change_control", "cl02_contrast_clusters", "wn06_running_median", "jn14_adjacent_breakends", "plp01_pileup",
 ]
 
 

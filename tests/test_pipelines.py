@@ -100,6 +100,22 @@ def test_every_library_enters_the_scan_with_its_own_model(spark, reads):
         assert got == pytest.approx(want, abs=1e-6)
 
 
+def test_one_library_is_scored_as_by_its_numbers(spark, reads):
+    """The model in columns gives what the same model gives as numbers, and all libraries are one pass over the reads."""
+    mine = reads.filter("sample = 'case' AND lib = 'lib1'")
+    model = "sample string, lib string, rl double, `is` double, sdR double, p_left double, p_right double"
+    libs = spark.createDataFrame([("case", "lib1", 100.0, 300.0, 40.0, 0.01, 0.02)], model)
+    base = dict(width=100, step=50)
+    plain = pipelines.scan_tracks(mine, ScanOptions(insert_size=300.0, insert_sd=40.0, prob_hang=0.01, prob_hang_right=0.02, read_length=100, **base)).collect()
+    joined = {(r.chrom, r.t): r for r in pipelines.scan_libraries(mine, libs, ScanOptions(**base)).collect()}
+    assert len(plain) == len(joined)
+    for r in plain:
+        other = joined[r.chrom, r.t]
+        assert r.cvg == other.cvg and all(abs(r[c] - other[c]) < 1e-6 for c in ("lCd", "lCi", "lDl", "lDr"))
+    fixed = pipelines.library_models(libs, ScanOptions(delta=700, big_deletion=900, prob_hang=0.3, insert_size=250.0, insert_sd=10.0, read_length=90)).first()
+    assert (fixed.rl, fixed.mu, fixed.sd, fixed.p_left, fixed.p_right, fixed.delta, fixed.big) == (90, 250.0, 10.0, 0.3, 0.3, 700, 900)
+
+
 @pytest.mark.parametrize("option,want", [(None, {(20099, 20502), (40099, 41402)}), (1200, {(40099, 41402)})])
 def test_big_deletions_start_where_the_scan_leaves_pairs_out(spark, option, want):
     # library one has mean 300 and sd 50, so its limit is 450; library wide has the limit 1300

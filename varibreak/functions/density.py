@@ -11,10 +11,14 @@ from ..constants import SCORE_SCALE
 MAX_TABLE_ROWS = 1_000_000
 
 
-def shifted_ratio(z: Column, w: float, mu: float, sigma: float, cap: float | None = None) -> Column:
-    """f(z - w) / f(z) for the normal density f; ``cap`` bounds the ratio from above."""
-    var = float(sigma) * float(sigma)
-    ratio = F.exp((z.cast("double") - F.lit(float(mu))) * F.lit(w / var) - F.lit(w * w / (2.0 * var)))
+def _number(x: Column | float) -> Column:
+    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+
+
+def shifted_ratio(z: Column, w: float, mu: Column | float, sigma: Column | float, cap: float | None = None) -> Column:
+    """f(z - w) / f(z) for the normal density f; ``cap`` bounds the ratio from above.  The model may be columns."""
+    var = _number(sigma) * _number(sigma)
+    ratio = F.exp((z.cast("double") - _number(mu)) * (F.lit(float(w)) / var) - F.lit(float(w * w)) / (F.lit(2.0) * var))
     return F.least(ratio, F.lit(float(cap))) if cap is not None else ratio
 
 
@@ -37,12 +41,12 @@ def right_tail(x: float, mu: float, sigma: float) -> float:
     return 0.5 * math.erfc((x - mu) / (sigma * math.sqrt(2.0)))
 
 
-def right_tail_column(x: Column, mu: float, sigma: float) -> Column:
+def right_tail_column(x: Column, mu: Column | float, sigma: Column | float) -> Column:
     """1 - Phi((x - mu) / sigma) as a column: a power series near the mean, a continued fraction in the tails.
 
     Both are carried far enough for about twelve exact digits.
     """
-    z = (x.cast("double") - F.lit(float(mu))) / F.lit(float(sigma))
+    z = (x.cast("double") - _number(mu)) / _number(sigma)
     size = F.abs(z)
     peak = F.exp(-z * z / 2.0) / F.lit(math.sqrt(2.0 * math.pi))
     # sum of z**(2k + 1) / (1 * 3 * ... * (2k + 1)), each term from the one before
@@ -70,3 +74,8 @@ def hanging_table(spark: SparkSession, delta: int, mu: float, sigma: float, r: f
         raise ValueError(f"delta must lie in 2..{MAX_TABLE_ROWS}")
     rows = [(d, round(hanging_term(d, mu, sigma, r, p) * SCORE_SCALE)) for d in range(1, delta)]
     return spark.createDataFrame(rows, "dist long, term long")
+
+
+def hanging_term_column(distance: Column, mu: Column, sigma: Column, r: float, p: Column) -> Column:
+    """``hanging_term`` with the model in columns."""
+    return F.log(F.lit(1.0) + F.lit(float(r)) * (F.lit(1.0) - p) / p * right_tail_column(distance, mu, sigma))

@@ -13,7 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import SCORE_SCALE
-from ..functions.density import hanging_table, mixture_term, scaled, shifted_ratio, unscaled
+from ..functions.density import MAX_TABLE_ROWS, hanging_table, hanging_term_column, mixture_term, scaled, shifted_ratio, unscaled
+from ..session import small
 from .intervals import interval_runs, islands
 from .mates import pair_class
 
@@ -120,6 +121,25 @@ def hanging_scores(reads: DataFrame, keys: list[str], pos: str, before: bool, w:
     )
 
 
+def hanging_scores_by_model(reads: DataFrame, models: DataFrame, model_keys: list[str], keys: list[str], pos: str, before: bool, w: int, step: int, r: float,
+                            rate: str, origin: int = 1) -> DataFrame:
+    """``keys, t, score`` as ``hanging_scores``, each read by the model of its library; one pass over all libraries.
+
+    ``models`` has ``model_keys`` and ``delta, mu, sd`` and the hang rate named ``rate``; their terms are a table of
+    ``delta - 1`` rows per library, made by columns.
+    """
+    dists = models.select(*model_keys, F.explode(F.sequence(F.lit(1), F.col("delta").cast("long") - 1)).alias("dist"), "mu", "sd", F.col(rate).alias("_p"))
+    terms = small(dists.select(*model_keys, "dist", scaled(hanging_term_column(F.col("dist"), F.col("mu"), F.col("sd"), r, F.col("_p"))).alias("term")), MAX_TABLE_ROWS)
+    both = list(dict.fromkeys([*keys, *model_keys]))
+    at = reads.filter(F.col(pos).isNotNull()).groupBy(*both, F.col(pos).alias("_x")).agg(F.count("*").alias("_n"))
+    at = at.join(models.select(*model_keys, F.col("delta").cast("long").alias("_d")), model_keys)
+    lo, hi = (F.col("_x") + 1, F.col("_x") + F.col("_d") - 1) if before else (F.col("_x") - w - F.col("_d") + 1, F.col("_x") - w - 1)
+    spread = at.withColumn("i0", F.greatest(first_window(lo, origin, step), F.lit(0))).withColumn("i1", last_window(hi, origin, step)).filter("i0 <= i1")
+    spread = spread.withColumn("i", F.explode(F.sequence("i0", "i1"))).withColumn("t", F.col("i") * step + origin)
+    dist = F.col("t") - F.col("_x") if before else F.col("_x") - (F.col("t") + w)
+    return spread.withColumn("dist", dist).join(terms, [*model_keys, "dist"]).groupBy(*keys, "t").agg(F.sum(F.col("term") * F.col("_n")).alias("score"))
+
+
 def _combine(parts: list[DataFrame], keys: list[str], names: list[str]) -> DataFrame:
     """Add up per-window parts, each giving one of ``names``; missing windows are zero."""
     rows = None

@@ -6,8 +6,6 @@ Inputs are the alignment schema (``sample, lib, rid, ...``), ``contigs``
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
@@ -58,25 +56,41 @@ def scan_tracks(aln: DataFrame, options: ScanOptions) -> DataFrame:
     return _window_totals(_window_terms(aln, options))
 
 
+def library_models(libraries: DataFrame, options: ScanOptions) -> DataFrame:
+    """``sample, lib, rl, mu, sd, p_left, p_right, delta, big``: the model each library is scored by.
+
+    A value set in ``options`` stands before the one learned.
+    """
+    given = lambda value, learned: learned if value is None else F.lit(float(value))
+    rate = lambda c: F.greatest(F.col(c), F.lit(LEAST_HANG))
+    left = given(options.prob_hang, rate("p_left"))
+    right = given(options.prob_hang_right, given(options.prob_hang, rate("p_right")))
+    mu, sd = given(options.insert_size, F.col("is").cast("double")), given(options.insert_sd, F.col("sdR").cast("double"))
+    return libraries.select("sample", "lib", F.floor(given(options.read_length, F.col("rl"))).cast("long").alias("rl"), mu.alias("mu"), sd.alias("sd"), left.alias("p_left"), right.alias("p_right")).select(
+        "*", F.floor(given(options.delta, F.col("mu") + 6 * F.col("sd"))).cast("long").alias("delta"),
+        F.floor(given(options.big_deletion, F.col("mu") + 3 * F.col("sd"))).cast("long").alias("big"))
+
+
 def scan_libraries(aln: DataFrame, libraries: DataFrame, options: ScanOptions) -> DataFrame:
     """As ``scan_tracks``, the sum over the libraries of each sample, each scored by its own model.
 
-    ``libraries`` is the library table; a value set in ``options`` stands before the one learned.  The driver reads
-    that table, one row per library.
+    ``libraries`` is the library table.  Its models are joined to the reads (few rows, counted before they are
+    broadcast), so all libraries are one pass over the reads.
     """
-    rows = None
-    for lib in libraries.orderBy("sample", "lib").collect():
-        first = lambda given, learned: learned if given is None else given
-        own = replace(
-            options, read_length=int(first(options.read_length, lib["rl"])), insert_size=first(options.insert_size, lib["is"]),
-            insert_sd=first(options.insert_sd, lib["sdR"]), prob_hang=first(options.prob_hang, max(lib["p_left"], LEAST_HANG)),
-            prob_hang_right=first(options.prob_hang_right, first(options.prob_hang, max(lib["p_right"], LEAST_HANG))),
-        )
-        mine = aln.filter((F.col("sample") == lib["sample"]) & (F.col("lib") == lib["lib"]))
-        part = _window_terms(mine, own)
-        rows = part if rows is None else rows.unionByName(part)
-    if rows is None:
-        raise ValueError("the library table has no rows")
+    models = small(library_models(libraries, options))
+    keys, own, w, step = ["sample", "chrom"], ["sample", "lib"], options.width, options.step
+    reads = on_chromosomes(aln, options.chromosome).filter(F.col("pos").between(options.start, options.end) & (F.col("flag").bitwiseAND(C.DUPLICATE + C.QC_FAIL + C.UNMAPPED) == 0))
+    pairs = reads.join(models.select(*own, F.col("rl").alias("_rl"), "mu", "sd", "big"), own)
+    proper = pairs.filter((F.col("isize") > 2 * F.col("_rl")) & (F.col("mchrom") == F.col("chrom")) & (F.col("isize") < F.col("big")))
+    term = lambda shift: scan.scaled(scan.mixture_term(scan.shifted_ratio(F.col("isize"), shift, F.col("mu"), F.col("sd")), options.mixing_rate))
+    frags = proper.select(*keys, (F.col("pos") + F.col("_rl")).alias("start"), (F.col("pos") + F.col("isize") - F.col("_rl") - 1).alias("end"), term(w).alias("d"), term(-w).alias("i"))
+    cut = scan.windows_within(frags, F.col("start"), F.col("end"), w, step, options.start)
+    runs = scan.window_sums(cut, keys, {"lCd": F.col("d"), "lCi": F.col("i"), "cvg": F.lit(1)})
+    rows = scan.to_windows(runs, keys, ["lCd", "lCi", "cvg"], step, options.start)
+    hang = reads.filter(F.col("flag").bitwiseAND(1 + C.UNMAPPED + C.MATE_UNMAPPED) == 1 + C.MATE_UNMAPPED)
+    for strand, before, name, rate in (("+", True, "lDl", "p_left"), ("-", False, "lDr", "p_right")):
+        part = scan.hanging_scores_by_model(hang.filter(F.col("strand") == strand), models, own, keys, "pos", before, w, step, options.mixing_rate, rate, options.start)
+        rows = rows.unionByName(part.select(*keys, "t", F.col("score").alias(name)), allowMissingColumns=True)
     return _window_totals(rows)
 
 
