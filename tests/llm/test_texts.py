@@ -115,6 +115,17 @@ def test_simhash_groups(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_simhash_reads_stored_bytes(spark):
+    stored = [b"A \xff\xfe b c d", b"a \xff\xfe B c d", b"a \xed\xa0\x80 b", None]
+    rows = spark.createDataFrame(list(enumerate(stored)), "doc_id int, raw binary").selectExpr("doc_id", "CAST(raw AS STRING) AS text")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect()}
+    runs = [b"a \xff\xfe b", b"\xff\xfe b c", b"b c d"]
+    votes = [sum(xxhash.xxh64_intdigest(r, 42) >> b & 1 for r in runs) for b in range(64)]
+    first = f"{sum(1 << b for b in range(64) if 2 * votes[b] > 3):016x}"
+    assert got[0] == got[1] == (first, 0)
+    assert got[2] == (f"{xxhash.xxh64_intdigest(stored[2], 42):016x}", 2) and got[3] == ("0" * 16, 3)
+
+
 @pytest.mark.parametrize("leaf", [1, 4, 256])
 def test_fingerprint_links_are_complete(spark, leaf):
     draw = random.Random(leaf)

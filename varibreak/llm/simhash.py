@@ -39,9 +39,10 @@ FAN = 8
 CHUNK = 1 << 16
 
 
-def fingerprint_text(text: str | None) -> int:
-    """Signed 64-bit fingerprint of one text."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z only, ASCII white space only
+def fingerprint_text(text: str | bytes | None) -> int:
+    """Signed 64-bit fingerprint of one text, or of its bytes as they are stored, valid UTF-8 or not."""
+    stored = text.encode() if isinstance(text, str) else bytes(text or b"")
+    words = stored.lower().split()  # of bytes: A-Z only, ASCII white space only
     if not words:
         return 0
     if len(words) < SHINGLE:
@@ -57,8 +58,12 @@ def fingerprint_text(text: str | None) -> int:
 
 
 @F.pandas_udf(LongType())
-def fingerprint(text: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint_text(t) for t in text], dtype="int64")
+def _fingerprint(stored: pd.Series) -> pd.Series:
+    return pd.Series([fingerprint_text(t) for t in stored], dtype="int64")
+
+
+def fingerprint(text: Column | str) -> Column:
+    return _fingerprint((F.col(text) if isinstance(text, str) else text).cast("binary"))
 
 
 def as_hex(fp: Column) -> Column:
