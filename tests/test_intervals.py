@@ -69,6 +69,13 @@ def test_overlap_reduce_and_counts(spark, data):
     assert {r["id"] for r in iv.overlapping(a, b, ["chrom"], keep=False).collect()} == {row[0] for row in left if not any(overlap(row, r) for r in right)}
 
 
+def test_exploded_blocks_are_not_broadcast(spark, data):
+    a, b = frame(spark, data[0]), frame(spark, data[1])
+    plan = iv.overlap_reduce(a, b, ["chrom"], "start", "end", {"n": ("sum", F.lit(1))})._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "_lv" in line and "Join" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+
+
 def test_points_and_distances(spark, data):
     left, right = data
     points = frame(spark, left).select("id", "chrom", F.col("start").alias("pos"))
