@@ -58,6 +58,16 @@ def test_one_mismatch_of_short_patterns(spark, genome, tiles):
     assert got == want
 
 
+def test_genome_words_are_not_broadcast(spark, genome, tiles):
+    df = spark.createDataFrame([("p", genome["a"][5:60])], "pid string, pattern string")
+    for found in (match.find_matches(df, tiles, SIZE), seeds.maximal_matches(df, tiles, SIZE)):
+        # what is sent around is the patterns, which were counted, never words or tiles of the genome
+        plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+        sent = [line for line in plan if "BroadcastHashJoin" in line and ("_ts" in line or "tile" in line)]
+        assert not sent
+    assert seeds.exact_matches(df, tiles, SIZE).count() >= 1
+
+
 def test_maximal_matches(spark, genome, tiles):
     other = "A" if genome["a"][960] == "T" else "T"
     p = genome["a"][905:960] + other + genome["a"][961:1000] + revcomp(genome["b"][500:560])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cigar import REFERENCE_LENGTH_CLASS, aligned_length
 from ..functions.dna import hamming, reverse_complement
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffled, small
 from .intervals import tile_of
 
 SEED = 20
@@ -31,7 +31,7 @@ def fetch_long(regions: DataFrame, tiles: DataFrame, size: int, start: str, end:
     lo = F.greatest(F.col(start), F.lit(1))
     asked = regions.filter(F.col(end) >= lo).select(*key, "chrom", lo.alias("_lo"), F.col(end).alias("_hi"))
     asked = asked.withColumn("tile", F.explode(F.sequence(tile_of(F.col("_lo") - 1, size), tile_of(F.col("_hi") - 1, size))))
-    found = asked.join(tiles.select("chrom", "tile", F.col("start").alias("_ts"), "seq"), ["chrom", "tile"])
+    found = asked.join(shuffled(tiles.select("chrom", "tile", F.col("start").alias("_ts"), "seq")), ["chrom", "tile"])
     begin = F.greatest("_lo", "_ts")
     count = F.least(F.col("_hi"), F.col("_ts") + size - 1) - begin + 1
     piece = F.substring("seq", (begin - F.col("_ts") + 1).cast("int"), count.cast("int"))
@@ -60,7 +60,7 @@ def exact_matches(patterns: DataFrame, tiles: DataFrame, size: int, seed: int =
     if not lengths:
         return patterns.select("pid", F.lit("").alias("chrom"), F.lit(0).cast("long").alias("mstart"), F.lit(0).cast("long").alias("mend")).limit(0)
     asked = text.select("tid", "k", F.length("pattern").alias("m"), F.substring("pattern", F.lit(1), F.col("k")).alias("word"))
-    places = _words(tiles, size, lengths).join(asked, ["k", "word"]).select("tid", "chrom", F.col("at").alias("mstart"), (F.col("at") + F.col("m") - 1).alias("mend"), (F.col("m") > F.col("k")).alias("open"))
+    places = shuffled(_words(tiles, size, lengths)).join(small(asked), ["k", "word"]).select("tid", "chrom", F.col("at").alias("mstart"), (F.col("at") + F.col("m") - 1).alias("mend"), (F.col("m") > F.col("k")).alias("open"))
     places = cut_lineage(places)
     seen = fetch_long(places.filter("open"), tiles, size, "mstart", "mend", ["tid", "chrom", "mstart", "mend"])
     whole = seen.join(text.select("tid", "pattern"), "tid").filter(F.col("subseq") == F.col("pattern")).select("tid", "chrom", "mstart", "mend")
@@ -81,7 +81,7 @@ def maximal_matches(patterns: DataFrame, tiles: DataFrame, size: int, least: int
     own = text.select("tid", F.explode(F.array(*sides)).alias("x")).select("tid", "x.strand", "x.s").filter(F.length("s") >= least)
     own = own.select("tid", "strand", "s", F.explode(F.sequence(F.lit(1), F.length("s") - least + 1)).alias("q"))
     own = own.select("tid", "strand", "q", F.substring("s", F.col("q"), F.lit(least)).alias("word"))
-    hits = _words(tiles, size, [least]).join(own, "word").select("tid", "strand", "chrom", (F.col("at") - F.col("q")).alias("diag"), "q")
+    hits = shuffled(_words(tiles, size, [least])).join(small(own), "word").select("tid", "strand", "chrom", (F.col("at") - F.col("q")).alias("diag"), "q")
     order = Window.partitionBy("tid", "strand", "chrom", "diag").orderBy("q")
     runs = hits.withColumn("_run", F.col("q") - F.row_number().over(order))
     return runs.groupBy("tid", "strand", "chrom", "diag", "_run").agg(F.min("q").alias("qstart"), F.count("*").alias("n")).select(
@@ -111,9 +111,9 @@ def similar_words(tiles: DataFrame, contigs: DataFrame, size: int, word: int = 3
     places = _words(tiles, size, [word]).select("chrom", "at", "word")
     keys = lambda text: F.array(*[F.struct(F.lit(k).alias("k"), F.concat(block(text, k), F.substring(text, first, middle)).alias("key")) for k in range(mismatches + 1)])
     length = contigs.select("chrom", F.col("length").alias("_n"))
-    own = places.join(length, "chrom").filter((F.col("at") % word == 1) & (F.col("at") <= F.col("_n") - word))
+    own = places.join(small(length), "chrom").filter((F.col("at") % word == 1) & (F.col("at") <= F.col("_n") - word))
     own = own.select("chrom", F.col("at").alias("word_at"), F.col("word").alias("_w"), F.inline(keys("word")))
-    met = places.select("chrom", "at", "word", F.inline(keys("word"))).join(own, ["chrom", "k", "key"])
+    met = places.select("chrom", "at", "word", F.inline(keys("word"))).join(shuffled(own), ["chrom", "k", "key"])
     earlier = [(F.col("k") > k) & (block("word", k) == block("_w", k)) for k in range(mismatches)]
     for agrees in earlier:
         met = met.filter(~agrees)
