@@ -84,3 +84,12 @@ def test_spike(spark):
     glue = lambda df: "".join(r["seq"] for r in df.orderBy("start").collect())
     assert glue(simulate.spike_variant(pieces, "c", 3, 4)) == "AAACGGGG"
     assert glue(simulate.spike_variant(pieces, "c", 6, 0, "TT")) == "AAAACCTTCCGGGG"
+
+
+def test_window_occurrences_at_the_edges(spark):
+    tiles = match.reference_tiles(spark.createDataFrame([("c", 1, "ACGTACGTTT")], "chrom string, start long, seq string"), 8, 41)
+    asked = spark.createDataFrame([(1, "c", 3, "ACGT"), (2, "c", 3, "ACGTACGTTTACGT"), (3, "d", 3, "ACGT"), (4, "c", 3, None), (5, "c", 9, "CCCCC")], "id int, chrom string, center long, pat string")
+    found = match.count_in_window(asked, tiles, 8, "center", "pat", 20)
+    assert {r.id: (r.n_remap, r.remap_at) for r in found.collect()} == {1: (2, 19), 2: (0, None), 3: (0, None), 4: (0, None), 5: (0, None)}
+    # offsets are counted in batches of rows, not one by one in an expression
+    assert "ArrowEvalPython" in found._jdf.queryExecution().sparkPlan().toString()
