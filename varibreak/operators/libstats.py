@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import flags
-from ..session import cut_lineage
+from ..session import cut_lineage, small
 from .quantiles import grouped_quantiles
 
 MAX_HISTOGRAM = 1_000_000
@@ -17,11 +17,12 @@ def sample_reads(aln: DataFrame, yield_reads: int, keys: list[str]) -> DataFrame
     """Keep about ``yield_reads`` reads per group, mates together.
 
     The fraction is ``min(yield / n, 1)`` and a read stays when the hash of its
-    name falls below it, so the choice is the same on every run.
+    name falls below it, so the choice is the same on every run.  Reads are not dealt by group, as a library may be
+    half of them; only many groups are joined by a shuffle.
     """
     share = aln.groupBy(*keys).agg((F.least(F.lit(1.0), F.lit(float(yield_reads)) / F.count("*")) * 1_000_000).alias("_cut"))
     bucket = F.conv(F.substring(F.md5("qname"), 1, 8), 16, 10).cast("long") % 1_000_000
-    return aln.join(share, keys).filter(bucket < F.col("_cut")).drop("_cut")
+    return aln.join(small(share), keys).filter(bucket < F.col("_cut")).drop("_cut")
 
 
 def index_counts(aln: DataFrame, keys: list[str]) -> DataFrame:
