@@ -47,3 +47,9 @@ def test_filters_on_derived_reads_are_not_written_out_over_the_table(spark):
         plan = queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         conditions = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
         assert conditions and max(map(len, conditions)) < 1500, name
+
+
+def test_hanging_scans_join_mates_once(spark):
+    for name in ("st11_deletion_hanging_scan", "st11_insertion_scan"):
+        plan = queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "qname" not in plan and "l_orderkey" not in plan, name

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import SCORE_SCALE
 from ..functions.density import MAX_TABLE_ROWS, hanging_table, hanging_term_column, mixture_term, scaled, shifted_ratio, unscaled
-from ..session import small
+from ..session import cut_lineage, small
 from .intervals import interval_runs, islands
 from .mates import pair_class
 
@@ -150,6 +150,11 @@ def _combine(parts: list[DataFrame], keys: list[str], names: list[str]) -> DataF
     return rows.groupBy(*keys, "t").agg(*[unscaled(c).alias(n) for n, c in sums.items()], unscaled(sum(sums.values(), F.lit(0))).alias("z"))
 
 
+def _classed(pairs: DataFrame, keys: list[str], delta: int) -> DataFrame:
+    """The classes of the pairs, written once, as three terms read them and mates would be joined for each."""
+    return cut_lineage(pairs.select(*keys, "p_start", "m_start").withColumn("cls", pair_class(F.col("p_start"), F.col("m_start"), delta)))
+
+
 def deletion_hanging_scan(pairs: DataFrame, keys: list[str], w: int, step: int, r: float, p: float, read_length: int, delta: int,
                           mu: float, sigma: float, origin: int = 1) -> DataFrame:
     """Straddling and hanging terms of a deletion scan per window.
@@ -157,7 +162,7 @@ def deletion_hanging_scan(pairs: DataFrame, keys: list[str], w: int, step: int,
     ``pairs`` has ``p_start, m_start`` with NULL for an unmapped end.  Windows
     are closed ``[t, t + w]``.
     """
-    classed = pairs.withColumn("cls", pair_class(F.col("p_start"), F.col("m_start"), delta))
+    classed = _classed(pairs, keys, delta)
     star = classed.filter("cls = 'star'").select(
         *keys, (F.col("p_start") + read_length + 1).alias("start"),
         F.greatest(F.col("m_start") - 1, F.col("p_start") + read_length + 1).alias("end"), (F.col("m_start") - F.col("p_start")).alias("isize"),
@@ -172,7 +177,7 @@ def deletion_hanging_scan(pairs: DataFrame, keys: list[str], w: int, step: int,
 def insertion_scan(pairs: DataFrame, keys: list[str], w: int, step: int, r: float, p: float, read_length: int, max_insert: int,
                    mu: float, sigma: float, origin: int = 1) -> DataFrame:
     """Insertion scan: hanging reads on both sides of a point and pairs straddling it."""
-    classed = pairs.withColumn("cls", pair_class(F.col("p_start"), F.col("m_start"), max_insert))
+    classed = _classed(pairs, keys, max_insert)
     star = classed.filter("cls = 'star'").select(
         *keys, (F.col("p_start") + read_length + 1).alias("start"),
         F.greatest(F.col("m_start") - 1, F.col("p_start") + read_length).alias("end"), (F.col("m_start") - F.col("p_start")).alias("isize"),
