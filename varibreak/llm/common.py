@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -81,7 +81,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of the longest chain.  A hub is one row of a checkpointed side, so
     a skewed join can split its neighbours.
     """
-    current = cut_lineage(
+    current = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     before = None
@@ -92,7 +92,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = cut_lineage(large)
         lowest = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = cut_lineage(moved.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
+        current = stored(moved.unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
         state = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(state) == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
