@@ -18,7 +18,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: one document of each group of near copies (five-word Jaccard similarity 0.8 or more)."""
+    """Operator 9: one document of each group of its fingerprints' groups and of near copies (five-word Jaccard similarity 0.8 or more)."""
     return simhash.keep_one_per_group(docs)
 
 

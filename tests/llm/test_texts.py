@@ -10,9 +10,11 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from varibreak.llm import chat, common, licenses, minhash, nearcopies, simhash
 from varibreak.llm.pieces import PieceCodec, PieceModel
 from varibreak.llm.queries import PIECES
+from varibreak.session import cut_lineage
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, FP string, component_id int, _own double"
 
@@ -196,6 +198,47 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, known):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
 
 
+def test_near_dedup_stage_takes_the_groups_of_operator_9(spark):
+    phrase = "alpha beta gamma " * 200
+    texts = [(1, phrase + prose(12, 31)), (2, phrase + prose(12, 32)), (3, prose(60, 33))]
+    fps = [plain_fingerprint(t) for _, t in texts]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 and components([1, 2, 3], fps) == [1, 1, 3]
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    assert 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs(spark, texts), "").collect()) == [1, 3]
+
+
+def test_a_large_group_of_near_copies_meets_in_few_pairs(spark, monkeypatch):
+    draw = random.Random(5)
+    base, texts = prose(150, 41).split(), []
+    for _ in range(240):
+        words = list(base)
+        for _ in range(draw.choice([1, 2, 3, 9, 14])):
+            words[draw.randrange(150)] = f"w{draw.randrange(10**6)}"
+        texts.append(" ".join(words))
+    met, confirmed = [], nearcopies._confirmed
+    monkeypatch.setattr(nearcopies, "_confirmed", lambda pairs, *more: met.append(pairs.distinct().count()) or confirmed(pairs, *more))
+    sets = [{tuple(w[i:i + 5]) for i in range(146)} for w in (t.split() for t in texts)]
+    fps = [plain_fingerprint(t) for t in texts]
+    label = list(range(240))
+    for i, j in combinations(range(240), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 2:
+            low, high = sorted((label[i], label[j]))
+            label = [low if x == high else x for x in label]
+    kept = simhash.keep_one_per_group(docs(spark, list(enumerate(texts))))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+    assert 1 < len(set(label)) < 200 and sum(met) < 240 * 239 // 2 // 4
+
+
+def test_estimated_sizes_stay_small_over_rounds(spark):
+    edges = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    for _ in range(5):
+        edges = cut_lineage(edges.join(edges.selectExpr("b AS c"), F.expr("a = c"), "left").select("a", "b"))
+    found = common.connected_components(edges)
+    assert {r.root for r in found.collect()} == {0}
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 60
+
+
 def test_next_in_descending_order(spark):
     ids = [0, 1, 2, 63, 64, 65, 4096, 1 << 30, -3, -(1 << 63), 64]
     rows = spark.createDataFrame([(i, f"p{i}") for i in ids], "key long, own string")

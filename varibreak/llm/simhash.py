@@ -193,14 +193,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest ``doc_id`` (NULL last).
 
-    Near copies share 0.8 of their five-word shingles, which no bit limit of the fingerprint promises to find, so the
-    components are those of ``nearcopies``, not of ``near_duplicates``.  Of rows that share id and text, one stays.
+    Components are made of the operator's own, whose fingerprints differ in two or fewer bits, and of the links of
+    ``nearcopies``: texts that share 0.8 of their five-word shingles are near copies too, and no bit limit promises to
+    find them.  Of rows that share id and text, one stays.
     """
-    key, root, least, place = fresh(docs, "_key", "_root", "_least", "_place")
+    key, root, least, place, fp = fresh(docs, "_key", "_root", "_least", "_place", "_fp")
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     marked = docs.withColumn(key, text_key(F.col("text"))).withColumn(least, own)
-    slim = cut_lineage(marked.groupBy(key).agg(F.min(least).alias(least)))
-    found = near_copy_components(docs).select(F.col("key").alias(key), F.col("root").alias(root))
+    slim = marked.select(key, least, fingerprint("text").alias(fp)).groupBy(key).agg(F.min(least).alias(least), F.min(fp).alias(fp))
+    slim = cut_lineage(slim)
+    alike = fingerprint_components(slim.select(F.col(least).alias("doc_id"), F.col(fp).alias("fp"))).select(F.col("fp").alias(fp), F.col("root").alias("group"))
+    found = near_copy_components(docs, slim.join(alike, fp).select(F.col(key).alias("key"), "group"))
+    found = found.select(F.col("key").alias(key), F.col("root").alias(root))
     owners = slim.join(found, key, "left").groupBy(F.coalesce(root, key).alias(root)).agg(F.min(F.struct(least, key)).alias("o"))
     kept = marked.join(owners.select(F.col("o")[least].alias(least), F.col("o")[key].alias(key)), [least, key])
     first = F.row_number().over(Window.partitionBy(least, key).orderBy(F.xxhash64("text")))
