@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from varibreak.operators import breakends as be
 from varibreak.operators import intervals as iv
 from varibreak.operators.quantiles import grouped_quantiles
+from varibreak.session import dealt
 
 TILE = 64
 
@@ -41,6 +42,22 @@ def test_runs_match_base_counts(spark, data):
     assert not [r for r in runs if (r["chrom"], r["end"] + 1) in joined and joined[r["chrom"], r["end"] + 1]["d"] == r["d"]]
 
 
+def test_runs_of_values_that_cancel_and_their_parts(spark, data):
+    rows = [(c, s, e, v) for i, (_, c, s, e) in enumerate(data[0]) for v in ([0], [2], [1, -1])[i % 3]]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, v long")
+    value = {}
+    for c, s, e, v in rows:
+        for p in range(s, e + 1):
+            value[c, p] = value.get((c, p), 0) + v
+    runs = iv.interval_runs(df, ["chrom"], "start", "end", {"v": F.col("v")}, tile=TILE, merge=True).collect()
+    assert {(r.chrom, p): r.v for r in runs for p in range(r.start, r.end + 1)} == value
+    after = {(r.chrom, r.start): r.v for r in runs}
+    assert not [r for r in runs if after.get((r.chrom, r.end + 1)) == r.v]
+    # parts follow the rows, not the bytes of the shuffle
+    cores = spark.sparkContext.defaultParallelism
+    assert [dealt(df, n, "chrom").rdd.getNumPartitions() for n in (10, 100 * 500_000)] == [cores, 100]
+
+
 @pytest.mark.parametrize("step", [0, 1, 9])
 def test_islands(spark, data, step):
     rows, _ = data[1], None
