@@ -1,13 +1,14 @@
 """Evidence that alone yields a call, methods of thresholds, resampled quantiles."""
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from varibreak.config import JoinOptions, ScanOptions
-from varibreak.operators import thresholds, tracks
+from varibreak.operators import scan, thresholds, tracks
 from varibreak.plans import pipelines
 
 COLS = "rid long, sample string, lib string, chrom string, pos long, qwidth int, isize long, mchrom string, mpos long, cigar string, flag int, strand string, seq string, mapq int"
@@ -109,3 +110,16 @@ def test_resampled_threshold_repeats_and_matches_its_draws(spark):
     assert a.mean == pytest.approx(values.mean()) and a.sd == pytest.approx(values.std(ddof=1))
     spread = [np.quantile(rng.choice(values, len(values)), 0.9) for _ in range(500)]
     assert abs(a.threshold - np.mean(spread)) < 4 * np.std(spread) / math.sqrt(50) + 0.02
+
+
+def test_terms_of_one_pass_and_thresholds_of_runs(spark):
+    rng = random.Random(9)
+    rows = [("a", s, s + rng.randrange(100, 700)) for s in (rng.randrange(1, 4000) for _ in range(80))]
+    frags = spark.createDataFrame([(c, s, e, e - s + 201) for c, s, e in rows], "chrom string, start long, end long, isize long")
+    one = lambda shift: scan.straddle_scores(frags, ["chrom"], 100, shift, 10, 0.5, 300.0, 60.0)
+    windows = lambda runs, n: {(r.t, r[n], r.n) for r in scan.to_windows(runs, ["chrom"], [n, "n"], 10, 1).collect()}
+    both = scan.straddle_terms(frags, ["chrom"], 100, {"up": 100, "down": -100}, 10, 0.5, 300.0, 60.0)
+    assert windows(both, "up") == windows(one(100), "score") and windows(both, "down") == windows(one(-100), "score")
+    track = scan.to_windows(one(100), ["chrom"], ["score"], 10, 1)
+    width = F.col("end") - F.col("start") + 1
+    assert tracks.robust_threshold(one(100), ["chrom"], "score", 3.0, width).collect() == tracks.robust_threshold(track, ["chrom"], "score", 3.0).collect()

@@ -219,7 +219,8 @@ m AS (SELECT sample, quantile_cont(score, 0.5) AS med FROM scores GROUP BY sampl
 a AS (SELECT s.sample, any_value(med) AS med, quantile_cont(abs(score - med), 0.5) AS mad FROM scores s JOIN m USING (sample) GROUP BY s.sample)
 SELECT sample, round(med + 3e0 * mad * 1.4826e0, 6) AS threshold FROM a""")
 def robust_threshold(spark, d):
-    t = tracks.robust_threshold(straddle_track(spark, d, W), ["sample"], "score", 3.0)
+    runs = scan.straddle_scores(fragments(spark, d), ["sample", "chrom"], W, W, STEP, R, MU, SD).withColumn("score", unscaled(F.col("score")))
+    t = tracks.robust_threshold(runs, ["sample"], "score", 3.0, F.col("end") - F.col("start") + 1)
     return t.select("sample", F.round("threshold", 6).alias("threshold"))
 
 
@@ -241,11 +242,12 @@ f AS (SELECT chrom, t, bool_or(sample = 'case' AND (lcd >= 5e0 OR (lci >= 2e0 AN
 SELECT chrom, t FROM f WHERE pos AND NOT neg""")
 def track_algebra(spark, d):
     """Rule ``lcd,lci+cvg`` per sample, then ``+1-2``: in the case and not in the control."""
-    a = straddle_track(spark, d, W).withColumnRenamed("score", "lcd").withColumnRenamed("n", "cvg")
-    b = straddle_track(spark, d, -W).select("sample", "chrom", "t", F.col("score").alias("lci"))
-    wide = a.unionByName(b, allowMissingColumns=True).groupBy("sample", "chrom", "t").agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("lcd", "lci", "cvg")])
-    rule = tracks.rule_column("lcd,lci+cvg", {"lcd": F.col("lcd") >= 5, "lci": F.col("lci") >= 2, "cvg": F.col("cvg") >= 4})
-    per = wide.groupBy("chrom", "t").agg(F.bool_or(rule & (F.col("sample") == "case")).alias("one"), F.bool_or(rule & (F.col("sample") == "control")).alias("two"))
+    runs = scan.straddle_terms(fragments(spark, d), ["sample", "chrom"], W, {"lcd": W, "lci": -W}, STEP, R, MU, SD)
+    score = {n: unscaled(F.col(n)) for n in ("lcd", "lci")}
+    rule = tracks.rule_column("lcd,lci+cvg", {"lcd": score["lcd"] >= 5, "lci": score["lci"] >= 2, "cvg": F.col("n") >= 4})
+    # all windows of a run share their values, so only windows that pass are made
+    passing = scan.to_windows(runs.filter(rule), ["sample", "chrom"], [], STEP, 1)
+    per = passing.groupBy("chrom", "t").agg(F.bool_or(F.col("sample") == "case").alias("one"), F.bool_or(F.col("sample") == "control").alias("two"))
     return per.filter(tracks.merge_column("+1-2", [F.col("one"), F.col("two")])).select("chrom", "t")
 
 

@@ -68,10 +68,15 @@ def straddle_scores(frags: DataFrame, keys: list[str], w: int, shift: int, step:
     ``shift`` is the event size entering the density ratio: positive for
     deletions, negative for insertions.
     """
-    term = scaled(mixture_term(shifted_ratio(F.col("isize"), shift, mu, sigma, cap), r))
-    cut = windows_within(frags.withColumn("_term", term), F.col("start"), F.col("end"), w, step, origin)
-    runs = window_sums(cut, keys, {"score": F.col("_term"), "n": F.lit(1)})
-    return runs
+    return straddle_terms(frags, keys, w, {"score": shift}, step, r, mu, sigma, origin, cap)
+
+
+def straddle_terms(frags: DataFrame, keys: list[str], w: int, shifts: dict[str, int], step: int, r: float, mu: float, sigma: float,
+                   origin: int = 1, cap: float | None = None) -> DataFrame:
+    """The scores of several event sizes, by name, and the count ``n`` from one pass over the fragments; see :func:`straddle_scores`."""
+    terms = {n: scaled(mixture_term(shifted_ratio(F.col("isize"), shift, mu, sigma, cap), r)).alias(f"_{n}") for n, shift in shifts.items()}
+    cut = windows_within(frags.select("*", *terms.values()), F.col("start"), F.col("end"), w, step, origin)
+    return window_sums(cut, keys, {**{n: F.col(f"_{n}") for n in shifts}, "n": F.lit(1)})
 
 
 def deletion_scan(pairs: DataFrame, keys: list[str], w: int, step: int, rates: list[float], mu: float, sigma: float,

@@ -104,10 +104,11 @@ def relative_type(case_reads: Column, control_reads: Column) -> Column:
     return F.when(ratio > C.DUP_FOLD, "DUP").when(ratio < C.DEL_FOLD, "DEL").otherwise("INS")
 
 
-def robust_threshold(track: DataFrame, keys: list[str], score: str, level: float) -> DataFrame:
-    """median + level x scaled MAD of a track (semantics chosen here)."""
-    counts = track.groupBy(*keys, F.col(score).alias("v")).agg(F.count("*").alias("n"))
-    stats = median_and_mad(counts, keys, "v", "n")
+def robust_threshold(track: DataFrame, keys: list[str], score: str, level: float, windows: Column | None = None) -> DataFrame:
+    """median + level x scaled MAD of a track (semantics chosen here); ``windows`` is the number a row stands for, one if not given."""
+    counts = track.groupBy(*keys, F.col(score).alias("v")).agg(F.sum(F.lit(1) if windows is None else windows).alias("n"))
+    # read for the median and again for the deviations
+    stats = median_and_mad(cut_lineage(counts), keys, "v", "n")
     return stats.select(*keys, (F.col("isize_med") + F.lit(float(level)) * F.col("isize_mad")).alias("threshold"))
 
 
