@@ -43,6 +43,18 @@ def test_base_codes(spark):
     assert got[0] == ("ACGTN", "1248F0", "ACGTN") and got[1][2] == "ACG" and got[2][1:] == ("", "") and got[3][2] == "=RYKMSWBDHV" and got[4][2] == "ANN"
 
 
+def test_base_codes_of_any_text(spark):
+    texts = ["".join(map(chr, range(128))), "EF09*\0z", "a\u00dfc", "\u00e9A", "\U0001f600G", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r.p for r in rows.select(F.hex(dna.encode_bases(F.col("s"))).alias("p")).collect()]
+    code = lambda c: f"{'=ACMGRSVTWYHKDBN'.find(c):X}" if c in "=ACMGRSVTWYHKDBN" else "F"
+    want = ["".join(map(code, t.upper())) for t in texts[:-1]]
+    assert got == [w + "0" * (len(w) % 2) for w in want] + [None]
+    # an ASCII text is looked at letter by letter once, without the pattern
+    plan = rows.select(dna.encode_bases(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan
+
+
 def test_options_without_a_value_are_refused():
     assert parse_pairs("a=1,b=2") == {"a": "1", "b": "2"} and parse_pairs("") == {}
     for bad in ("minmpr:5", "word", "a=1,loose"):
