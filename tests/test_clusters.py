@@ -100,6 +100,17 @@ def test_paired_events_equal_the_walk(spark):
         assert sorted((r["first_x"], r["count_x"], r["count_y"]) for r in got.collect()) == walk(x, y, 40, 2, 1)
 
 
+def test_one_call_walks_the_stretches_of_a_tile(spark):
+    rng = random.Random(4)
+    spots = [0, 500, 999_000, 1_000_100, 2_500_000]
+    x, y = ([rng.choice(spots) + rng.randrange(1, 300) for _ in range(200)] for _ in range(2))
+    frame = lambda v: spark.createDataFrame([("c", p) for p in v], "chrom string, pos long")
+    got = paired_event_scan(frame(x), frame(y), ["chrom"], "pos", 40, 2, 1)
+    assert sorted((r["first_x"], r["count_x"], r["count_y"]) for r in got.collect()) == walk(x, y, 40, 2, 1)
+    grouped = got._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "FlatMapGroupsInPandas" in grouped and "_sid" not in grouped.split("]")[0]
+
+
 def test_contrast_keeps_case_only_clusters(spark):
     mk = lambda s, n: [(True, "chr3", s + i, s + i + 5, False, "chr3", s + 10, s + 15) for i in range(n)]
     case, control = mk(1, 4) + mk(14, 3), mk(14, 3)

@@ -6,7 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .intervals import island_of_points, islands
+from ..session import cut_lineage
+from .intervals import island_of_points, islands, tile_of
+
+STRETCH_TILE = 1_000_000  # positions; stretches that begin in a tile are walked by one call
 
 
 def _scan(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, w: int, min_x: int, min_y: int):
@@ -39,10 +42,12 @@ def paired_event_scan(x: DataFrame, y: DataFrame, keys: list[str], pos: str, w:
     The walk never looks further than ``2w`` ahead, so x events are cut into
     independent stretches wherever two of them lie ``2w`` or more apart; each
     stretch takes along the y events up to ``2w`` after it.  Events are counted
-    per position first: a stretch costs its length, not its depth.
+    per position first: a stretch costs its length, not its depth.  A call walks all
+    stretches that begin in one tile.
     """
     counted = lambda df: df.groupBy(*keys, F.col(pos).alias("_p")).agg(F.count("*").alias("_n"))
-    cx, cy = counted(x), counted(y)
+    # both are looked up several times; the reads are read once
+    cx, cy = cut_lineage(counted(x)), cut_lineage(counted(y))
     reach = 2 * w
     stretches = islands(cx, keys, "_p", "_p", reach - 1, tile=max(100_000, 10 * reach))
     sid = {"_sid": F.col("start")}
@@ -56,13 +61,19 @@ def paired_event_scan(x: DataFrame, y: DataFrame, keys: list[str], pos: str, w:
     both = own_x.select(*keys, "_p", "_n", "_sid", F.lit(True).alias("_is_x")).unionByName(own_y.withColumn("_is_x", F.lit(False)))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p")
-        xs, ys = pdf[pdf["_is_x"]], pdf[~pdf["_is_x"]]
-        arrays = [d[c].to_numpy(np.int64) for d in (xs, ys) for c in ("_p", "_n")]
-        out = pd.DataFrame(_scan(*arrays, w, min_x, min_y), columns=["first_x", "count_x", "count_y"]).astype("int64")
+        pdf = pdf.sort_values(["_sid", "_p"])
+        sides = []
+        for side in (pdf[pdf["_is_x"]], pdf[~pdf["_is_x"]]):
+            sides.append([side[c].to_numpy(np.int64) for c in ("_sid", "_p", "_n")])
+        (sx, *x_rows), (sy, *y_rows) = sides
+        hits = []
+        for sid in np.unique(sx):
+            one = [v[slice(*np.searchsorted(s, [sid, sid + 1]))] for s, rows in ((sx, x_rows), (sy, y_rows)) for v in rows]
+            hits += _scan(*one, w, min_x, min_y)
+        out = pd.DataFrame(hits, columns=["first_x", "count_x", "count_y"]).astype("int64")
         for key in keys:
             out[key] = pdf[key].iloc[0]
         return out[[*keys, "first_x", "count_x", "count_y"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema if f.name in keys)
-    return both.groupBy(*keys, "_sid").applyInPandas(walk, f"{schema}, first_x long, count_x long, count_y long")
+    return both.withColumn("_part", tile_of(F.col("_sid"), STRETCH_TILE)).groupBy(*keys, "_part").applyInPandas(walk, f"{schema}, first_x long, count_x long, count_y long")
