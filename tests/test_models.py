@@ -93,3 +93,21 @@ def test_window_occurrences_at_the_edges(spark):
     assert {r.id: (r.n_remap, r.remap_at) for r in found.collect()} == {1: (2, 19), 2: (0, None), 3: (0, None), 4: (0, None), 5: (0, None)}
     # offsets are counted in batches of rows, not one by one in an expression
     assert "ArrowEvalPython" in found._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("word", [4, 18, 19])
+def test_repeated_words_of_any_letters(spark, word):
+    rng = random.Random(word)
+    unit = "".join(rng.choice("ACGTN") for _ in range(60))
+    texts = {"c": "A" * 40 + unit + "0123acgtNNNN" * 6 + unit, "d": "".join(rng.choice("ACGT") for _ in range(300)), "e": "ACG"}
+    pieces = spark.createDataFrame([(c, 1, t) for c, t in texts.items()], "chrom string, start long, seq string")
+    found = match.repeated_words(match.reference_tiles(pieces, 32, word - 1), 32, word)
+    want = []
+    for chrom, text in texts.items():
+        places = {}
+        for i in range(len(text) - word + 1):
+            places.setdefault(text[i:i + word], []).append(i + 1)
+        want += [(chrom, k, len(v), v[0], v[-1]) for k, v in places.items() if len(v) > 1]
+    assert sorted(tuple(r) for r in found.select("chrom", "kmer", "n", "first_at", "last_at").collect()) == sorted(want)
+    # words of the four letters travel as numbers
+    assert word > 18 or "_code" in found._jdf.queryExecution().optimizedPlan().toString()
