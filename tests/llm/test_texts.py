@@ -147,6 +147,28 @@ def test_fingerprint_links_are_complete(spark, leaf):
     assert [got.get(simhash._signed(c), simhash._signed(c)) for c in codes] == want
 
 
+def test_nodes_stay_whole_when_a_join_turns_into_a_broadcast(spark):
+    draw = random.Random(17)
+    codes = set()
+    for _ in range(150):
+        c = draw.getrandbits(64)
+        codes |= {c} | {c ^ 1 << draw.randrange(64) ^ 1 << draw.randrange(64) for _ in range(3)}
+    codes = sorted(codes)
+    signed = [simhash._signed(c) for c in codes]
+    held = {"spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10485760",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        edges = cut_lineage(simhash.fingerprint_links(cut_lineage(spark.createDataFrame([(c,) for c in signed], "fp long").repartition(8))))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    got = {r.node: r.root for r in common.connected_components(edges).collect()}
+    assert [got.get(c, c) for c in signed] == components(signed, codes)
+
+
 def test_tree_pairs_match_brute_force():
     draw = np.random.default_rng(3)
     base = draw.integers(0, 1 << 63, 12, dtype=np.uint64)

@@ -139,19 +139,10 @@ def local_links(codes: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _search(batches):
-    """Links inside each run of equal (mask, pattern); a run may go on in the next batch."""
-    rest = None
+    """Links inside each row of ``fps``, a node's members in Gray order."""
     for pdf in batches:
-        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-        if pdf.empty:
-            continue
-        mask, pattern, code = (pdf[c].to_numpy(np.int64) for c in ("mask", "pattern", "fp"))
-        starts = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])])
-        rest = pdf.iloc[starts[-1]:]
-        found = [x for a, b in zip(starts, starts[1:]) for x in local_links(code[a:b])]
+        found = [x for codes in pdf["fps"] for x in local_links(np.asarray(codes, dtype=np.int64))]
         yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-    if rest is not None and not rest.empty:
-        yield pd.DataFrame(local_links(rest["fp"].to_numpy(np.int64)), columns=["a", "b"], dtype="int64")
 
 
 def fingerprint_links(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -160,9 +151,11 @@ def fingerprint_links(fps: DataFrame, leaf: int = LEAF) -> DataFrame:
     members = fps.select("fp", F.inline(F.array(*under)))
     sizes = cut_lineage(members.groupBy("mask", "pattern").agg(F.count("*").alias("n")).filter("n > 1"))
     members = members.join(sizes, ["mask", "pattern"])
-    small = members.filter(F.col("n") <= leaf).select("mask", "pattern", "fp", gray_rank(F.col("fp")).alias("rank"))
-    small = small.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern", "rank")
-    edges = small.select("mask", "pattern", "fp").mapInPandas(_search, "a long, b long")
+    # a node is one row of ``leaf`` members at most: dealt by a repartition and read as a run, nodes were torn apart where
+    # Spark found the join's parts to do and then read them otherwise
+    ranked = F.array_sort(F.collect_list(F.struct(gray_rank(F.col("fp")).alias("rank"), "fp")))
+    small = members.filter(F.col("n") <= leaf).groupBy("mask", "pattern").agg(ranked.alias("r"))
+    edges = small.select(F.col("r.fp").alias("fps")).mapInPandas(_search, "a long, b long")
     if sizes.filter(F.col("n") > leaf).limit(1).count():
         hot = members.filter(F.col("n") > leaf).select("fp").distinct()
         near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)]
