@@ -180,3 +180,16 @@ def test_similar_words(spark, genome, tiles):
                         if differing <= wrong:
                             want.append((c, a + 1, b + 1, differing))
         assert got == sorted(want) and len(got) > len(genome["b"]) // word
+
+
+def test_similar_words_of_many_stretches(spark, genome, tiles, monkeypatch):
+    contigs = spark.createDataFrame([(c, len(s)) for c, s in genome.items()], "chrom string, length long")
+    whole = sorted(tuple(r) for r in seeds.similar_words(tiles, contigs, SIZE, 20, 3, 5).collect())
+    for name, value in (("PART_PLACES", (300, 300)), ("PART_WORDS", 16), ("PAIRS_AT_ONCE", 7)):
+        monkeypatch.setattr(seeds, name, value)
+    found = seeds.similar_words(tiles, contigs, SIZE, 20, 3, 5)
+    assert sorted(tuple(r) for r in found.collect()) == whole
+    # a word at every place is many times the genome: texts travel, never words
+    moved = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert moved and not [line for line in moved if "key" in line]
+    assert seeds.similar_words(tiles.limit(0), contigs, SIZE, 20, 3, 5).count() == 0

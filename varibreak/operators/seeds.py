@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cigar import REFERENCE_LENGTH_CLASS, aligned_length
-from ..functions.dna import hamming, reverse_complement
+from ..functions.dna import reverse_complement
 from ..session import cut_lineage, shuffled, small
 from .intervals import tile_of
+from .words import chunks, packed
 
 SEED = 20
 
@@ -96,29 +97,137 @@ def similar_words(tiles: DataFrame, contigs: DataFrame, size: int, word: int = 3
     cut into ``mismatches + 1`` blocks, one of which agrees, so words meet under a block with the middle; a pair counts
     under its first agreeing block only.  Words with other letters than A, C, G, T are left out; tiles must overlap by
     ``word - 1`` bases.
+
+    A contig's asking words and its places meet stretch by stretch (``PART_WORDS``, ``PART_PLACES``), every stretch with
+    every other of the contig; their texts travel and words are made where they meet.
     """
     first = word // 2 - 2  # 1-based
     others = [i for i in range(1, word + 1) if not first <= i < first + middle]
     cut = [others[len(others) * k // (mismatches + 1) : len(others) * (k + 1) // (mismatches + 1)] for k in range(mismatches + 1)]
-
-    def block(text, k):
-        """A block's bases; it may lie on both sides of the middle."""
-        low = [i for i in cut[k] if i < first]
-        high = [i for i in cut[k] if i >= first + middle]
-        parts = [F.substring(text, part[0], len(part)) for part in (low, high) if part]
-        return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-    places = _words(tiles, size, [word]).select("chrom", "at", "word")
-    keys = lambda text: F.array(*[F.struct(F.lit(k).alias("k"), F.concat(block(text, k), F.substring(text, first, middle)).alias("key")) for k in range(mismatches + 1)])
-    length = contigs.select("chrom", F.col("length").alias("_n"))
-    own = places.join(small(length), "chrom").filter((F.col("at") % word == 1) & (F.col("at") <= F.col("_n") - word))
-    own = own.select("chrom", F.col("at").alias("word_at"), F.col("word").alias("_w"), F.inline(keys("word")))
-    met = places.select("chrom", "at", "word", F.inline(keys("word"))).join(shuffled(own), ["chrom", "k", "key"])
-    earlier = [(F.col("k") > k) & (block("word", k) == block("_w", k)) for k in range(mismatches)]
-    for agrees in earlier:
-        met = met.filter(~agrees)
-    met = met.withColumn("differing", hamming(F.col("word"), F.col("_w")))
-    return met.filter(F.col("differing") <= mismatches).select("chrom", "word_at", "at", "differing")
+    texts = tiles.select("chrom", F.col("start").cast("long").alias("start"), F.substring("seq", 1, size + word - 1).alias("seq"))
+    texts = texts.filter((F.length("seq") >= word) & F.col("chrom").isNotNull())
+    # both sides of a pair of stretches are texts; words are made of them where they meet
+    ends = cut_lineage(texts.groupBy("chrom").agg(F.max("start").alias("_end"), F.sum(F.length("seq")).alias("_letters")))
+    letters = ends.agg(F.sum("_letters")).first()[0] or 0
+    part = min(max(letters // (2 * tiles.sparkSession.sparkContext.defaultParallelism), PART_PLACES[0]), PART_PLACES[1])
+    many = lambda last, step: F.sequence(F.lit(0).cast("long"), F.floor(last / step).cast("long"))
+    asks = word * PART_WORDS
+    block = lambda step: F.floor(F.col("start") / step).cast("long")
+    own = texts.join(small(contigs.select("chrom", F.col("length").cast("long").alias("_n"))), "chrom").join(small(ends), "chrom")
+    own = own.select("chrom", block(asks).alias("_own"), F.explode(many(F.col("_end"), part)).alias("_part"), F.lit(0).alias("_kind"), "start", "_n", "seq")
+    met = texts.join(small(ends), "chrom").select(
+        "chrom", F.explode(many(F.col("_end"), asks)).alias("_own"), block(part).alias("_part"), F.lit(1).alias("_kind"), "start", F.lit(None).cast("long").alias("_n"), "seq")
+    pairs = ["chrom", "_own", "_part"]
+    # a pair of stretches is in one part: its asking texts come first, what they are compared with streams
+    held = own.unionByName(met)
+    parts = max(1, (ends.select(F.sum((F.floor(F.col("_end") / part) + 1) * (F.floor(F.col("_end") / asks) + 1))).first()[0] or 0))
+    dealt = held.repartition(int(min(4 * parts, 10_000)), *pairs).sortWithinPartitions(*pairs, "_kind")
+    kind = dict(tiles.dtypes)["start"]
+    found = dealt.mapInArrow(_similar(size, word, mismatches, [range(first - 1, first - 1 + middle), *[[i - 1 for i in k] for k in cut]]),
+                             "chrom string, word_at long, at long, differing int")
+    return found.select("chrom", F.col("word_at").cast(kind).alias("word_at"), F.col("at").cast(kind).alias("at"), "differing")
+
+
+PART_PLACES = (1 << 20, 1 << 24)  # compared at least and at most in a pair of stretches
+PART_WORDS = 1 << 21  # that ask in a pair of stretches
+PAIRS_AT_ONCE = 1 << 20
+
+
+def _limbs(chunk, begins, word):
+    """Words as numbers of 32 letters, two bits a letter."""
+    return [packed(np.append(chunk.digits[i:], np.zeros(i, np.uint8)), min(32, word - i))[begins] for i in range(0, word, 32)]
+
+
+def _similar(size: int, word: int, mismatches: int, agreeing: list):
+    """Finds the pairs of one stretch's asking words and another's places; ``agreeing`` has the places of the middle and of the blocks."""
+    limbs = range(0, word, 32)
+    mask = lambda places: [np.uint64(sum(1 << 2 * (p - i) for p in places if i <= p < i + 32)) for i in limbs]
+    middle, *blocks = map(mask, agreeing)
+    odd = [np.uint64(n) for n in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+    def hashes(own, block, bits):
+        """Equal for words that agree in the middle and the block."""
+        total = np.zeros(len(own[0]), np.uint64)
+        for i, x in enumerate(own):
+            total += (x & ((middle[i] | block[i]) * np.uint64(3))) * odd[i % 4]
+            total ^= total >> np.uint64(29)
+        return (total * odd[1]) >> np.uint64(64 - bits)
+
+    def asking(starts, lengths, texts):
+        for first, chunk in chunks(texts):
+            begins = chunk.whole(size, word)
+            places = starts[first + chunk.row[begins]] + chunk.place[begins]
+            mine = (places % word == 1) & (places <= lengths[first + chunk.row[begins]] - word)
+            yield places[mine], *_limbs(chunk, begins[mine], word)
+
+    def index(words):
+        """Words that ask, and for each block the words ordered by hash with the first of every hash."""
+        at, *own = map(np.concatenate, zip(*words)) if words else (np.zeros(0, np.int64), *[np.zeros(0, np.uint64) for _ in limbs])
+        bits = min(max((2 * len(at)).bit_length(), 8), 22)
+        order = []
+        for block in blocks:
+            h = hashes(own, block, bits)
+            order.append((np.argsort(h, kind="stable").astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(h.astype(np.int64), minlength=1 << bits))]).astype(np.int32)))
+        return at, own, bits, order
+
+    def compare(held, starts, texts):
+        at, own, bits, order = held
+        for first, chunk in chunks(texts):
+            begins = chunk.whole(size, word)
+            here = _limbs(chunk, begins, word)
+            for k, block in enumerate(blocks):
+                sorted_words, heads = order[k]
+                h = hashes(here, block, bits).astype(np.int64)
+                low, n = heads[h].astype(np.int64), (heads[h + 1] - heads[h]).astype(np.int64)
+                some = np.flatnonzero(n)
+                low, n = low[some], n[some]
+                upto = np.cumsum(n)
+                total = int(upto[-1]) if len(upto) else 0
+                for lo in range(0, total, PAIRS_AT_ONCE):
+                    hi = min(lo + PAIRS_AT_ONCE, total)
+                    a, b = np.searchsorted(upto, lo, "right"), np.searchsorted(upto, hi - 1, "right") + 1
+                    before = upto[a:b] - n[a:b]
+                    skip, end = np.maximum(before, lo), np.minimum(upto[a:b], hi)
+                    count = end - skip
+                    run = np.repeat(low[a:b] + skip - before, count) + np.arange(hi - lo) - np.repeat(np.cumsum(count) - count, count)
+                    place, asked = np.repeat(some[a:b], count), sorted_words[run]
+                    apart = []
+                    for x, y in zip(here, own):
+                        d = x[place] ^ y[asked]
+                        apart.append((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555))
+                    differing = sum(np.bitwise_count(d) for d in apart)
+                    agrees = lambda places: ~np.logical_or.reduce([(d & m) != 0 for d, m in zip(apart, places)])
+                    keep = (differing <= mismatches) & agrees(middle) & agrees(block)
+                    for earlier in blocks[:k]:
+                        keep &= ~agrees(earlier)
+                    if keep.any():
+                        found = begins[place[keep]]
+                        yield at[asked[keep]], starts[first + chunk.row[found]] + chunk.place[found], differing[keep].astype(np.int32)
+
+    def find(batches):
+        pair, words, held = None, [], None
+        for batch in batches:
+            columns = {n: batch[n] for n in ("chrom", "_own", "_part", "_kind")}
+            keys = list(zip(*(c.to_pylist() for c in columns.values())))
+            starts, lengths = (batch[n].to_numpy(zero_copy_only=False) for n in ("start", "_n"))
+            edges = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                *now, kind = keys[a]
+                if now != pair:
+                    pair, words, held = now, [], None
+                texts = batch["seq"].slice(a, b - a).to_pylist()
+                if kind == 0:
+                    words.extend(asking(starts[a:b], lengths[a:b], texts))
+                    continue
+                if held is None:
+                    held, words = index(words), []
+                if len(held[0]):
+                    for word_at, at, differing in compare(held, starts[a:b], texts):
+                        yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(at), pa.string()), pa.array(word_at), pa.array(at), pa.array(differing)], ["chrom", "word_at", "at", "differing"])
+
+    return find
 
 
 # ---------------------------------------------------------------- chains and alignment
