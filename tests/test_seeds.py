@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from varibreak.operators import match, seeds, words
 from varibreak.sources.bam import CIGAR_PART
@@ -205,3 +206,17 @@ def test_words_are_packed_in_bounded_batches(monkeypatch):
     found = list(match._pack_words(SIZE, 12, 8)(iter([batch])))
     sizes = [sum(len(c) // 8 for c in b["codes"].to_pylist()) for b in found]
     assert len(found) > 5 and max(sizes) <= 4 * SIZE and sum(sizes) == sum(len({t[i : i + 12] for i in range(SIZE)}) for t in texts)
+
+
+def test_words_are_looked_up_where_tiles_are_read(spark, genome, tiles, monkeypatch):
+    """Only places that were found leave a task; asked words are held some at a time."""
+    monkeypatch.setattr(words, "ASKED", 5)
+    draw = random.Random(23)
+    asked = {genome[c][at : at + k] for c in genome for k in (1, 3, 12, 31) for at in [draw.randrange(100, 800) for _ in range(4)]} | {"G" * 31}
+    df = spark.createDataFrame([(len(w), w) for w in asked], "k int, word string")
+    found = words.asked_places(tiles, SIZE, df.withColumn("number", words.word_number(F.col("word")))).join(df.withColumn("number", words.word_number(F.col("word"))), ["k", "number"])
+    want = sorted((c, i + 1, w) for w in asked if "N" not in w for c, s in genome.items() for i in range(len(s)) if s.startswith(w, i))
+    assert sorted((r.chrom, r.at, r.word) for r in found.collect()) == want
+    monkeypatch.setattr(seeds, "_words", None)
+    p = spark.createDataFrame([(1, genome["b"][300:380]), (2, "ACGT")], "pid int, pattern string")
+    assert seeds.exact_matches(p, tiles, SIZE).filter("pid = 1").count() == 1

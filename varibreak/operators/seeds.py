@@ -19,7 +19,7 @@ from ..functions.cigar import REFERENCE_LENGTH_CLASS, aligned_length
 from ..functions.dna import reverse_complement
 from ..session import cut_lineage, shuffled, small
 from .intervals import tile_of
-from .words import chunks, packed
+from .words import LONGEST, asked_places, chunks, packed, word_number
 
 SEED = 20
 
@@ -56,12 +56,13 @@ def exact_matches(patterns: DataFrame, tiles: DataFrame, size: int, seed: int =
     patterns are searched once; tiles must overlap by ``seed - 1`` bases at least.
     """
     text = patterns.filter(F.length("pattern") > 0).select("pattern").distinct()
-    text = text.select(F.md5("pattern").alias("tid"), "pattern", F.least(F.length("pattern"), F.lit(seed)).alias("k"))
+    text = text.select(F.md5("pattern").alias("tid"), "pattern", F.least(F.length("pattern"), F.lit(min(seed, LONGEST))).alias("k"))
     lengths = sorted(r.k for r in text.select("k").distinct().collect())  # at most ``seed`` numbers
     if not lengths:
         return patterns.select("pid", F.lit("").alias("chrom"), F.lit(0).cast("long").alias("mstart"), F.lit(0).cast("long").alias("mend")).limit(0)
     asked = text.select("tid", "k", F.length("pattern").alias("m"), F.substring("pattern", F.lit(1), F.col("k")).alias("word"))
-    places = shuffled(_words(tiles, size, lengths)).join(small(asked), ["k", "word"]).select("tid", "chrom", F.col("at").alias("mstart"), (F.col("at") + F.col("m") - 1).alias("mend"), (F.col("m") > F.col("k")).alias("open"))
+    asked = cut_lineage(asked.filter(~F.col("word").rlike("[^ACGT]")).withColumn("number", word_number(F.col("word"))))
+    places = shuffled(asked_places(tiles, size, asked)).join(small(asked), ["k", "number"]).select("tid", "chrom", F.col("at").alias("mstart"), (F.col("at") + F.col("m") - 1).alias("mend"), (F.col("m") > F.col("k")).alias("open"))
     places = cut_lineage(places)
     seen = fetch_long(places.filter("open"), tiles, size, "mstart", "mend", ["tid", "chrom", "mstart", "mend"])
     whole = seen.join(text.select("tid", "pattern"), "tid").filter(F.col("subseq") == F.col("pattern")).select("tid", "chrom", "mstart", "mend")
@@ -82,7 +83,8 @@ def maximal_matches(patterns: DataFrame, tiles: DataFrame, size: int, least: int
     own = text.select("tid", F.explode(F.array(*sides)).alias("x")).select("tid", "x.strand", "x.s").filter(F.length("s") >= least)
     own = own.select("tid", "strand", "s", F.explode(F.sequence(F.lit(1), F.length("s") - least + 1)).alias("q"))
     own = own.select("tid", "strand", "q", F.substring("s", F.col("q"), F.lit(least)).alias("word"))
-    hits = shuffled(_words(tiles, size, [least])).join(small(own), "word").select("tid", "strand", "chrom", (F.col("at") - F.col("q")).alias("diag"), "q")
+    met = shuffled(_words(tiles, size, [least])).join(small(own), "word")
+    hits = met.select("tid", "strand", "chrom", (F.col("at") - F.col("q")).alias("diag"), "q")
     order = Window.partitionBy("tid", "strand", "chrom", "diag").orderBy("q")
     runs = hits.withColumn("_run", F.col("q") - F.row_number().over(order))
     return runs.groupBy("tid", "strand", "chrom", "diag", "_run").agg(F.min("q").alias("qstart"), F.count("*").alias("n")).select(
