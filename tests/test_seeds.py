@@ -220,3 +220,10 @@ def test_words_are_looked_up_where_tiles_are_read(spark, genome, tiles, monkeypa
     monkeypatch.setattr(seeds, "_words", None)
     p = spark.createDataFrame([(1, genome["b"][300:380]), (2, "ACGT")], "pid int, pattern string")
     assert seeds.exact_matches(p, tiles, SIZE).filter("pid = 1").count() == 1
+
+
+def test_maximal_seeds_spread_no_words_of_the_genome(spark, genome, tiles, monkeypatch):
+    monkeypatch.setattr(seeds, "_words", None)
+    p = spark.createDataFrame([(1, genome["b"][300:380]), (2, "ACGT")], "pid int, pattern string")
+    assert [(r.strand, r.chrom, r.rstart, r.length) for r in seeds.maximal_matches(p, tiles, SIZE).collect()] == [("+", "b", 301, 80)]
+    assert [r.cigar for r in seeds.align_with_gaps(p, tiles, SIZE).collect()] == ["80M"]

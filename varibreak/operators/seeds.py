@@ -82,8 +82,12 @@ def maximal_matches(patterns: DataFrame, tiles: DataFrame, size: int, least: int
         sides.append(F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("pattern")).alias("s")))
     own = text.select("tid", F.explode(F.array(*sides)).alias("x")).select("tid", "x.strand", "x.s").filter(F.length("s") >= least)
     own = own.select("tid", "strand", "s", F.explode(F.sequence(F.lit(1), F.length("s") - least + 1)).alias("q"))
-    own = own.select("tid", "strand", "q", F.substring("s", F.col("q"), F.lit(least)).alias("word"))
-    met = shuffled(_words(tiles, size, [least])).join(small(own), "word")
+    own = own.select("tid", "strand", "q", F.substring("s", F.col("q"), F.lit(least)).alias("word")).filter(~F.col("word").rlike("[^ACGT]"))
+    if least <= LONGEST:
+        own = cut_lineage(own.select("tid", "strand", "q", F.lit(least).alias("k"), word_number(F.col("word")).alias("number")))
+        met = shuffled(asked_places(tiles, size, own)).join(small(own), "number")
+    else:
+        met = shuffled(_words(tiles, size, [least])).join(small(own), "word")
     hits = met.select("tid", "strand", "chrom", (F.col("at") - F.col("q")).alias("diag"), "q")
     order = Window.partitionBy("tid", "strand", "chrom", "diag").orderBy("q")
     runs = hits.withColumn("_run", F.col("q") - F.row_number().over(order))
