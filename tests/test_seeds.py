@@ -227,3 +227,13 @@ def test_maximal_seeds_spread_no_words_of_the_genome(spark, genome, tiles, monke
     p = spark.createDataFrame([(1, genome["b"][300:380]), (2, "ACGT")], "pid int, pattern string")
     assert [(r.strand, r.chrom, r.rstart, r.length) for r in seeds.maximal_matches(p, tiles, SIZE).collect()] == [("+", "b", 301, 80)]
     assert [r.cigar for r in seeds.align_with_gaps(p, tiles, SIZE).collect()] == ["80M"]
+
+
+def test_mismatch_seeds_spread_only_tiles_of_other_letters(spark, genome, tiles, monkeypatch):
+    asked = []
+    true = match.asked_places if hasattr(match, "asked_places") else None
+    monkeypatch.setattr(match, "asked_places", lambda *a: asked.append(1) or true(*a), raising=False)
+    pats = [genome["a"][1190:1225], genome["b"][400:433] + "A", genome["a"][1195:1230]]
+    got = sorted((r.pid, r.chrom, r.mstart) for r in match.find_matches(spark.createDataFrame(list(enumerate(pats)), "pid int, pattern string"), tiles, SIZE).collect())
+    near = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 1
+    assert got == sorted((i, c, k + 1) for i, p in enumerate(pats) for c, s in genome.items() for k in range(len(s)) if near(s[k : k + len(p)], p)) and asked
