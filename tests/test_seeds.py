@@ -237,3 +237,24 @@ def test_mismatch_seeds_spread_only_tiles_of_other_letters(spark, genome, tiles,
     got = sorted((r.pid, r.chrom, r.mstart) for r in match.find_matches(spark.createDataFrame(list(enumerate(pats)), "pid int, pattern string"), tiles, SIZE).collect())
     near = lambda a, b: len(a) == len(b) and sum(x != y for x, y in zip(a, b)) <= 1
     assert got == sorted((i, c, k + 1) for i, p in enumerate(pats) for c, s in genome.items() for k in range(len(s)) if near(s[k : k + len(p)], p)) and asked
+
+
+def test_whole_agreement_needs_no_table():
+    draw = random.Random(31)
+    for _ in range(400):
+        unit = "".join(draw.choice("ACGTN" if draw.random() < 0.2 else "AC") for _ in range(draw.randrange(1, 6)))
+        ref = unit * draw.randrange(1, 8) + "".join(draw.choice("ACGT") for _ in range(draw.randrange(5)))
+        at = draw.randrange(len(ref))
+        query = ref[at : at + draw.randrange(1, 15)]
+        low = draw.randrange(-6, len(ref))
+        high = low + draw.randrange(12)
+        assert seeds.align_banded(query, ref, low, high) == seeds._banded(query, ref, low, high), (query, ref, low, high)
+    long = "ACGGT" * 40_000  # a table would have 200,000 rows
+    assert seeds.align_banded(long, "T" + long, -40, 40) == (200_000, 1, "200000M")
+
+
+def test_alignments_are_dealt_by_rows(spark, genome, tiles, monkeypatch):
+    monkeypatch.setattr(seeds, "ALIGNED", 1)
+    rows = [(i, genome["b"][300 + 90 * i : 340 + 90 * i]) for i in range(20)]
+    found = seeds.align_with_gaps(spark.createDataFrame(rows, "pid int, pattern string"), tiles, SIZE, 16)
+    assert sorted((r.pid, r.cigar) for r in found.collect()) == [(i, "40M") for i in range(20)]

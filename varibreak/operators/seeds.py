@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cigar import REFERENCE_LENGTH_CLASS, aligned_length
 from ..functions.dna import reverse_complement
-from ..session import cut_lineage, shuffled, small
+from ..session import cut_lineage, dealt, shuffled, small
 from .intervals import tile_of
 from .words import LONGEST, asked_places, chunks, packed, word_number
 
@@ -240,6 +240,7 @@ def _similar(size: int, word: int, mismatches: int, agreeing: list):
 
 # scores of a base that agrees or not, of opening a gap and of each of its bases
 AGREE, DIFFER, OPEN, EXTEND = 1, -4, -6, -1
+ALIGNED = 5_000  # places that a task aligns
 
 
 def best_chain(seeds: list[tuple[int, int, int]], band: int) -> list[tuple[int, int, int]]:
@@ -271,6 +272,15 @@ def align_banded(query: str, ref: str, low: int, high: int) -> tuple[int, int, s
     computed at once, the gaps along it by running maxima.  Ties prefer a diagonal step, then a deletion, then an
     insertion, and the leftmost end.  None if no cell of the last row lies in the band.
     """
+    # where every base agrees no path scores more, and the leftmost such place is the leftmost end
+    at = ref.find(query, max(low, 0)) if query and not query.strip("ACGT") else -1
+    if 0 <= at <= high:
+        return AGREE * len(query), at, f"{len(query)}M"
+    return _banded(query, ref, low, high)
+
+
+def _banded(query: str, ref: str, low: int, high: int) -> tuple[int, int, str] | None:
+    """``align_banded`` by its table."""
     m, n = len(query), len(ref)
     q, r = np.frombuffer(query.encode(), np.uint8), np.frombuffer(ref.encode(), np.uint8)
     width = high - low + 1
@@ -384,6 +394,8 @@ def align_with_gaps(patterns: DataFrame, tiles: DataFrame, size: int, least: int
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tid", "strand", "chrom", "mstart", "cigar", "score"])
 
+    # by rows: texts of some bytes take long to align
+    ready = dealt(ready, chains.count(), *keys, "_s", "low", "high", most=ALIGNED)
     aligned = ready.mapInArrow(align, "tid string, strand string, chrom string, mstart long, cigar string, score long").distinct()
     named = patterns.select("pid", F.md5("pattern").alias("tid")).join(aligned, "tid")
     end = F.col("mstart") + F.coalesce(aligned_length(F.col("cigar"), REFERENCE_LENGTH_CLASS), F.lit(0)) - 1
