@@ -53,3 +53,17 @@ def test_hanging_scans_join_mates_once(spark):
     for name in ("st11_deletion_hanging_scan", "st11_insertion_scan"):
         plan = queries()[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "qname" not in plan and "l_orderkey" not in plan, name
+
+
+def test_event_records_make_their_clusters_once(spark, tmp_path, monkeypatch):
+    from varibreak.catalog import QUERIES, breakends, clips
+
+    d = str(tmp_path)
+    spark.range(300).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{d}/orders.parquet")
+    spark.range(1200).selectExpr(
+        "id % 300 AS l_orderkey", "id * 7 AS l_partkey", "id AS l_suppkey", "CAST(id % 4 AS INT) AS l_linenumber",
+        "CAST(id % 50 AS DOUBLE) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice").write.parquet(f"{d}/lineitem.parquet")
+    made, true = [], clips.clusters
+    monkeypatch.setattr(clips, "clusters", lambda *a, **k: made.append(1) or true(*a, **k))
+    assert {"CHROM", "POS", "INFO"} <= set(QUERIES["snk06_event_records"](spark, d).columns)
+    assert len(made) == 1

@@ -122,9 +122,9 @@ def fold_change_bracket(spark, d):
     return out.select("chrom", "st", "ed", F.round("fc", 6).alias("fc"), "contrast")
 
 
-def events(spark, d):
-    """Typed breakends of the whole clip pipeline on the case sample."""
-    rows = cut_lineage(be.canonical(breakend_rows(spark, d).drop("rc")))
+def events(spark, d, c=None):
+    """Typed breakends of the whole clip pipeline on the case sample; ``c``: its clusters, made here if not given."""
+    rows = cut_lineage(be.canonical(breakend_rows(spark, d, c).drop("rc")))
     kept = be.separated(be.drop_near_duplicates(rows, views.READ_LENGTH))
     return cut_lineage(be.classify(cut_lineage(be.number_rows(kept)), views.READ_LENGTH, spans(spark, d, "case"), spans(spark, d, "control")))
 
@@ -215,5 +215,6 @@ def breakend_records(spark, d):
 @query("snk06_event_records")
 def event_records(spark, d):
     """VCF rows of the typed breakends, one per event."""
-    support = case_clusters(spark, d).select(F.concat_ws(":", "side", "chrom", F.col("position").cast("string")).alias("cid"), "nreads")
-    return vcf.event_records(events(spark, d), support)
+    c = case_clusters(spark, d)
+    support = c.select(F.concat_ws(":", "side", "chrom", F.col("position").cast("string")).alias("cid"), "nreads")
+    return vcf.event_records(events(spark, d, c), support)
